@@ -28,6 +28,25 @@ FROM l LEFT JOIN f ON l.k = f.k
 GROUP BY l.doc_id
 """
 
+OP8 = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, w, least(5, len(w)) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM benchmark) WHERE len(w) > 0
+), bs AS (
+  SELECT item_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' ')))) AS s FROM b
+), ds AS (
+  SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' ')))) AS s
+  FROM d, (SELECT DISTINCT n FROM b)
+), q AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+m AS (SELECT ds.doc_id, bs.item_id, count(*) AS n_found FROM ds JOIN bs ON ds.n = bs.n AND ds.s = bs.s GROUP BY ds.doc_id, bs.item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
+FROM m JOIN q USING (item_id) WHERE n_found::DOUBLE / n_shingles >= 0.8
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op7_line_dedup": OP7}
+    return {"op2_exact_dedup": OP2, "op7_line_dedup": OP7, "op8_benchmark_leaks": OP8}

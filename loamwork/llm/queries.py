@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamwork.llm.common import table
+from loamwork.llm.decontaminate import contained_items
 from loamwork.llm.exact_dedup import exact_dedup
 from loamwork.llm.line_dedup import line_dedup
+from loamwork.llm.piece_bpe import piece_round_trip
 from loamwork.llm.shard import shard_documents
 from loamwork.llm.simhash import simhash_dedup
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    """Path of the public piece vocabulary, which is installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(PIECE_MODEL))
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -21,6 +32,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_round_trip(docs, piece_model()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -30,5 +46,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_simhash_dedup, op5_jump_shards, op7_line_dedup)}
+    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op7_line_dedup, op8_benchmark_leaks]
+    return {f.__name__: f for f in every}
