@@ -37,9 +37,9 @@ WITH d AS (
     SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
     FROM benchmark) WHERE len(w) > 0
 ), bs AS (
-  SELECT item_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' ')))) AS s FROM b
+  SELECT item_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS s FROM b
 ), ds AS (
-  SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' ')))) AS s
+  SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS s
   FROM d, (SELECT DISTINCT n FROM b)
 ), q AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
 m AS (SELECT ds.doc_id, bs.item_id, count(*) AS n_found FROM ds JOIN bs ON ds.n = bs.n AND ds.s = bs.s GROUP BY ds.doc_id, bs.item_id)

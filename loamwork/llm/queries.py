@@ -10,6 +10,8 @@ from loamwork.llm.common import table
 from loamwork.llm.decontaminate import contained_items
 from loamwork.llm.exact_dedup import exact_dedup
 from loamwork.llm.line_dedup import line_dedup
+from loamwork.llm.main_text import extract_main_text
+from loamwork.llm.pii import KINDS, detect_pii
 from loamwork.llm.piece_bpe import piece_round_trip
 from loamwork.llm.shard import shard_documents
 from loamwork.llm.simhash import simhash_dedup
@@ -50,6 +52,16 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return detect_pii(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op7_line_dedup, op8_benchmark_leaks]
+    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
     return {f.__name__: f for f in every}
