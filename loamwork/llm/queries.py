@@ -15,6 +15,7 @@ from loamwork.llm.pii import KINDS, detect_pii
 from loamwork.llm.piece_bpe import piece_round_trip
 from loamwork.llm.shard import shard_documents
 from loamwork.llm.simhash import simhash_dedup
+from loamwork.llm.word_crf import fit_and_identify
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -43,6 +44,11 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_word_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fit_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -63,5 +69,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
+    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
     return {f.__name__: f for f in every}
