@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loamwork.llm.common import table
 from loamwork.llm.decontaminate import contained_items
 from loamwork.llm.exact_dedup import exact_dedup
+from loamwork.llm.gated_lm import lm_scores
 from loamwork.llm.line_dedup import line_dedup
 from loamwork.llm.main_text import extract_main_text
 from loamwork.llm.pii import KINDS, detect_pii
@@ -27,6 +28,10 @@ def piece_model() -> str:
     return str(public_tokenizers.path(PIECE_MODEL))
 
 
+def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -69,5 +74,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
+    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
     return {f.__name__: f for f in every}
