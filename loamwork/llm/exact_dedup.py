@@ -8,7 +8,9 @@
    sorted runs with Bloom filters, compacted to the smallest identifier per digest.
 3. Digests with several entries are hits. Each hit's bytes are compared with
    those of the entry that the index names; entries of other bytes under the
-   same digest (a collision) form groups of their own by text.
+   same digest (a collision) form groups of their own by text. A filter over the shared digests,
+   of a fixed largest size, keeps the texts of other entries out of that shuffle; as it
+   fills up, more texts pass than need to, and results stay the same.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import WS_CLASS, materialise
-from loamwork.llm.runs import RunIndex
+from loamwork.llm.runs import Bloom, RunIndex
 
 LAST = np.iinfo(np.int64).max
 PAYLOAD = np.dtype([("id", "i8"), ("entry", "i8"), ("rows", "i8"), ("entries", "i8")])
@@ -102,6 +104,57 @@ def _bucket(width: int, memtable: int, fanout: int) -> Callable[[Iterator[pa.Rec
     return run
 
 
+SEGMENTS = 256
+
+
+def _filter_of(shared: DataFrame, largest_bytes: int) -> tuple[bytes, int]:
+    """Filters over the digests of ``shared``, one for each first byte, end to end; bits of each."""
+    size = max(64, min(largest_bytes * 8, shared.count() * 16) // SEGMENTS // 8 * 8)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Bloom] = {}
+        for batch in batches:
+            for segment, keys in _by_segment(batch.column(0)):
+                bloom = Bloom(keys[1], size=size)
+                if segment in held:
+                    held[segment].bits |= bloom.bits
+                else:
+                    held[segment] = bloom
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int32()), pa.array([b.bits.tobytes() for b in held.values()], pa.binary())], ["segment", "bits"]
+        )
+
+    dealt = shared.select("digest").repartition(F.substring(F.hex("digest"), 1, 2))
+    found = {r.segment: bytes(r.bits) for r in dealt.mapInArrow(build, "segment int, bits binary").toLocalIterator()}
+    return b"".join(found.get(k, bytes(size // 8 + 1)) for k in range(SEGMENTS)), size
+
+
+def _by_segment(digests: pa.Array) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """(first byte, (places, digests)) of a column."""
+    raw = digests.to_pylist()
+    if not raw:
+        return
+    keys = np.array(raw, f"S{len(raw[0])}")
+    first = keys.view(np.uint8).reshape(len(keys), -1)[:, 0]
+    for segment in np.unique(first).tolist():
+        places = np.flatnonzero(first == segment)
+        yield segment, (places, keys[places])
+
+
+def _sift(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = shared.value
+        width = size // 8 + 1
+        for batch in batches:
+            passed = np.zeros(batch.num_rows, bool)
+            for segment, (places, keys) in _by_segment(batch.column(0)):
+                own = np.frombuffer(bits, np.uint8, width, segment * width)
+                passed[places] = Bloom.of(own, size).maybe(keys)
+            yield batch.filter(pa.array(passed))
+
+    return run
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -112,6 +165,7 @@ def exact_dedup(
     memtable_chars: int = 16_000_000,
     index_memtable: int = 200_000,
     fanout: int = 4,
+    filter_bytes: int = 32_000_000,
 ) -> DataFrame:
     """Which row stays of each group of equal texts: one row per input row.
 
@@ -137,9 +191,9 @@ def exact_dedup(
         .mapInArrow(_bucket(width, index_memtable, fanout), "digest binary, keep_entry long, entries long")
     )
     shared = materialise(index.where("entries > 1").drop("entries"), "exact-dedup-shared")
-    hits = materialise(
-        entries.select("digest", "entry", "min_id", "n", "text").join(shared, "digest"), "exact-dedup-hits"
-    )
+    sift = docs.sparkSession.sparkContext.broadcast(_filter_of(shared, filter_bytes))
+    told = entries.select("digest", "entry", "min_id", "n", "text")
+    hits = materialise(told.mapInArrow(_sift(sift), told.schema).join(shared, "digest"), "exact-dedup-hits")
     named = hits.where("entry = keep_entry").select("digest", F.col("text").alias("named_text"))
     # null for the bytes that the index names, else the text itself
     checked = hits.join(named, "digest").select(

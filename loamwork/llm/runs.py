@@ -20,12 +20,18 @@ Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
 class Bloom:
     """Bits set at places read off the digest itself, which is uniform already."""
 
-    def __init__(self, keys: np.ndarray, bits_per_key: int = 10):
-        self.size = max(64, len(keys) * bits_per_key)
+    def __init__(self, keys: np.ndarray, bits_per_key: int = 10, size: int | None = None):
+        self.size = size or max(64, len(keys) * bits_per_key)
         self.bits = np.zeros(self.size // 8 + 1, np.uint8)
         for place in self._places(keys):
             np.bitwise_or.at(self.bits, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
 
+    @classmethod
+    def of(cls, bits: np.ndarray, size: int) -> Bloom:
+        out = cls.__new__(cls)
+        out.bits, out.size = bits, size
+        return out
+
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         parts = np.frombuffer(keys.tobytes(), np.uint32).reshape(len(keys), -1)
         for k in range(min(4, parts.shape[1])):

@@ -33,6 +33,7 @@ def test_exact_dedup(spark):
         {"memtable_rows": 4, "index_memtable": 3, "fanout": 2},
         {"digest": lambda t: F.unhex(F.lit("aabbccdd")), "width": 4},  # every text collides
         {"digest": lambda t: F.unhex(F.repeat(F.substring(F.sha2(t, 256), 1, 2), 4)), "width": 4, "memtable_rows": 5},
+        {"memtable_rows": 4, "filter_bytes": 1},
     ]
     for shape in shapes:
         got = sorted((str(r[0]), str(r[1]), *r[2:]) for r in exact_dedup(docs, **shape).collect())
