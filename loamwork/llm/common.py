@@ -6,14 +6,13 @@ touches A-Z only. Both rules are the same in Spark, Python and DuckDB.
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.storage import materialise as materialise
+
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,49 +21,6 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _TO_LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-_local_shared: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may leave the setting out; it then gets a temporary
-    folder. On a cluster a missing setting is an error, as a folder of one
-    machine would lose rows with its executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_shared:
-        _local_shared.append("file://" + tempfile.mkdtemp(prefix="loamwork-"))
-    return _local_shared[0]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here.
-
-    What follows sees the same rows however often tasks are repeated.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``materialise`` wrote."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if root.split("://")[-1] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

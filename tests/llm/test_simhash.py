@@ -3,7 +3,6 @@ import random
 import numpy as np
 import xxhash
 
-from loamwork.llm.components import connected_components
 from loamwork.llm.simhash import close_pairs, fingerprint, simhash_dedup
 
 
@@ -86,9 +85,3 @@ def test_tiles_lose_no_link():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup(docs).collect() == []
-
-
-def test_components_of_chains_and_hubs(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500), (41, 40), (1, 0)]
-    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
-    assert all(got[i] == 0 for i in range(1, 42)) and all(got[100 + i] == 100 for i in range(1, 30)) and 500 not in got
