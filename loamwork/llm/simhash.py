@@ -139,7 +139,11 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = B
         places = places[places < len(right)]
         for at in range(0, len(places), 4096):
             some = places[at : at + 4096]
-            u, v = np.nonzero(np.bitwise_count(left[:, None] ^ right[some][None, :]) <= radius)
+            apart = np.bitwise_count(left[:, None] ^ right[some][None, :])
+            u, v = np.nonzero(apart <= radius)
+            if len(u) > 1:  # closest first, so a forest holds the surest links
+                order = np.argsort(apart[u, v], kind="stable")
+                u, v = u[order], v[order]
             u, v = u + i * block, some[v]
             if b is None:
                 later = u < v
@@ -216,8 +220,33 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tile: int | None = N
     return loaded.repartition(F.col("a"), F.col("b")).mapInArrow(_compare(radius), "u long, v long")
 
 
+def jaccard(one: str | None, two: str | None, size: int) -> float:
+    """Of the sets of shingles; 1 for two texts without words."""
+    a, b = set(shingle_hashes(one, size)), set(shingle_hashes(two, size))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(x.as_py(), y.as_py(), size) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those links (u, v) whose texts have a shingle similarity of ``least`` or more. nodes: (fp, first); docs: (id, text)."""
+    links = materialise(links, "simhash-links")
+    ends = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct()
+    named = nodes.join(ends, "fp", "left_semi").select("fp", F.col("first").alias("id"))
+    texts = materialise(docs.join(named, "id").groupBy("fp").agg(F.min("text").alias("text")), "simhash-texts")
+    pairs = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("y")), "v")
+    return pairs.select("u", "v", "x", "y").mapInArrow(_alike(size, least), "u long, v long")
+
+
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int | None = None, least: float | None = None
 ) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row of ``docs``.
 
@@ -225,12 +254,20 @@ def simhash_dedup(
     reach, the row's own included. Null texts and texts without words have fingerprint zero, which is
     linked like any other. Null ids keep their row; a component of null ids alone has a null
     ``component_id``. Repeated rows come out as often as they went in; an empty table gives no rows.
+
+    With ``least``, the links of the spanning forest are checked by the exact similarity of the shingle sets,
+    and those below it go. Each fingerprint stands for the text of its smallest id (the smallest text, should ids repeat);
+    fingerprints of null ids alone then have no links.
     """
     prints = materialise(
         docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_fingerprints(size), "id long, fp long"), "simhash-prints"
     )
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    joined = connected_components(linked_fingerprints(nodes.select("fp"), radius, tile))
+    links = linked_fingerprints(nodes.select("fp"), radius, tile)
+    if least is not None:
+        source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        links = verified(links, nodes, source, size, least)
+    joined = connected_components(links)
     root = nodes.join(joined, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )

@@ -6,20 +6,33 @@ import xxhash
 from loamwork.llm.simhash import close_pairs, fingerprint, simhash_dedup
 
 
-def plain_fingerprint(text):
+def plain_words(text):
     found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         found = found.replace(c, " ")
-    w = [x for x in found.split(" ") if x]
-    if not w:
+    return [x for x in found.split(" ") if x]
+
+
+def plain_shingles(text, size=3):
+    w = plain_words(text)
+    return [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+
+
+def plain_fingerprint(text, size=3):
+    shingles = plain_shingles(text, size)
+    if not shingles:
         return 0
-    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def plain_components(rows, radius=3):
-    prints = [plain_fingerprint(t) for _, t in rows]
+def alike(one, two, size, least):
+    a, b = set(plain_shingles(one, size)), set(plain_shingles(two, size))
+    return least is None or not (a or b) or len(a & b) / len(a | b) >= least
+
+
+def plain_components(rows, radius=3, size=3, least=None):
+    prints = [plain_fingerprint(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):
@@ -29,7 +42,7 @@ def plain_components(rows, radius=3):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
+            if (prints[i] ^ prints[j]).bit_count() <= radius and alike(rows[i][1], rows[j][1], size, least):
                 root[top(i)] = top(j)
     ids = [[rows[j][0] for j in range(len(rows)) if top(j) == top(i) and rows[j][0] is not None] for i in range(len(rows))]
     return sorted((str(r[0]), f"{p:016x}", str(min(c) if c else None)) for r, p, c in zip(rows, prints, ids, strict=True))
@@ -56,6 +69,23 @@ def test_components_match_brute_force(spark):
         assert got == plain_components(rows)
 
 
+def test_verified_links(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(25):
+        w = [f"v{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((10 * k, " ".join(w)))
+        for c, changes in enumerate((1, 2, 40), 1):
+            x = list(w)
+            for at in rng.sample(range(200), changes):
+                x[at] = "new"
+            rows.append((10 * k + c, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash_dedup(docs, size=5, radius=10, least=0.8).collect()}
+    assert got == {int(i): int(c) for i, _, c in plain_components(rows, 10, 5, 0.8)}
+    assert all(got[10 * k + 1] == 10 * k and got[10 * k + 3] == 10 * k + 3 for k in range(25))
+
+
 def test_fingerprint_of_long_and_odd_texts():
     long = " ".join(f"w{i % 977}" for i in range(3000))
     for text in (long, "one", "one two", "A\x0bB C", "ÀB c", None, "a a a a a a"):
