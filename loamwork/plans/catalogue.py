@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
 from loamwork.functions.vectors import cosine, norm
-from loamwork.operators import context, dedup, joins, lifecycle, logs, metrics, retrieval, segments
+from loamwork.operators import context, dedup, joins, lifecycle, logs, metrics, reads, retrieval, segments
 from loamwork.operators.graph import connected_components
 from loamwork.sources.capture import captured_pages, table
 
@@ -683,6 +683,67 @@ def context_offers(spark: SparkSession, d: str) -> DataFrame:
     return context.offers(now, context_profiles(spark, d))
 
 
+@query("""WITH l AS (SELECT doc_id, u.line, trim(u.t, ' ' || chr(9) || chr(13)) = '' AS blank FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x, LATERAL (SELECT unnest(ls) AS t, generate_subscripts(ls, 1) AS line) u),
+sp AS (SELECT DISTINCT doc_id, doc_id % 3 + k AS id, k * 2 + 1 AS s, k * 2 + 1 + doc_id % 4 AS e FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k)),
+h AS (SELECT l.doc_id, l.line, l.blank, coalesce(string_agg(DISTINCT sp.id::VARCHAR, ',' ORDER BY sp.id::VARCHAR), '') AS own FROM l LEFT JOIN sp ON sp.doc_id = l.doc_id AND l.line BETWEEN sp.s AND sp.e GROUP BY l.doc_id, l.line, l.blank),
+n AS (SELECT doc_id, line, coalesce(last_value(CASE WHEN NOT blank THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING), own) AS ids FROM h),
+t AS (SELECT *, CASE WHEN ids = lag(ids) OVER (PARTITION BY doc_id ORDER BY line) THEN 0 ELSE 1 END AS turn FROM n),
+b AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS band FROM t)
+SELECT doc_id, band, min(line) AS first, max(line) AS last, ids FROM b GROUP BY doc_id, band, ids""")
+def coverage_bands(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), (F.btrim("t", F.lit(" \t\r")) == "").alias("blank"))
+    k = docs.select("doc_id", F.explode(F.array(*[F.lit(x) for x in range(4)])).alias("k"))
+    spans = k.select("doc_id", (F.col("doc_id") % 3 + F.col("k")).cast("string").alias("id"), (F.col("k") * 2 + 1).alias("start_line"), (F.col("k") * 2 + 1 + F.col("doc_id") % 4).alias("end_line"))
+    return reads.bands(lines, spans)
+
+
+@query("SELECT count(*) AS asked, count(*) FILTER (WHERE l_tax = 0) AS abstained, count(*) FILTER (WHERE l_returnflag = 'N') AS pending, count(*) FILTER (WHERE l_returnflag = 'A') AS right, count(*) FILTER (WHERE l_returnflag = 'R') AS wrong, 0::BIGINT AS nothing_here FROM lineitem".replace(" right,", ' "right",'))
+def ask_stats(spark: SparkSession, d: str) -> DataFrame:
+    verdict = F.when(F.col("l_returnflag") == "A", "right").when(F.col("l_returnflag") == "R", "wrong")
+    return reads.ask_stats(table(spark, d, "lineitem").select((F.col("l_tax") == 0).alias("abstained"), verdict.alias("verdict")))
+
+
+@query("SELECT greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS at")
+def newest_event(spark: SparkSession, d: str) -> DataFrame:
+    return reads.newest_event(table(spark, d, "orders").select(F.col("o_orderdate").alias("at")), table(spark, d, "lineitem").select(F.col("l_shipdate").alias("at")))
+
+
+@query("""SELECT o_custkey AS scope, o_orderkey AS id, o_orderdate AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 5""")
+def newest_per_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    return reads.newest_per_group(rows, "scope", 5)
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND a.label = 1 AND b.label = 1 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3),
+b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e), r(n, c) AS (SELECT x, x FROM b UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.n AND r.c < b.y),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY n)) AS key, count(*) AS n FROM m GROUP BY c HAVING count(*) >= 2""")
+def gap_clusters(spark: SparkSession, d: str) -> DataFrame:
+    gaps = _corpus(spark, d).where("label = 1").select("id", F.lit("the open gap").alias("text"), "vector")
+    return reads.gap_clusters(gaps, 0.3).select("key", "n")
+
+
+@query("""WITH s AS (SELECT g.vec_id AS gap_id, a.vec_id AS id, round(list_cosine_similarity(g.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings g, embeddings a WHERE g.vec_id % 20 = 0 AND a.vec_id % 20 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score DESC, id) AS n FROM s WHERE score >= 0.35) SELECT gap_id, id, score FROM r WHERE n = 1""")
+def covered_gaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = _corpus(spark, d)
+    return reads.covered_gaps(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"))
+
+
+@query("""SELECT l_orderkey AS event_id, l_linenumber::BIGINT AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(l_orderkey || '|' || l_linenumber), l_linenumber) - 1 AS place FROM lineitem""")
+def judging_order(spark: SparkSession, d: str) -> DataFrame:
+    return reads.judging_order(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").cast("long").alias("id")))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE p_name END AS text, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS embed_rev, CASE WHEN p_partkey % 4 = 0 THEN 'pending' WHEN p_partkey % 3 = 0 THEN 'done' ELSE 'failed' END AS embed_state FROM part""")
+def edited_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.lit("t").alias("title"), F.lit(1).alias("embed_rev"), F.lit("failed").alias("embed_state"))
+    edits = part.where("id % 4 = 0").select("id", F.upper("text").alias("text"), F.lit(None).cast("string").alias("title"))
+    done = part.where("id % 3 = 0").select("id", F.lit(1).alias("rev"))
+    return reads.embedded(reads.edited(part, edits), done).select("id", "text", "embed_rev", "embed_state")
+
+
 # Plain relational work -------------------------------------------------------------------------------------------
 
 
