@@ -14,11 +14,25 @@ DIGITS = 6
 CANDIDATES = 20
 
 
-def sessions(events: DataFrame, idle: int, by: str = "scope") -> DataFrame:
-    """Numbers each scope's sittings from 0: a pause of more than ``idle`` seconds starts a new one. Needs at and id."""
-    w = Window.partitionBy(by).orderBy("at", "id")
-    pause = F.when(F.col("at") - F.lag("at").over(w) > idle, 1).otherwise(0)
-    return events.withColumn("__new", pause).withColumn("session", F.sum("__new").over(w)).drop("__new")
+def sessions(events: DataFrame, idle: int, by: str = "scope", days: int = 7) -> DataFrame:
+    """Numbers each scope's sittings from 0: a pause of more than ``idle`` seconds starts a new one. Needs at and id.
+
+    A scope is walked in stretches of ``days``, so one that holds a great share of all events is many tasks'
+    work; a stretch knows where the one before it ended, and how many sittings began before.
+    """
+    width = days * 86400
+    dealt = events.withColumn("__b", F.floor(F.col("at") / width))
+    own, order = Window.partitionBy(by, "__b").orderBy("at", "id"), Window.partitionBy("__by").orderBy("__eb")
+    ends = dealt.groupBy(F.col(by).alias("__by"), F.col("__b").alias("__eb")).agg(F.max("at").alias("__last"))
+    ends = ends.withColumn("__before", F.lag("__last").over(order)).drop("__last")
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__b") == F.col("__eb"))
+    met = dealt.join(ends, same).drop("__by", "__eb")
+    pause = F.col("at") - F.coalesce(F.lag("at").over(own), F.col("__before")) > idle
+    marked = met.withColumn("__new", F.when(pause, 1).otherwise(0)).withColumn("__run", F.sum("__new").over(own)).drop("__before")
+    begun = marked.groupBy(F.col(by).alias("__by"), F.col("__b").alias("__eb")).agg(F.sum("__new").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = begun.withColumn("__earlier", earlier).drop("__n")
+    return marked.join(begun, same).withColumn("session", F.col("__run") + F.col("__earlier")).select(*events.columns, "session")
 
 
 def coalesce_queries(events: DataFrame, gap: int = 15) -> DataFrame:
