@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -100,10 +101,12 @@ def blocks(page: str | None) -> list[Block]:
     linked = away = content = parts = in_link = 0
     heading = False
     open_: list[_Open] = []
+    names: Counter = Counter()
 
     def pop() -> None:
         nonlocal away, content
         gone = open_.pop()
+        names[gone.name] -= 1
         away -= gone.away
         content -= gone.content
 
@@ -149,7 +152,7 @@ def blocks(page: str | None) -> list[Block]:
         if name in _VOID:
             continue
         if closing:
-            if any(x.name == name for x in open_):
+            if names[name]:
                 cut_needed = open_[-1].away
                 while open_:
                     last = open_[-1].name
@@ -169,6 +172,7 @@ def blocks(page: str | None) -> list[Block]:
                 parts += 1
             if not m[3].rstrip().endswith("/") and (name in _BLOCK or new.away or new.content):
                 open_.append(new)
+                names[name] += 1
                 away += new.away
                 content += new.content
     cut()
