@@ -16,27 +16,25 @@ from loamwork.storage import materialise as materialise
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TO_LOWER = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_TO_LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
 def ascii_lower_text(text: str) -> str:
-    return text.translate(_TO_LOWER)
+    """A-Z lowered; the way over bytes beats a translation of every character."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cased words of a text; null has none."""
-    return _WORD.findall(text.translate(_TO_LOWER)) if text else []
+    return _WORD.findall(ascii_lower_text(text)) if text else []
 
 
 def byte_words(text: str | None) -> list[bytes]:
-    """Lower-cased words as UTF-8."""
-    return _BYTES_WORD.findall(text.encode("utf-8", "surrogatepass").translate(_TO_LOWER_BYTES)) if text else []
+    """Lower-cased words as UTF-8. Bytes split at just the six bytes of ``WS``, and lower A-Z alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

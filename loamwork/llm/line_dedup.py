@@ -35,12 +35,17 @@ def line_key(line: str) -> str:
     return ascii_lower_text(line.strip(WS))
 
 
-def _hash(key: str) -> bytes:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+_hash = xxhash.xxh3_128_digest
+_WS = WS.encode()
 
 
-def _keys(text: str | None) -> list[str]:
-    return [line.strip(WS) for line in ascii_lower_text(text or "").split("\n")]
+def _keys(text: str | None) -> list[bytes]:
+    """Keys of all lines, as UTF-8; lowering bytes touches A-Z alone."""
+    return [line.strip(_WS) for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def _counts(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
 
 
 def _add(old: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -61,7 +66,7 @@ def _count_lines(min_chars: int, held: int) -> Callable[[Iterator[pa.RecordBatch
         size = 0
         for batch in batches:
             for text in batch.column(0):
-                fresh = {k for k in _keys(text.as_py()) if len(k) >= min_chars}
+                fresh = {k for k in _keys(text.as_py()) if _counts(k, min_chars)}
                 size += sum(len(k) for k in fresh if k not in counts)
                 counts.update(fresh)
                 if size > held:
@@ -97,7 +102,7 @@ def frequent_lines(
     return counted.repartition("hash").mapInArrow(_frequent(min_docs, memtable, fanout), "hash binary, docs long")
 
 
-def drop_keys(text: str | None, frequent: Callable[[str], bool]) -> tuple[str, int, int]:
+def drop_keys(text: str | None, frequent: Callable[[bytes], bool]) -> tuple[str, int, int]:
     """The text without its frequent lines, its lines before, and how many went."""
     lines = (text or "").split("\n")
     kept = [line for line, key in zip(lines, _keys(text), strict=True) if not frequent(key)]
@@ -115,7 +120,7 @@ def _drop(places: list[int], min_chars: int, shared) -> Callable[[Iterator[pa.Re
             kept, n, gone = [], [], []
             for k in range(batch.num_rows):
                 mine = known if shared else frozenset(own[k].as_py() or ())
-                test = lambda key, mine=mine: len(key) >= min_chars and bool(mine) and _hash(key) in mine
+                test = lambda key, mine=mine: _counts(key, min_chars) and bool(mine) and _hash(key) in mine
                 text, before, dropped = drop_keys(texts[k].as_py(), test)
                 kept.append(text)
                 n.append(before)
@@ -138,7 +143,7 @@ def _hashes_of(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             rows = [
                 (d, h)
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                for h in {_hash(k) for k in _keys(t.as_py()) if len(k) >= min_chars}
+                for h in {_hash(k) for k in _keys(t.as_py()) if _counts(k, min_chars)}
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in rows], pa.binary()), pa.array([h for _, h in rows], pa.binary())], ["__doc", "hash"]
