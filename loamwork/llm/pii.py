@@ -102,7 +102,21 @@ def _likeness() -> dict[str, str]:
 
 
 LIKE = _likeness()
-_ODD = re.compile("[" + re.escape("".join(LIKE)) + "]")
+
+
+def _ranges(chars: str) -> str:
+    """A character class by runs of neighbours: a long list of single characters would be searched one by one."""
+    codes = sorted(map(ord, chars))
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_ODD = re.compile(_ranges("".join(LIKE)))
 
 # Digits spelled in the languages of the corpus.
 SPELLED = {
@@ -119,7 +133,18 @@ _UNIT = rf"(?:(?:(?:{'|'.join(_REPEAT)}){_GAP})?(?:{_SPELL})|[0-9]+)"
 #: Runs of spelled digits, maybe mixed with plain ones; short runs are ordinary words.
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)[\x20\t]+|\+[\x20\t]*)?{_UNIT}(?:{_GAP}(?:(?:dot|point|punto|punkt){_GAP})?{_UNIT}){{3,}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"plus|más|dot|point|punto|punkt|{'|'.join(_REPEAT)}|{_SPELL}|[0-9]+|\+|[^\w\s]|\s+", re.I)
-_MAY_SPELL = re.compile(rf"(?<!\w)(?:{_SPELL})(?:{_GAP}(?:{_SPELL}|{'|'.join(_REPEAT)}|[0-9]+|dot|point|punto|punkt)(?!\w)){{2}}", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_UNITS = {w: "1" for w in (*SPELLED, *_REPEAT, "dot", "point", "punto", "punkt", "plus", "más")}
+_DOTS = frozenset("dot punto punkt point dt".split())
+
+
+def _may_spell(words: list[str], digits: bool) -> bool:
+    """Whether two number words meet, or one is in a text that has digits too."""
+    if _UNITS.keys().isdisjoint(words):
+        return False
+    marks = "".join([_UNITS.get(w, "0") for w in words])
+    return "11" in marks or digits
+
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|ät|chez)", r"(?:dot|punto|punkt|point|dt)"
@@ -228,14 +253,13 @@ def _signs(t: Traced) -> Traced:
 
 def disguised_spans(text: str) -> dict[str, list[Span]]:
     """Source spans of identifiers that show only in the rewritten text; empty where nothing can be rewritten."""
-    traced = Traced(text) if _ODD.search(text) else None
-    if traced:
-        traced = _unlike(traced)
+    traced = _unlike(Traced(text)) if not text.isascii() and _ODD.search(text) else None
     plain = traced.text if traced else text
-    if _MAY_SPELL.search(plain):
+    words = _LETTERS.findall(plain.lower())
+    if _may_spell(words, _HAS_DIGIT.search(plain) is not None):
         traced = _spelled(traced or Traced(plain))
         plain = traced.text
-    if _WRITTEN.search(plain):
+    if ("@" in plain or "[" in plain or "(" in plain or "{" in plain or "<" in plain or not _DOTS.isdisjoint(words)) and _WRITTEN.search(plain):
         traced = _signs(traced or Traced(plain))
     if traced is None:
         return {}
