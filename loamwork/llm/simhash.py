@@ -7,10 +7,14 @@ radius, as fingerprints at d differing bits differ by at most d in the sum of th
 counts. A comparison goes through blocks of a tile the same way, and does an
 exclusive-or and a bit count in numpy for what is left. Each tile pair
 returns a spanning forest of its links, so a dense group costs as many rows as it has members.
+
+If links must also be similar, the forest's are checked, and then every pair across the parts
+they leave that shares a shingle of both prefixes: sets that are alike to the threshold must share one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +28,8 @@ from loamwork.operators.graph import connected_components
 
 SEED = 42
 BLOCK = 128
+#: Texts sampled to find common shingles, and how many of these every task knows.
+SAMPLE, COMMON = 5_000, 50_000
 _QUARTERS = np.array([0, 16, 32, 48], np.uint64)
 #: For each byte, its eight bits as the eight bytes of a word: sums of up to 255 of them don't overflow.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -235,18 +241,136 @@ def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those links (u, v) whose texts have a shingle similarity of ``least`` or more. nodes: (fp, first); docs: (id, text)."""
+def verified(links: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Those links (u, v) of nodes whose texts have a shingle similarity of ``least`` or more. texts: (node, text)."""
     links = materialise(links, "simhash-links")
-    ends = links.select(F.col("u").alias("fp")).union(links.select("v")).distinct()
-    named = nodes.join(ends, "fp", "left_semi").select("fp", F.col("first").alias("id"))
-    texts = materialise(docs.join(named, "id").groupBy("fp").agg(F.min("text").alias("text")), "simhash-texts")
-    pairs = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("y")), "v")
-    return pairs.select("u", "v", "x", "y").mapInArrow(_alike(size, least), "u long, v long")
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    some = texts.select("node", "text").join(ends, "node", "left_semi")
+    pairs = links.join(some.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+    return materialise(pairs.select("u", "v", "x", "y").mapInArrow(_alike(size, least), "u long, v long"), "simhash-alike")
+
+
+def prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, ``common`` ones last: two sets that are ``least`` alike share one of these."""
+    if not len(shingles):
+        return np.zeros(1, np.uint64)  # sets without shingles are alike
+    usual = np.isin(shingles, common)
+    return np.r_[shingles[~usual], shingles[usual]][: len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
+
+
+def _shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), size).view(np.int64))], ["token"])
+
+    return run
+
+
+_TOKEN_FIELDS = ["token", "n", "pos", "node", "part", "fp"]
+
+
+def _prefixes(size: int, least: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, *of in zip(*batch.columns, strict=True):
+                whole = _shingle_set(text.as_py(), size)
+                first = prefix(whole, least, common.value)
+                same = [np.full(len(first), x.as_py(), np.int64) for x in of]
+                cols = [first.view(np.int64), np.full(len(first), len(whole), np.int64), np.arange(len(first)), *same]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _TOKEN_FIELDS)
+
+    return run
+
+
+def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Input: rows of ``_prefixes`` by token and set size; output: pairs that may be ``least`` alike and are in two parts."""
+
+    def pairs(token, n, pos, node, part, fp) -> Iterator[pa.RecordBatch]:
+        at, step = np.arange(len(token) - 1), 1
+        while True:
+            at = at[at < len(token) - step]
+            to = at + step
+            # sizes rise within a token, so what is too small for one partner is so for all later ones
+            at = at[(token[at] == token[to]) & (n[at] >= least * n[to] - 1e-6)]
+            if not len(at):
+                return
+            to = at + step
+            # the first shingle that two sets share has all others behind it in both
+            most = np.minimum(n[at] - pos[at], n[to] - pos[to])
+            good = (part[at] != part[to]) & (most >= least / (1 + least) * (n[at] + n[to]) - 1e-6)
+            if radius is not None:
+                good &= np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius
+            if good.any():
+                u, v = node[at[good]], node[to[good]]
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            if held and held[-1][0][-1] == cols[0][-1]:
+                held.append(cols)
+                continue
+            # the last token may go on in the next batch
+            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
+            held.append([c[:cut] for c in cols])
+            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+            held = [[c[cut:] for c in cols]]
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def missed_links(marked: DataFrame, texts: DataFrame, size: int, least: float, radius: int | None) -> DataFrame:
+    """Every pair (u, v) of nodes in different parts that may be ``least`` alike, by the shingles that such sets must share.
+
+    marked: (node, part, fp); texts: (node, text). With ``radius``, only pairs whose fingerprints are that close. A
+    sample tells which shingles are common; these come last in the order, which saves work and loses no pair.
+    """
+    spark = texts.sparkSession
+    n = texts.count()
+    draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 11) / float(1 << 53)
+    sample = texts.where(draw < F.lit(min(1.0, SAMPLE / max(1, n)))).select("text").mapInArrow(_sets(size), "token long")
+    often = sample.groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    common = spark.sparkContext.broadcast(np.array(sorted(r.token for r in often), np.int64).view(np.uint64))
+    tokens = texts.join(marked, "node").select("text", "node", "part", "fp")
+    tokens = tokens.mapInArrow(_prefixes(size, least, common), ", ".join(f"{c} long" for c in _TOKEN_FIELDS))
+    by_token = tokens.repartition("token").sortWithinPartitions("token", "n")
+    return by_token.mapInArrow(_shared(least, radius), "u long, v long").distinct()
+
+
+def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, least: float, beyond: bool) -> DataFrame:
+    """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``. A node is a distinct text."""
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.md5("text").alias("key")
+    texts = materialise(docs.select(key, "text").dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "simhash-texts")
+    prints = materialise(texts.select("node", "text").mapInArrow(_fingerprints(size), "id long, fp long").withColumnRenamed("id", "node"), "simhash-prints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("node").alias("first")), "simhash-nodes")
+    close = linked_fingerprints(nodes.select("fp"), radius, tile)
+    named = close.join(nodes.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    equal = prints.join(nodes, "fp").where("node <> first").select("first", "node")
+    links = verified(named.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal), texts, size, least)
+    # the links so far are a forest of those proposed, so a failed one may have stood for others: all that could join two parts are checked
+    part = F.coalesce("component", "node").alias("part")
+    marked = materialise(prints.join(connected_components(links), "node", "left").select("node", part, "fp"), "simhash-parts")
+    more = verified(missed_links(marked, texts, size, least, None if beyond else radius), texts, size, least)
+    root = prints.join(connected_components(links.union(more)), "node", "left").select("node", "fp", part)
+    rows = materialise(docs.select("id", key).join(texts.select("key", "node"), "key").join(root, "node").select("id", "fp", "part"), "simhash-rows")
+    return rows.join(rows.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("id", "fp", "component_id")
 
 
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int | None = None, least: float | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, tile: int | None = None, least: float | None = None, beyond: bool = False
 ) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row of ``docs``.
 
@@ -255,23 +379,23 @@ def simhash_dedup(
     linked like any other. Null ids keep their row; a component of null ids alone has a null
     ``component_id``. Repeated rows come out as often as they went in; an empty table gives no rows.
 
-    With ``least``, the links of the spanning forest are checked by the exact similarity of the shingle sets,
-    and those below it go. Each fingerprint stands for the text of its smallest id (the smallest text, should ids repeat);
-    fingerprints of null ids alone then have no links.
+    With ``least``, a link also needs that similarity of the two texts' shingle sets, equal fingerprints included;
+    with ``beyond``, that similarity alone makes a link, however far the fingerprints are apart. No such link is lost.
     """
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    if least is not None:
+        source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        of = similar_dedup(source, size, radius, tile, least, beyond)
+        return of.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
     prints = materialise(
         docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_fingerprints(size), "id long, fp long"), "simhash-prints"
     )
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     links = linked_fingerprints(nodes.select("fp"), radius, tile)
-    if least is not None:
-        source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        links = verified(links, nodes, source, size, least)
     joined = connected_components(links)
     root = nodes.join(joined, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )
     smallest = root.groupBy("root").agg(F.min("first").alias("component_id"))
     of = root.join(smallest, "root").select("fp", "component_id")
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from loamwork.llm import simhash
 from loamwork.llm.simhash import close_pairs, fingerprint, simhash_dedup
 
 
@@ -115,3 +116,33 @@ def test_tiles_lose_no_link():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup(docs).collect() == []
+
+
+def template_rows():
+    """Chains of texts: neighbours are some 0.8 alike or just below, so forests hold links that fail."""
+    rng, rows = random.Random(21), []
+    for k in range(6):
+        w = [f"t{rng.randrange(3000)}" for _ in range(150)]
+        for c in range(12):
+            x = list(w)
+            for at in rng.sample(range(150), rng.randrange(2, 7)):
+                x[at] = f"slot{rng.randrange(10**6)}"
+            rows.append((100 * k + c, " ".join(x)))
+    loop = " ".join(["la la la la la la"] * 200)
+    return rows + [(900, loop + " " + " ".join(f"a{i}" for i in range(9))), (901, loop + " " + " ".join(f"b{i}" for i in range(9)))]
+
+
+def test_failed_links_take_no_other_with_them(spark):
+    rows = template_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile in (None, 9):
+        got = sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=14, tile=tile, least=0.8).collect())
+        assert got == plain_components(rows, 14, 5, 0.8)
+
+
+def test_links_that_stood_in_for_others(spark, monkeypatch):
+    rows = template_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "linked_fingerprints", lambda prints, radius, tile: prints.sparkSession.createDataFrame([], "u long, v long"))
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=14, least=0.8).collect())
+    assert got == plain_components(rows, 14, 5, 0.8)
