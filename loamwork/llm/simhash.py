@@ -30,6 +30,8 @@ SEED = 42
 BLOCK = 128
 #: Texts sampled to find common shingles, and how many of these every task knows.
 SAMPLE, COMMON = 5_000, 50_000
+#: Up to so many ends of links are broadcast.
+FEW = 300_000
 _QUARTERS = np.array([0, 16, 32, 48], np.uint64)
 #: For each byte, its eight bits as the eight bytes of a word: sums of up to 255 of them don't overflow.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -51,7 +53,11 @@ def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """A bit is set if it is set in over half the shingle hashes; 0 without words."""
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: list[int]) -> int:
+    """A bit is set if it is set in over half the hashes."""
     if not hashes:
         return 0
     parts = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
@@ -241,11 +247,13 @@ def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def verified(links: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Those links (u, v) of nodes whose texts have a shingle similarity of ``least`` or more. texts: (node, text)."""
+def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Those links (u, v) of nodes whose texts have a shingle similarity of ``least`` or more. nodes: (node, key); docs: (key, text)."""
     links = materialise(links, "simhash-links")
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    some = texts.select("node", "text").join(ends, "node", "left_semi")
+    named = materialise(nodes.select("node", "key").join(ends, "node", "left_semi"), "simhash-ends")
+    few = named.count() <= FEW  # spares a shuffle of all texts
+    some = docs.join(F.broadcast(named) if few else named, "key").dropDuplicates(["node"])
     pairs = links.join(some.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
     return materialise(pairs.select("u", "v", "x", "y").mapInArrow(_alike(size, least), "u long, v long"), "simhash-alike")
 
@@ -258,39 +266,52 @@ def prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray
     return np.r_[shingles[~usual], shingles[usual]][: len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1]
 
 
-def _shingle_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
-
-
 def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), size).view(np.int64))], ["token"])
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in batch.column(0)]
+            for at in range(0, len(sets), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets[at : at + 256]).view(np.int64))], ["token"])
 
     return run
 
 
-_TOKEN_FIELDS = ["token", "n", "pos", "node", "part", "fp"]
-
+def _prefixed(size: int, least: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Input: (key, text); output: also the fingerprint, the size of the shingle set, and its prefix as bytes."""
 
-def _prefixes(size: int, least: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, *of in zip(*batch.columns, strict=True):
-                whole = _shingle_set(text.as_py(), size)
-                first = prefix(whole, least, common.value)
-                same = [np.full(len(first), x.as_py(), np.int64) for x in of]
-                cols = [first.view(np.int64), np.full(len(first), len(whole), np.int64), np.arange(len(first)), *same]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _TOKEN_FIELDS)
+            fps, sizes, blobs = [], [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), size)
+                whole = np.unique(np.array(hashes, np.uint64))
+                fps.append(majority(hashes))
+                sizes.append(len(whole))
+                blobs.append(prefix(whole, least, common.value).tobytes())
+            cols = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "fp", "n", "prefix"])
 
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input: (n, prefix, node, part, fp); output: a row for each shingle of a prefix, ``place`` holding the set's size and the shingle's place."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            parts = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(1)]
+            sizes = np.array([len(x) for x in parts])
+            pos = np.concatenate([np.arange(k) for k in sizes])
+            place = (np.repeat(batch.column(0).to_numpy(), sizes) << 32) + pos
+            same = [np.repeat(batch.column(k).to_numpy(), sizes) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(parts), place, *same)], ["token", "place", *batch.schema.names[2:]])
+
+
 def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Input: rows of ``_prefixes`` by token and set size; output: pairs that may be ``least`` alike and are in two parts."""
+    """Input: rows of ``_tokens`` by token and place; output: pairs that may be ``least`` alike and are in two parts, once a shared shingle, with how many they need."""
 
-    def pairs(token, n, pos, node, part, fp) -> Iterator[pa.RecordBatch]:
+    def pairs(token, place, node, part, fp=None) -> Iterator[pa.RecordBatch]:
+        n, pos = place >> 32, place & 0xFFFFFFFF
         at, step = np.arange(len(token) - 1), 1
         while True:
             at = at[at < len(token) - step]
@@ -300,15 +321,17 @@ def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBat
             if not len(at):
                 return
             to = at + step
-            # the first shingle that two sets share has all others behind it in both
-            most = np.minimum(n[at] - pos[at], n[to] - pos[to])
-            good = (part[at] != part[to]) & (most >= least / (1 + least) * (n[at] + n[to]) - 1e-6)
+            # shared shingles in front of this one, this one, and those behind it
+            most = np.minimum(pos[at], pos[to]) + np.minimum(n[at] - pos[at], n[to] - pos[to])
+            overlap = np.ceil(least / (1 + least) * (n[at] + n[to]) - 1e-6)
+            good = (part[at] != part[to]) & (most >= overlap)
             if radius is not None:
                 good &= np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius
             if good.any():
                 u, v = node[at[good]], node[to[good]]
-                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+                # what the larger set has behind its prefix can't hold more of the overlap than its size
+                need = np.maximum(1, overlap - np.ceil(least * n[to] - 1e-9) + 1)[good].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(need)], ["u", "v", "need"])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,41 +354,45 @@ def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def missed_links(marked: DataFrame, texts: DataFrame, size: int, least: float, radius: int | None) -> DataFrame:
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that a sample of the texts repeats. They come last in the order, which saves work and loses no pair."""
+    n = docs.count()
+    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 11) / float(1 << 53)
+    sample = docs.where(draw < F.lit(min(1.0, SAMPLE / max(1, n)))).select("text").distinct().mapInArrow(_sets(size), "token long")
+    often = sample.groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    return np.array([r.token for r in often], np.int64).view(np.uint64)
+
+
+def missed_links(nodes: DataFrame, least: float, radius: int | None) -> DataFrame:
     """Every pair (u, v) of nodes in different parts that may be ``least`` alike, by the shingles that such sets must share.
 
-    marked: (node, part, fp); texts: (node, text). With ``radius``, only pairs whose fingerprints are that close. A
-    sample tells which shingles are common; these come last in the order, which saves work and loses no pair.
+    nodes: (node, part, fp, n, prefix). With ``radius``, only pairs whose fingerprints are that close.
     """
-    spark = texts.sparkSession
-    n = texts.count()
-    draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 11) / float(1 << 53)
-    sample = texts.where(draw < F.lit(min(1.0, SAMPLE / max(1, n)))).select("text").mapInArrow(_sets(size), "token long")
-    often = sample.groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(COMMON).collect()
-    common = spark.sparkContext.broadcast(np.array(sorted(r.token for r in often), np.int64).view(np.uint64))
-    tokens = texts.join(marked, "node").select("text", "node", "part", "fp")
-    tokens = tokens.mapInArrow(_prefixes(size, least, common), ", ".join(f"{c} long" for c in _TOKEN_FIELDS))
-    by_token = tokens.repartition("token").sortWithinPartitions("token", "n")
-    return by_token.mapInArrow(_shared(least, radius), "u long, v long").distinct()
+    names = ["node", "part"] + ["fp"] * (radius is not None)
+    tokens = nodes.select("n", "prefix", *names).mapInArrow(_tokens, ", ".join(f"{c} long" for c in ["token", "place", *names]))
+    shared = tokens.repartition("token").sortWithinPartitions("token", "place").mapInArrow(_shared(least, radius), "u long, v long, need long")
+    counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
+    return counted.where("k >= need").select("u", "v")
 
 
 def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, least: float, beyond: bool) -> DataFrame:
     """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``. A node is a distinct text."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.md5("text").alias("key")
-    texts = materialise(docs.select(key, "text").dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "simhash-texts")
-    prints = materialise(texts.select("node", "text").mapInArrow(_fingerprints(size), "id long, fp long").withColumnRenamed("id", "node"), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("node").alias("first")), "simhash-nodes")
-    close = linked_fingerprints(nodes.select("fp"), radius, tile)
-    named = close.join(nodes.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
-    equal = prints.join(nodes, "fp").where("node <> first").select("first", "node")
-    links = verified(named.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal), texts, size, least)
+    keyed = docs.select(F.md5("text").alias("key"), "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    prints = keyed.mapInArrow(_prefixed(size, least, common), "key string, fp long, n long, prefix binary").dropDuplicates(["key"])
+    nodes = materialise(prints.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-prints")
+    close = linked_fingerprints(firsts.select("fp"), radius, tile)
+    named = close.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    equal = nodes.select("node", "fp").join(firsts, "fp").where("node <> first").select("first", "node")
+    links = verified(named.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal), nodes, keyed, size, least)
     # the links so far are a forest of those proposed, so a failed one may have stood for others: all that could join two parts are checked
     part = F.coalesce("component", "node").alias("part")
-    marked = materialise(prints.join(connected_components(links), "node", "left").select("node", part, "fp"), "simhash-parts")
-    more = verified(missed_links(marked, texts, size, least, None if beyond else radius), texts, size, least)
-    root = prints.join(connected_components(links.union(more)), "node", "left").select("node", "fp", part)
-    rows = materialise(docs.select("id", key).join(texts.select("key", "node"), "key").join(root, "node").select("id", "fp", "part"), "simhash-rows")
+    marked = nodes.join(connected_components(links), "node", "left").select("node", part, "fp", "n", "prefix")
+    more = verified(missed_links(marked, least, None if beyond else radius), nodes, keyed, size, least)
+    root = nodes.select("node", "key", "fp").join(connected_components(links.union(more)), "node", "left").select("key", "fp", part)
+    rows = materialise(docs.select("id", F.md5("text").alias("key")).join(root, "key").select("id", "fp", "part"), "simhash-rows")
     return rows.join(rows.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("id", "fp", "component_id")
 
 

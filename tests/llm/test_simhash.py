@@ -146,3 +146,27 @@ def test_links_that_stood_in_for_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "linked_fingerprints", lambda prints, radius, tile: prints.sparkSession.createDataFrame([], "u long, v long"))
     got = sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=14, least=0.8).collect())
     assert got == plain_components(rows, 14, 5, 0.8)
+
+
+def alike_pairs():
+    """Pairs of a similarity of 0.80 to 0.91, many further apart than ten bits."""
+    rng, rows = random.Random(33), []
+    for k in range(90):
+        w = [f"p{rng.randrange(5000)}" for _ in range(200)]
+        x = list(w)
+        for at in range(k % 3 + 2):
+            x[20 + 40 * at] = f"new{k}"
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(x))]
+    return rows
+
+
+def test_pipeline_stage_recalls_all_similar_texts(spark):
+    import corpus_pipeline
+
+    rows = alike_pairs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    want = plain_components(rows, 64, 5, 0.8)
+    assert len({c for _, _, c in want}) == 90
+    caught = sum(10 * k + 1 not in got for k in range(90))
+    assert got == sorted(int(i) for i, _, c in want if i == c), f"{caught} of 90 pairs caught"
