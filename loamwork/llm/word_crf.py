@@ -279,12 +279,13 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, text_col: str, label_col: str, per_label: int) -> list[tuple[str, str]]:
-    """At most ``per_label`` texts of each label, by a hash of the text: one count per label and one filtered scan."""
+    """At most ``per_label`` distinct texts of each label, by a hash of the text: one count per label and one filtered scan."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, label_col)
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(text_col), F.lit(11)), 11) / float(1 << 53)
+    # copies share one draw, so they count once
+    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).agg(F.count_distinct(draw)).collect()}
     if not counts:
         return []
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(text_col), F.lit(11)), 11) / float(1 << 53)
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.3 * per_label / n + 20 / n))])[F.col(label_col)]
     out: dict[str, list[tuple[float, str]]] = {}
     for r in labelled.withColumn("draw", draw).where(F.col("draw") < share).dropDuplicates(["draw"]).toLocalIterator():

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loamwork.llm.word_crf import BLOCK, UNKNOWN, Model, Tagger, fit_and_identify, forward_backward, letter_words, train
+from loamwork.llm.word_crf import BLOCK, UNKNOWN, Model, Tagger, fit_and_identify, forward_backward, labelled_sample, letter_words, train
 
 EN = "the people of the town were walking with their dogs and the weather was nice that morning".split()
 FR = "les gens de la ville marchaient avec leurs chiens et il faisait très beau dans la journée".split()
@@ -69,3 +69,9 @@ def test_column_form(spark):
     assert np.mean(right) == 1
     assert fit_and_identify(docs.where("false")).collect() == []
     assert {r.lang_pred for r in fit_and_identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {UNKNOWN}
+
+
+def test_copies_do_not_crowd_out_a_label(spark):
+    rows = [("one text copied", "en")] * 20_000 + [(f"other text {k}", "en") for k in range(100)] + [(f"texte {k}", "fr") for k in range(5)]
+    sample = labelled_sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 10)
+    assert len(set(sample)) == len(sample) == 15 and sum(lang == "en" for _, lang in sample) == 10
