@@ -293,11 +293,11 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, per_label: i
     return [(text, label) for label, of in sorted(out.items()) for _, text in sorted(of)[:per_label]]
 
 
-def identify_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+def identify_language(docs: DataFrame, model: Model | None, text_col: str = "text", unmodelled: str = UNKNOWN) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) added; only the text is looked at.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is every text if there is no model. Rows are
-    independent: repeated rows come out alike, empty tables empty. Columns of ``docs`` are carried; those
+    Null texts and texts without a letter are ``und`` with score 0. If there is no model, every other text
+    is ``unmodelled`` with score 0. Rows are independent: repeated rows come out alike, empty tables empty. Columns of ``docs`` are carried; those
     named as the new ones are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
@@ -309,7 +309,7 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
         tagger = Tagger(shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            got = tagger.predict(texts) if tagger else [(UNKNOWN, 0.0)] * len(texts)
+            got = tagger.predict(texts) if tagger else [(unmodelled if letter_words(t) else UNKNOWN, 0.0) for t in texts]
             arrays = [batch.column(k) for k in range(width)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 
@@ -317,13 +317,13 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
 
 
 def fit_and_identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, words_a_label: int = 60_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 300, words_a_label: int = 60_000, unmodelled: str = UNKNOWN
 ) -> DataFrame:
     """Trains on the labelled rows that are not held out (CRC32 of the id mod 4 is not 2) and identifies every row.
 
     The training sample is bounded by ``per_label`` texts and ``words_a_label`` words of each label.
-    Adds ``held_out``, ``lang_pred`` and ``score``.
+    Adds ``held_out``, ``lang_pred`` and ``score``. Without a labelled text to train on, texts with letters are ``unmodelled``.
     """
     docs = docs.select(*[c for c in docs.columns if c != "held_out"]).withColumn("held_out", held_out(id_col, 4, 2))
     model = train(labelled_sample(docs.where(~F.col("held_out")), text_col, label_col, per_label), words_a_label)
-    return identify_language(docs, model, text_col)
+    return identify_language(docs, model, text_col, unmodelled)
