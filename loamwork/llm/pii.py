@@ -152,9 +152,9 @@ _AT_SIGN = rf"(?:\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*|\s*(?:[-_*/|~]|\s)\s
 _DOT_SIGN = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*|\s*(?:[-_*/|~]|\s)\s*{_DOT_WORD}\s*(?:[-_*/|~]|\s)\s*|\.)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: Local part, sign, and a domain; labels end before the next sign, so "-dot-" is not a part of one.
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+]+(?:{_DOT_SIGN}[A-Za-z0-9_%+]+){{0,4}}(?P<at>{_AT_SIGN})[A-Za-z0-9]+(?:-(?!{_DOT_WORD}-)[A-Za-z0-9]+)*(?:{_DOT_SIGN}[A-Za-z0-9]+(?:-(?!{_DOT_WORD}-)[A-Za-z0-9]+)*){{1,5}}", re.I
-)
+_LOCAL = rf"[A-Za-z0-9_%+]+(?:-(?!{_AT_WORD}-|{_DOT_WORD}-)[A-Za-z0-9_%+]+)*"
+_NAME = rf"[A-Za-z0-9]+(?:-(?!{_DOT_WORD}-)[A-Za-z0-9]+)*"
+_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT_SIGN}{_LOCAL})*(?P<at>{_AT_SIGN}){_NAME}(?:{_DOT_SIGN}{_NAME})+", re.I)
 _AT_ONLY, _DOT_ONLY = re.compile(_AT_SIGN, re.I), re.compile(_DOT_SIGN, re.I)
 _WRITTEN = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])|{_OPEN}\s*(?:{_AT_WORD}|@|\.)\s*{_SHUT}|\s@|@\s", re.I)
 _BRACED = re.compile(rf"{_OPEN}|[*_|~/-]\s*{_AT_WORD}\s*[*_|~/-]", re.I)

@@ -39,6 +39,11 @@ DISGUISED = [
     ("email", "jane_doe AT example DOT com"),
     ("email", "jane{at}example{dot}net"),
     ("email", "jane-at-example-dot-net"),
+    ("email", "mary-ann [at] example [dot] com"),
+    ("email", "mary-ann@example[dot]com"),
+    ("email", "mary-ann-at-example-dot-net"),
+    ("email", "a dot b dot c dot d dot e dot f dot g at example dot com"),
+    ("email", "jane [at] a [dot] b [dot] c [dot] d [dot] e [dot] f [dot] g [dot] com"),
     ("email", "jane @ example . com".replace(" . ", ".")),
     ("email", "jаne@exаmple.com"),
     ("email", "ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
