@@ -135,7 +135,7 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)[\x20\t]+|\+[\x20\t]*)?{_UNI
 _TOKEN = re.compile(rf"plus|más|dot|point|punto|punkt|{'|'.join(_REPEAT)}|{_SPELL}|[0-9]+|\+|[^\w\s]|\s+", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _UNITS = {w: "1" for w in (*SPELLED, *_REPEAT, "dot", "point", "punto", "punkt", "plus", "más")}
-_DOTS = frozenset("dot punto punkt point dt".split())
+_SIGN_WORDS = frozenset("dot punto punkt point dt at arroba arobase ät chez".split())
 
 
 def _may_spell(words: list[str], digits: bool) -> bool:
@@ -156,7 +156,7 @@ _LOCAL = rf"[A-Za-z0-9_%+]+(?:-(?!{_AT_WORD}-|{_DOT_WORD}-)[A-Za-z0-9_%+]+)*"
 _NAME = rf"[A-Za-z0-9]+(?:-(?!{_DOT_WORD}-)[A-Za-z0-9]+)*"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT_SIGN}{_LOCAL})*(?P<at>{_AT_SIGN}){_NAME}(?:{_DOT_SIGN}{_NAME})+", re.I)
 _AT_ONLY, _DOT_ONLY = re.compile(_AT_SIGN, re.I), re.compile(_DOT_SIGN, re.I)
-_WRITTEN = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])|{_OPEN}\s*(?:{_AT_WORD}|@|\.)\s*{_SHUT}|\s@|@\s", re.I)
+_WRITTEN = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])|{_OPEN}\s*(?:{_AT_WORD}|@|\.)\s*{_SHUT}|\s@|@\s|[-_*/|~]\s*{_AT_WORD}\s*[-_*/|~\s]|\s{_AT_WORD}\s*[-_*/|~]", re.I)
 _BRACED = re.compile(rf"{_OPEN}|[*_|~/-]\s*{_AT_WORD}\s*[*_|~/-]", re.I)
 _DOT_TEXT = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])", re.I)
 _OCTETS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -259,7 +259,7 @@ def disguised_spans(text: str) -> dict[str, list[Span]]:
     if _may_spell(words, _HAS_DIGIT.search(plain) is not None):
         traced = _spelled(traced or Traced(plain))
         plain = traced.text
-    if ("@" in plain or "[" in plain or "(" in plain or "{" in plain or "<" in plain or not _DOTS.isdisjoint(words)) and _WRITTEN.search(plain):
+    if ("@" in plain or "[" in plain or "(" in plain or "{" in plain or "<" in plain or not _SIGN_WORDS.isdisjoint(words)) and _WRITTEN.search(plain):
         traced = _signs(traced or Traced(plain))
     if traced is None:
         return {}

@@ -92,3 +92,11 @@ def test_column_form(spark):
         assert [f.text for f in r.found] == [text[a:b] for _, a, b in every]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone"))
     assert detect_pii(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("mark", "-*_/|~")
+@pytest.mark.parametrize("at", ["at", "AT", "arroba", "arobase", "ät", "chez"])
+def test_the_gate_opens_for_signed_forms(mark, at):
+    text = f"jane{mark}{at}{mark}example.com"
+    alone, beside = find_pii(text)[1], find_pii(text + ", a dot")[1]
+    assert alone == beside and any(s[0] == "email" for s in alone)
