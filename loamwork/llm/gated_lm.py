@@ -40,8 +40,8 @@ HIDDEN, WINDOW, SLOTS = 32, 32, 512
 #: Words whose counts every task holds, and how long such a word may be in bytes.
 HEAD, HEAD_BYTES = 100_000, 40
 SMOOTH = 0.1
-#: In the pass over all texts, each document trains on one segment in so many.
-EVERY = 16
+#: In the pass over all texts, each document trains on one segment in so many: on all.
+EVERY = 1
 SEGMENT = 2 * WINDOW
 
 

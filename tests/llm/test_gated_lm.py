@@ -104,3 +104,10 @@ def test_every_text_gives_segments():
         got = list(lm.segments(found, 8))
         assert got and all(2 <= len(s) <= lm.SEGMENT + 1 for s in got)
         assert [w for s in lm.segments(found, 1) for w in s[1:]] == found
+
+
+def test_the_pass_over_all_texts_takes_every_token():
+    from loamwork.llm.gated_lm import EVERY, segments
+
+    found = [b"w%d" % k for k in range(1000)]
+    assert [w for s in segments(found, EVERY) for w in s[1:]] == found
