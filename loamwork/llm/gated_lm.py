@@ -1,16 +1,16 @@
 """Log-likelihood of whole documents under a gated recurrent language model.
 
 The output softmax is factored by class: p(word | state) = p(class | state) *
-p(word | class, state). The most frequent words sit in classes of their own of ``IN_CLASS``
-words each, told apart by the state; every other word is in a class by its ending, told apart
-by its corpus count, one share of each such class being kept for words never
+p(member | class, state), each class having ``IN_CLASS`` members. The most frequent words are members of
+their own; those of the last class are the other words by their endings. Words of one ending are told apart
+by their corpus counts, one share of each ending being kept for words never
 seen. Word counts, the vocabulary, the classes and their totals come from all training texts.
 
 The network is fitted by truncated backpropagation through time, in numpy: first on
 the driver on a bounded sample, as all tasks need one starting point; then each task
-of a pass over all training texts goes on from there with segments of every document, and the tasks' weights
-are averaged by the tokens they saw. In scoring, the state is carried across windows from a
-text's first token to its last. Words beyond the broadcast head are looked up in the count table by a join.
+of a pass over all training texts goes on from there with every token of its texts, and the tasks' weights
+are averaged by the tokens they saw. In training and in scoring, a text's state is carried from window to window
+from its first token to its last. Words beyond the broadcast head are looked up in the count table by a join of 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,25 +34,25 @@ from loamwork.llm.word_crf import held_out
 
 #: The token after a text's last word; no word has a space.
 END = " "
-IN_CLASS, IN_CLASSES, ENDING_CLASSES = 32, 64, 64
-TOP = IN_CLASS * IN_CLASSES
-CLASSES = IN_CLASSES + ENDING_CLASSES
-HIDDEN, WINDOW, SLOTS = 32, 32, 512
+IN_CLASS, TOP_CLASSES = 64, 32
+CLASSES, ENDINGS, TOP = TOP_CLASSES + 1, IN_CLASS, IN_CLASS * TOP_CLASSES
+HIDDEN, WINDOW, SLOTS = 32, 32, 1024
 #: Words whose counts every task holds, and how long such a word may be in bytes.
 HEAD, HEAD_BYTES = 100_000, 40
 SMOOTH = 0.1
-#: In the pass over all texts, each document trains on one segment in so many: on all.
-EVERY = 1
-SEGMENT = 2 * WINDOW
+#: Windows that are cut from the lanes at once, and tokens that a class softmax takes at once.
+AHEAD, ROWS = 8, 2048
+#: Texts that train side by side on the driver, and in a task.
+START_LANES, LANES = 32, 256
 
 
-def ending_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % ENDING_CLASSES
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def _ending_class(word: Column) -> Column:
+def _ending(word: Column) -> Column:
     data = F.encode(word, "UTF-8")
-    return (F.crc32(F.substring(data, -2, 2)) % ENDING_CLASSES).cast("int")
+    return (F.crc32(F.substring(data, -2, 2)) % ENDINGS).cast("int")
 
 
 Params = dict[str, np.ndarray]
@@ -60,12 +61,12 @@ Params = dict[str, np.ndarray]
 def new_params(seed: int = 3) -> Params:
     rng = np.random.default_rng(seed)
     shape = {
-        "x": (TOP + ENDING_CLASSES, 3 * HIDDEN),
+        "x": (TOP + ENDINGS, 3 * HIDDEN),
         "u": (HIDDEN, 3 * HIDDEN),
         "wc": (HIDDEN, CLASSES),
         "bc": (CLASSES,),
-        "ww": (IN_CLASSES, HIDDEN, IN_CLASS),
-        "bw": (IN_CLASSES, IN_CLASS),
+        "ww": (CLASSES, HIDDEN, IN_CLASS),
+        "bw": (CLASSES, IN_CLASS),
     }
     out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in shape.items()}
     out["bc"][:] = 0
@@ -73,174 +74,251 @@ def new_params(seed: int = 3) -> Params:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _thirds(m: np.ndarray) -> np.ndarray:
+    """Update gate, reset gate and new state apart: (rows, 3 * HIDDEN) as (3, rows, HIDDEN)."""
+    return np.ascontiguousarray(m.reshape(len(m), 3, HIDDEN).transpose(1, 0, 2))
 
 
-def step(p: Params, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Next states, and what backpropagation needs."""
-    x = p["x"][ids]
-    hu = h @ p["u"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    hn = hu[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * hn)
-    return n + z * (h - n), (h, z, r, hn, n)
-
-
-def prepared(p: Params) -> Params:
-    """Parameters for scoring, the gates' parts and the new state's apart, so that each step works on contiguous rows."""
-    return p | {"xg": p["x"][:, : 2 * HIDDEN].copy(), "xn": p["x"][:, 2 * HIDDEN :].copy(), "ug": p["u"][:, : 2 * HIDDEN].copy(), "un": p["u"][:, 2 * HIDDEN :].copy()}
-
-
-def advance(q: Params, h: np.ndarray, ids: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """The same next states as ``step`` gives, written into ``out`` without what only backpropagation needs."""
-    gates = q["xg"].take(ids, axis=0)
-    gates += h @ q["ug"]
+def _advance(x: np.ndarray, hu: np.ndarray, old: np.ndarray, out: np.ndarray) -> None:
+    """Writes the next states into ``out``. x: the inputs' thirds, which become the two gates and the new state; hu: the old states'."""
+    gates, new = x[:2], x[2]
+    gates += hu[:2]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    new = h @ q["un"]
-    new *= gates[:, HIDDEN:]
-    new += q["xn"].take(ids, axis=0)
+    new += gates[1] * hu[2]
     np.tanh(new, out=new)
-    np.subtract(h, new, out=out)
-    out *= gates[:, :HIDDEN]
+    np.subtract(old, new, out=out)
+    out *= gates[0]
     out += new
-    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_class(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """An order of tokens by class, their classes in it, and where each class begins and the last one ends."""
+    classes = (goal // IN_CLASS).astype(np.int16)
+    order = np.argsort(classes, kind="stable")
+    classes = classes[order]
+    return order, classes, np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
 
 
-def _class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < TOP, ids // IN_CLASS, ids - TOP + IN_CLASSES)
+def _wide(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether exponentials could run over: states lie within -1 and 1, so most often they can't."""
+    return float((np.abs(w).sum(axis=-2) + np.abs(b)).max()) > 60
 
 
-def _picked(logits: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
-    """Log-probabilities of one place a row; overwrites the logits. States lie within -1 and 1, so most often no maximum is needed."""
-    if bound > 60:
+def _picked(logits: np.ndarray, at: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of one place a row, and the sums of the exponentials that overwrite ``logits``."""
+    if wide:
         logits -= logits.max(axis=1, keepdims=True)
     picked = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return picked - np.log(sums), sums
 
 
 def log_probs(p: Params, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log of p(class) and, for top words, of p(word | class)."""
-    classes = _class_of(ids)
-    logits = h @ p["wc"]
-    logits += p["bc"]
-    out = _picked(logits, classes, float((np.abs(p["wc"]).sum(axis=0) + np.abs(p["bc"])).max()))
-    bounds = (np.abs(p["ww"]).sum(axis=1) + np.abs(p["bw"])).max(axis=1).tolist()
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(IN_CLASSES + 1)).tolist()
-    order = order[: ends[-1]]
+    """Natural log of p(class) * p(member | class)."""
+    order, classes, ends = _by_class(ids)
     states, places = h.take(order, axis=0), ids[order] % IN_CLASS
-    inner = np.empty(len(order), out.dtype)
-    for c in range(IN_CLASSES):
-        a, b = ends[c], ends[c + 1]
+    found, wide = np.empty(len(ids), states.dtype), _wide(p["wc"], p["bc"])
+    for a in range(0, len(ids), ROWS):
+        logits = states[a : a + ROWS] @ p["wc"]
+        logits += p["bc"]
+        found[a : a + ROWS] = _picked(logits, classes[a : a + ROWS], wide)[0]
+    wide = _wide(p["ww"], p["bw"])
+    for c, (a, b) in enumerate(pairwise(ends)):
         if a < b:
             logits = states[a:b] @ p["ww"][c]
             logits += p["bw"][c]
-            inner[a:b] = _picked(logits, places[a:b], bounds[c])
-    out[order] += inner
+            found[a:b] += _picked(logits, places[a:b], wide)[0]
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
-def gradients(p: Params, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
-    """Of the mean negative log-likelihood of a window; ids, targets, real: (steps, sequences). Also the last states and the loss."""
+def _slopes(states: np.ndarray, w: np.ndarray, b: np.ndarray, wide: bool, at: np.ndarray, total: int, gw: np.ndarray, gb: np.ndarray, down: np.ndarray) -> float:
+    """Adds one softmax's slopes to those of its weights, its biases and the states; returns its loss."""
+    logits = states @ w
+    logits += b
+    logs, sums = _picked(logits, at, wide)
+    logits *= (1 / (total * sums))[:, None]
+    logits[np.arange(len(at)), at] -= 1 / total
+    gw += states.T @ logits
+    gb += np.ones(len(at), logits.dtype) @ logits
+    down += logits @ w.T
+    return -float(logs.sum())
+
+
+def gradients(p: Params, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Params, np.ndarray, float]:
+    """Of the mean negative log-likelihood of a window; ids, targets, real, fresh: (steps, lanes). Also the last states and the loss.
+
+    ``fresh`` marks texts' first tokens: the state before them is zero, and nothing goes back past them.
+    """
     steps, n = ids.shape
-    kept, states = [], []
+    kind, u, flat = p["x"].dtype, _thirds(p["u"]), ids.ravel()
+    x = np.ascontiguousarray(p["x"].take(flat, axis=0).reshape(steps, n, 3, HIDDEN).transpose(0, 2, 1, 3))
+    before, states = np.empty((steps, n, HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
+    hu = np.empty((steps, 3, n, HIDDEN), kind)
+    begins = np.zeros(steps, bool) if fresh is None else fresh.any(axis=1)
     for t in range(steps):
-        h, saved = step(p, h, ids[t])
-        kept.append(saved)
-        states.append(h)
-    every, goal, weight = np.concatenate(states), targets.ravel(), real.ravel().astype(np.float32)
-    total = max(1.0, float(weight.sum()))
+        before[t] = h
+        if begins[t]:
+            before[t][fresh[t]] = 0
+        h = states[t]
+        np.matmul(before[t], u, out=hu[t])
+        _advance(x[t], hu[t], before[t], h)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    classes = _class_of(goal)
-    logs = _log_softmax(every @ p["wc"] + p["bc"])
-    rows = np.arange(len(goal))
-    loss = -float((logs[rows, classes] * weight).sum())
-    d = np.exp(logs)
-    d[rows, classes] -= 1
-    d *= (weight / total)[:, None]
-    g["wc"], g["bc"] = every.T @ d, d.sum(axis=0)
-    dh_out = d @ p["wc"].T
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(IN_CLASSES + 1))
-    for c in range(IN_CLASSES):
-        some = order[ends[c] : ends[c + 1]]
-        some = some[weight[some] > 0]
-        if not len(some):
-            continue
-        logs = _log_softmax(every[some] @ p["ww"][c] + p["bw"][c])
-        mine, at = np.arange(len(some)), goal[some] % IN_CLASS
-        loss -= float(logs[mine, at].sum())
-        d = np.exp(logs)
-        d[mine, at] -= 1
-        d /= total
-        g["ww"][c], g["bw"][c] = every[some].T @ d, d.sum(axis=0)
-        dh_out[some] += d @ p["ww"][c].T
-    dh_out = dh_out.reshape(steps, n, HIDDEN)
-    dh = np.zeros((n, HIDDEN), np.float32)
-    dx = np.empty((steps, n, 3 * HIDDEN), np.float32)
+
+    # the output layers, tokens in order of their classes
+    at = np.flatnonzero(real.ravel())
+    goal, total = targets.ravel()[at], max(1, len(at))
+    order, classes, ends = _by_class(goal)
+    at, places = at[order], goal[order] % IN_CLASS
+    some, down, loss = states.reshape(-1, HIDDEN).take(at, axis=0), np.zeros((len(at), HIDDEN), kind), 0.0
+    wide = _wide(p["wc"], p["bc"])
+    for a in range(0, len(at), ROWS):
+        cut = slice(a, a + ROWS)
+        loss += _slopes(some[cut], p["wc"], p["bc"], wide, classes[cut], total, g["wc"], g["bc"], down[cut])
+    wide = _wide(p["ww"], p["bw"])
+    for c, (a, b) in enumerate(pairwise(ends)):
+        if a < b:
+            loss += _slopes(some[a:b], p["ww"][c], p["bw"][c], wide, places[a:b], total, g["ww"][c], g["bw"][c], down[a:b])
+    from_out = np.zeros((steps * n, HIDDEN), kind)
+    from_out[at] = down
+    from_out = from_out.reshape(steps, n, HIDDEN)
+
+    # back through time: what each third passes on for a slope of one at the state
+    z, r, new, hn = x[:, 0], x[:, 1], x[:, 2], hu[:, 2]
+    stay = 1 - z
+    to_new = new * new
+    np.subtract(1, to_new, out=to_new)
+    to_new *= stay
+    to_z = before - new
+    to_z *= z
+    to_z *= stay
+    to_r = 1 - r
+    to_r *= r
+    to_r *= hn
+    du, dnew = np.empty((3, steps, n, HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
+    dh, back, turned = np.zeros((n, HIDDEN), kind), np.empty((3, n, HIDDEN), kind), np.ascontiguousarray(u.transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        before, z, r, hn, new = kept[t]
-        dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        g["u"] += before.T @ du
-        dh = dh * z + du @ p["u"].T
-    order = np.argsort(ids, axis=None, kind="stable")
-    rows = ids.ravel()[order]
+        dh += from_out[t]
+        np.multiply(dh, to_z[t], out=du[0, t])
+        np.multiply(dh, to_new[t], out=dnew[t])
+        np.multiply(dnew[t], to_r[t], out=du[1, t])
+        np.multiply(dnew[t], r[t], out=du[2, t])
+        np.matmul(du[:, t], turned, out=back)
+        dh *= z[t]
+        for part in back:
+            dh += part
+        if begins[t]:
+            dh[fresh[t]] = 0
+    olds = before.reshape(-1, HIDDEN).T
+    order = np.argsort(flat, kind="stable")
+    rows = flat[order]
     firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    g["x"][rows[firsts]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
-    return g, h, loss / total
+    for k, (to_u, to_x) in enumerate(((du[0], du[0]), (du[1], du[1]), (du[2], dnew))):
+        cut = slice(k * HIDDEN, (k + 1) * HIDDEN)
+        g["u"][:, cut] = olds @ to_u.reshape(-1, HIDDEN)
+        g["x"][rows[firsts], cut] = np.add.reduceat(to_x.reshape(-1, HIDDEN).take(order, axis=0), firsts, axis=0)
+    return g, h.copy(), loss / total
+
+
+class Lanes:
+    """Texts side by side, each lane one after the other. Blocks of steps are cut from all lanes, so texts are never padded to one length."""
+
+    def __init__(self, n: int, start: int):
+        self.start, self.done = start, 0
+        self.queues: list[deque] = [deque() for _ in range(n)]
+        self.loads = [(0, k) for k in range(n)]
+        self.last = np.zeros(n, np.int32)
+
+    def add(self, ids: np.ndarray, owner: int = 0) -> None:
+        """Into the lane that has been given the least so far."""
+        load, k = self.loads[0]
+        heapq.heapreplace(self.loads, (load + len(ids), k))
+        self.queues[k].append((ids, owner))
+
+    def ready(self) -> int:
+        """Steps that every lane can go."""
+        return self.loads[0][0] - self.done
+
+    def sort(self) -> np.ndarray:
+        """Puts the lanes with the most left first; returns their order."""
+        by = sorted(range(len(self.queues)), key=lambda k: -sum(len(ids) for ids, _ in self.queues[k]))
+        place = {k: at for at, k in enumerate(by)}
+        self.queues, self.last = [self.queues[k] for k in by], self.last[by]
+        self.loads = [(load, place[k]) for load, k in self.loads]
+        return np.array(by)
+
+    def block(self, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Goals, what stands before them, texts' first tokens, tokens of each lane, and (owner, lane, step) where each piece of a text begins.
+
+        Arrays are (steps, lanes), without lanes that are empty if the lanes are sorted.
+        """
+        n = len(self.queues)
+        goal, fresh, held = np.zeros((n, steps), np.int32), np.zeros((n, steps), bool), np.zeros(n, np.int64)
+        pieces = []
+        for k, queue in enumerate(self.queues):
+            at = 0
+            while queue and at < steps:
+                ids, owner = queue.popleft()
+                part = ids[: steps - at]
+                goal[k, at : at + len(part)] = part
+                # what is left of a text has a negative owner
+                fresh[k, at] = owner >= 0
+                pieces.append((owner if owner >= 0 else ~owner, k, at))
+                at += len(part)
+                if len(part) < len(ids):
+                    queue.appendleft((ids[len(part) :], owner if owner < 0 else ~owner))
+            held[k] = at
+        given = np.empty_like(goal)
+        given[:, 0], given[:, 1:] = self.last, goal[:, :-1]
+        given[fresh] = self.start
+        self.last = goal[:, -1].copy()
+        self.done += steps
+        live = int((held > 0).sum())
+        return *(np.ascontiguousarray(m[:live].T) for m in (goal, given, fresh)), held[:live], pieces
 
 
 class Trainer:
-    """Adagrad over windows of segments; states carry from a segment's first window to its next."""
+    """Adagrad over windows of whole texts; a text's state goes on from each window to its next."""
 
-    def __init__(self, params: Params, rate: float, slots: int = 64):
-        self.p, self.rate, self.slots = {k: v.copy() for k, v in params.items()}, rate, slots
+    def __init__(self, params: Params, rate: float, start: int, lanes: int):
+        self.p, self.rate = {k: v.copy() for k, v in params.items()}, rate
         self.seen = {k: np.full_like(v, 1e-6) for k, v in params.items()}
-        self.tokens, self.held = 0, []
+        self.lanes, self.state, self.tokens = Lanes(lanes, start), np.zeros((lanes, HIDDEN), np.float32), 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.lanes.add(ids)
+        if self.lanes.ready() >= AHEAD * WINDOW:
+            self.learn()
 
-    def add(self, segment: np.ndarray) -> None:
-        """segment: ids with the token before the first one in front."""
-        self.held.append(segment)
-        if len(self.held) >= self.slots:
+    def finish(self) -> None:
+        """Learns what is left of the texts, lanes dropping out as they end."""
+        order = self.lanes.sort()
+        self.state = self.state[order]
+        while any(self.lanes.queues):
             self.learn()
 
-    def learn(self) -> float:
-        held, self.held = sorted(self.held, key=len, reverse=True), []
-        if not held:
-            return 0.0
-        longest = max(len(s) for s in held) - 1
-        ids = np.zeros((longest, len(held)), np.int64)
-        goal, real = np.zeros_like(ids), np.zeros(ids.shape, bool)
-        for k, s in enumerate(held):
-            ids[: len(s) - 1, k], goal[: len(s) - 1, k], real[: len(s) - 1, k] = s[:-1], s[1:], True
-        h, losses = np.zeros((len(held), HIDDEN), np.float32), []
-        for at in range(0, longest, WINDOW):
+    def learn(self) -> None:
+        goal, given, fresh, held, _ = self.lanes.block(AHEAD * WINDOW)
+        for at in range(0, len(goal), WINDOW):
+            n = int((held > at).sum())
+            if not n:
+                break
             cut = slice(at, at + WINDOW)
-            g, h, loss = gradients(self.p, ids[cut], goal[cut], real[cut], h)
-            losses.append(loss)
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            real = np.arange(at, at + WINDOW)[:, None] < held[None, :n]
+            g, self.state[:n], _ = gradients(self.p, given[cut, :n], goal[cut, :n], real, self.state[:n], fresh[cut, :n])
+            norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             for k, x in g.items():
                 x *= min(1.0, 1.0 / (norm + 1e-9))
                 self.seen[k] += x * x
-                self.p[k] -= self.rate * x / np.sqrt(self.seen[k])
-        self.tokens += int(real.sum())
-        return float(np.mean(losses))
+                x *= self.rate
+                x /= np.sqrt(self.seen[k])
+                self.p[k] -= x
+            self.tokens += int(real.sum())
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -256,7 +334,7 @@ class Head:
         #: log10 of the sum over a class of count + SMOOTH, words never seen counting as one
         self.log_rest = np.log10(rest + SMOOTH)
         self.log_base = math.log10(total + SMOOTH * (distinct + 1))
-        ids = np.array([k if k < TOP else TOP + ending_class(w) for k, w in enumerate(words)], np.int32)
+        ids = np.array([k if k < TOP else TOP + ending(w) for k, w in enumerate(words)], np.int32)
         self.log_counts = np.log10(counts + SMOOTH)
         self.index = {w: k for k, w in enumerate(words)}
         self.ids = ids
@@ -268,11 +346,6 @@ class Head:
         self.__dict__ |= state
         self.index = {w: k for k, w in enumerate(self.words)}
 
-    def numbers(self, found: list[bytes]) -> np.ndarray:
-        """Network ids of words."""
-        get, ids = self.index.get, self.ids
-        return np.array([ids[k] if (k := get(w, -1)) >= 0 else TOP + ending_class(w) for w in found], np.int32)
-
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Network ids, places in the head (-1: not in it), and the words of those."""
         found = tokens(text)
@@ -282,7 +355,7 @@ class Head:
         ids = self.ids[at] if len(self.ids) else np.zeros(len(at), np.int32)
         tail = [found[k] for k in lost]
         if lost:
-            ids[lost] = [TOP + ending_class(w) for w in tail]
+            ids[lost] = [TOP + ending(w) for w in tail]
         return ids, at, tail
 
     def counted(self, ids: np.ndarray, at: np.ndarray) -> tuple[float, float, int]:
@@ -295,64 +368,45 @@ class Head:
         return base, inner, int((self.counts[at[known]] > 0).sum())
 
 
-def score_many(p: Params, texts: list[np.ndarray], start: int, slots: int = SLOTS) -> np.ndarray:
-    """Natural log-likelihood of each text's ids under the network (rest words: of their class).
-
-    Texts are dealt to lanes; a lane that ends a text starts its next with a fresh state,
-    and lanes that have nothing left drop out.
-    """
+def score_many(p: Params, texts: list[np.ndarray], start: int, lanes: int = SLOTS) -> np.ndarray:
+    """Natural log-likelihood of each text's ids under the network (rest words: of their class); states are carried from first to last token."""
     out = np.zeros(len(texts))
-    if not texts:
-        return out
-    p = prepared(p)
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    lanes = min(slots, len(texts))
-    load = [(0, k) for k in range(lanes)]
-    dealt: list[list[int]] = [[] for _ in range(lanes)]
-    for k in order:
-        n, lane = heapq.heappop(load)
-        dealt[lane].append(k)
-        heapq.heappush(load, (n + len(texts[k]), lane))
-    dealt.sort(key=lambda of: -sum(len(texts[k]) for k in of))
-    sizes = np.array([sum(len(texts[k]) for k in of) for of in dealt])
-    longest = int(sizes[0])
-    goal = np.zeros((longest, lanes), np.int32)
-    fresh = np.zeros((longest, lanes), bool)
-    owner = np.zeros((longest, lanes), np.int32)
-    for lane, of in enumerate(dealt):
-        at = 0
-        for k in of:
-            n = len(texts[k])
-            goal[at : at + n, lane], owner[at : at + n, lane], fresh[at, lane] = texts[k], k, True
-            at += n
-    given = np.empty_like(goal)
-    given[1:] = goal[:-1]
-    given[fresh] = start
-    any_fresh = fresh.any(axis=1)
-    active = (sizes[None, :] > np.arange(longest)[:, None]).sum(axis=1)
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    for at in range(0, longest, 4 * WINDOW):
-        cut = active[at : at + 4 * WINDOW].tolist()
-        states = np.empty((sum(cut), HIDDEN), np.float32)
-        done = 0
-        for t, n in enumerate(cut, at):
+    held = Lanes(min(lanes, len(texts)) or 1, start)
+    for k in sorted(range(len(texts)), key=lambda k: -len(texts[k])):
+        held.add(texts[k], k)
+    held.sort()
+    x, u = _thirds(p["x"]), _thirds(p["u"])
+    h = np.zeros((len(held.queues), HIDDEN), np.float32)
+    while any(held.queues):
+        goal, given, fresh, sizes, pieces = held.block(4 * WINDOW)
+        counts = (sizes[None, :] > np.arange(len(goal))[:, None]).sum(axis=1).tolist()
+        begins = fresh.any(axis=1).tolist()
+        states, done = np.empty((sum(counts), HIDDEN), np.float32), 0
+        for t, n in enumerate(counts):
+            if not n:
+                break
             h = h[:n]
-            if any_fresh[t]:
+            if begins[t]:
                 h = h.copy()  # it may be a view of the states
                 h[fresh[t, :n]] = 0
-            h = advance(p, h, given[t, :n], states[done : done + n])
+            after = states[done : done + n]
+            _advance(x.take(given[t, :n], axis=1), h @ u, h, after)
+            h = after
             done += n
-        used = np.arange(lanes)[None, :] < np.array(cut)[:, None]
-        logs = log_probs(p, states, goal[at : at + len(cut)][used])
-        out += np.bincount(owner[at : at + len(cut)][used], logs, len(texts))
+        logs = np.zeros(goal.shape[::-1])
+        used = np.arange(len(goal))[:, None] < sizes
+        logs.T[used] = log_probs(p, states, goal[used])
+        # pieces lie one after the other within each lane
+        sums = np.add.reduceat(logs.ravel(), [k * len(goal) + at for _, k, at in pieces])
+        out += np.bincount([owner for owner, _, _ in pieces], sums, len(texts))
     return out
 
 
 def _count_words(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
+    def out(counts: Counter) -> Iterator[pa.RecordBatch]:
+        pairs = iter(counts.items())
+        while some := list(islice(pairs, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -361,38 +415,48 @@ def _count_words(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 counts.update(byte_words(text.as_py()))
                 counts[END.encode()] += 1
                 if len(counts) >= held:
-                    yield out(counts)
+                    yield from out(counts)
                     counts.clear()
-        if counts:
-            yield out(counts)
+        yield from out(counts)
 
     return run
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", held: int = 400_000) -> DataFrame:
     """(word, n) over all texts; the end of each text counts as the word ``END``."""
-    return docs.select(text_col).mapInArrow(_count_words(held), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+    counted = docs.select(text_col).mapInArrow(_count_words(held), "word string, n long")
+    # a task has counted its words already: another tally before the shuffle would find nothing to add up
+    return counted.repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
-def segments(found: list[bytes], every: int) -> Iterator[list[bytes]]:
-    """One in ``every`` segments of a text, each behind the token before it; the first is chosen by the text, and a short text has one always."""
-    cuts = range(0, len(found), SEGMENT)
-    first = (zlib.crc32(found[0]) + len(found)) % min(every, len(cuts))
-    for k in cuts[first::every]:
-        yield [found[k - 1] if k else END.encode(), *found[k : k + SEGMENT]]
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Up to ``most`` words by falling count, and their counts.
 
-def _refine(shared, rate: float, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    Counts are tallied in steps of a twelfth of a doubling, and the words of the largest whole steps that fit are
+    collected, so the driver gets no more than it keeps. If these are fewer than the network's words, the first of all come instead.
+    """
+    counts = counts.where(F.octet_length("word") <= HEAD_BYTES)
+    level = F.floor(F.log2(F.col("n").cast("double")) * 12)
+    tally = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    upto = np.cumsum([r["count"] for r in tally])
+    fit = int((upto <= most).sum())
+    some = counts.where(level >= tally[fit - 1].level) if fit else counts.limit(0)
+    if fit < len(tally) and (not fit or upto[fit - 1] < TOP):
+        some = counts.orderBy(F.desc("n"), "word").limit(min(most, TOP))
+    rows = sorted(((-r.n, r.word.encode()) for r in some.collect()))
+    return [w for _, w in rows], np.array([-n for n, _ in rows], np.int64)
+
+
+def _refine(shared, rate: float, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row a parameter: its number, its weights times this task's tokens, and those tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, head, _ = shared.value
-        trainer = Trainer(params, rate, slots=256)
+        params, head, start = shared.value
+        trainer = Trainer(params, rate, start, lanes)
         for batch in batches:
             for text in batch.column(0):
-                for s in segments(tokens(text.as_py()), every):
-                    trainer.add(head.numbers(s))
-        trainer.learn()
+                trainer.add(head.encode(text.as_py())[0])
+        trainer.finish()
         if trainer.tokens:
             part = TaskContext.get().partitionId()
             rows = [(k, part, (v.astype(np.float64) * trainer.tokens).tobytes(), trainer.tokens) for k, v in trainer.p.items()]
@@ -433,13 +497,33 @@ def averaged(weights: DataFrame, params: Params, fan_in: int = 16) -> Params:
     return {k: (total[k] / tokens[k]).astype(np.float32).reshape(v.shape) if k in total else v for k, v in params.items()}
 
 
-def _score(shared, modulus_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Seed of the second half of a word's hash: what Spark's xxhash64 carries on after the literal 1.
+_SECOND = xxhash.xxh64_intdigest((1).to_bytes(8, "little"), 42)
+
+
+def word_hash(word: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(word, 42), xxhash.xxh64_intdigest(word, _SECOND)
+
+
+def _word_hash(word: Column) -> tuple[Column, Column]:
+    return F.xxhash64(word), F.xxhash64(F.lit(1).cast("long"), word)
+
+
+def _tails(tails: list[Counter]) -> pa.Array:
+    """Lists of (two halves of a word's hash, times)."""
+    hashes = np.array([h for t in tails for h in map(word_hash, t)], np.uint64).reshape(-1, 2).view(np.int64)
+    times = np.array([n for t in tails for n in t.values()], np.int64)
+    of = pa.StructArray.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(times)], ["a", "b", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), of)
+
+
+def _score(shared, rows_at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, head, start = shared.value
         part, seq = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, modulus_rows):
-                batch = whole.slice(at, modulus_rows)
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
                 ids, sums, tails = [], [], []
                 for text in batch.column(2):
                     found, places, tail = head.encode(text.as_py())
@@ -456,11 +540,11 @@ def _score(shared, modulus_rows: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     pa.array([s[2] for s in sums], pa.int64()),
                     pa.array([s[0] for s in sums]),
                     pa.array(net + np.array([s[1] for s in sums])),
-                    pa.array([[w.decode("utf-8", "surrogatepass") for w in t] for t in tails], pa.list_(pa.string())),
-                    pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
+                    pa.array([t.total() for t in tails], pa.int64()),
+                    _tails(tails),
                 ]
                 seq += n
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "net", "tail", "times"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "net", "beyond", "tail"])
 
     return run
 
@@ -471,7 +555,6 @@ def lm_scores(
     text_col: str = "text",
     start_tokens: int = 300_000,
     epochs: int = 2,
-    every: int = EVERY,
     head_words: int = HEAD,
     rows_at_once: int = 10_000,
 ) -> DataFrame:
@@ -480,58 +563,54 @@ def lm_scores(
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` (both log10). Null texts count as empty: one end token. A null
     id is in the held-out part. Repeated rows are scored as often; an empty table gives no rows. Without training
-    rows all counts are 0 and the network stays as drawn.
+    rows all counts are 0 and the network stays as drawn. Other columns are not read.
 
     ``start_tokens`` bounds the sample that the driver starts the network on; the pass
-    over all training texts then takes one segment in ``every`` of each of them.
+    over all training texts then learns from every token of each.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), held_out(id_col, 10, 0).alias("held_out"), F.col(text_col).alias("text"))
     training = source.where(~F.col("held_out")).select("text")
     counts = materialise(word_counts(training, "text"), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    fits = F.octet_length("word") <= HEAD_BYTES
-    top = counts.where(fits).orderBy(F.desc("n"), "word").limit(head_words).collect()
-    words, own = [r.word.encode() for r in top], np.array([r.n for r in top], np.int64)
+    words, own = frequent_words(counts, head_words)
     if END.encode() not in words:
-        words, own = [END.encode(), *words], np.r_[0, own].astype(np.int64)
+        words, own = [END.encode(), *words], np.r_[counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], own].astype(np.int64)
     elif words.index(END.encode()) >= TOP:
         # the end token needs an input of its own
         k = words.index(END.encode())
         words = [words[k], *words[:k], *words[k + 1 :]]
         own = np.r_[own[k], np.delete(own, k)]
     start = words.index(END.encode())
-    rest = np.zeros(ENDING_CLASSES)
-    for r in counts.groupBy(_ending_class(F.col("word")).alias("c")).agg(F.sum(F.col("n") + SMOOTH).alias("s")).collect():
+    rest = np.zeros(ENDINGS)
+    for r in counts.groupBy(_ending(F.col("word")).alias("c")).agg(F.sum(F.col("n") + SMOOTH).alias("s")).collect():
         rest[r.c] = r.s
     for w, n in zip(words[:TOP], own[:TOP].tolist(), strict=True):
-        rest[ending_class(w)] -= n + SMOOTH if n else 0
+        rest[ending(w)] -= n + SMOOTH if n else 0
     head = Head(words, own, int(total), int(distinct), np.maximum(rest, 0))
 
     params = new_params()
     if total:
-        unigram = own[:TOP].astype(np.float64)
-        mass = np.r_[np.add.reduceat(np.r_[unigram, np.zeros(TOP - len(unigram))], np.arange(0, TOP, IN_CLASS)), np.maximum(rest, 0)] + 1
-        params["bc"] += np.log(mass / mass.sum()).astype(np.float32)
-        params["bw"].ravel()[: len(unigram)] += np.log(unigram + 1).astype(np.float32)
+        mass = np.r_[own[:TOP], np.zeros(TOP - len(own[:TOP])), np.maximum(rest, 0)].reshape(CLASSES, IN_CLASS) + 1
+        params["bc"] += np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
+        params["bw"] += np.log(mass).astype(np.float32)
         draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11) / float(1 << 53)
         share = min(1.0, 1.2 * start_tokens / int(total))
-        trainer, used, sample = Trainer(params, 0.1), 0, []
+        used, sample = 0, []
         for r in training.where(F.col("text").isNotNull() & (draw < share)).distinct().toLocalIterator():
-            found = tokens(r.text)
-            sample += [head.numbers(x) for x in segments(found, 1)]
-            used += len(found)
+            sample.append(head.encode(r.text)[0])
+            used += len(sample[-1])
             if used >= start_tokens:
                 break
         rng = np.random.default_rng(1)
-        for _ in range(epochs):
-            for k in rng.permutation(len(sample)):
-                trainer.add(sample[k])
-            trainer.learn()
+        trainer = Trainer(params, 0.1, start, START_LANES)
+        for k in np.concatenate([rng.permutation(len(sample)) for _ in range(epochs)]):
+            trainer.add(sample[k])
+        trainer.finish()
         params = trainer.p
         shared = spark.sparkContext.broadcast((params, head, start))
         schema = "name string, part long, blob binary, tokens long"
-        refined = materialise(training.mapInArrow(_refine(shared, 0.03, every), schema), "lm-weights")
+        refined = materialise(training.mapInArrow(_refine(shared, 0.03, LANES), schema), "lm-weights")
         params = averaged(refined, params)
     shared = spark.sparkContext.broadcast((params, head, start))
     schema = docs.select(F.col(id_col).alias("id"), held_out(id_col, 10, 0).alias("held_out")).schema
@@ -539,21 +618,23 @@ def lm_scores(
     scored = materialise(
         source.mapInArrow(
             _score(shared, rows_at_once),
-            f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, net double, tail array<string>, times array<long>",
+            f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, net double, beyond long, tail array<struct<a: long, b: long, times: long>>",
         ),
         "lm-scored",
     )
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
+    a, b = _word_hash(F.col("word"))
+    known = counts.select(a.alias("a"), b.alias("known_b"), F.log10(F.col("n") + SMOOTH).alias("log"))
+    # one key to sort by; the other half of the hash is compared where the first is equal
+    same = F.col("b").bitwiseXOR(F.col("known_b")) == 0
     found = (
-        tail.join(counts, "word", "left")
+        scored.select("row", F.inline("tail"))
+        .join(known.withColumnRenamed("a", "known_a"), (F.col("a") == F.col("known_a")) & same)
         .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        )
+        .agg(F.sum(F.col("times") * F.col("log")).alias("logs"), F.sum("times").alias("more"))
     )
-    logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return scored.join(found, "row", "left").select(
+    more = F.coalesce("more", F.lit(0))
+    logs = F.coalesce("logs", F.lit(0.0)) + (F.col("beyond") - more) * math.log10(SMOOTH)
+    return scored.drop("tail").join(found, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loamwork.llm import gated_lm as lm
 
@@ -38,7 +39,7 @@ def test_counts_and_base_scores(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, n_tokens int, word string").repartition(3)
     want = plain_base(data)
     scores = []
-    for shape in ({}, {"head_words": 30, "rows_at_once": 20, "every": 1}):
+    for shape in ({}, {"head_words": 30, "rows_at_once": 20}):
         got = lm.lm_scores(docs, start_tokens=3000, **shape).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
@@ -51,12 +52,12 @@ def test_counts_and_base_scores(spark):
 
 def test_gradients_by_differences():
     p = {k: v.astype(np.float64) for k, v in lm.new_params().items()}
-    ids = rng.integers(0, lm.TOP + lm.ENDING_CLASSES, (6, 5))
-    goal, real = rng.integers(0, lm.TOP + lm.ENDING_CLASSES, (6, 5)), rng.random((6, 5)) < 0.8
+    ids = rng.integers(0, lm.TOP + lm.ENDINGS, (6, 5))
+    goal, real = rng.integers(0, lm.TOP + lm.ENDINGS, (6, 5)), rng.random((6, 5)) < 0.8
     h = rng.normal(size=(5, lm.HIDDEN))
     g, _, _ = lm.gradients(p, ids, goal, real, h)
-    places = {"x": (ids[2, 1], 7), "u": (3, 40), "wc": (5, int(lm._class_of(goal)[0, 0])), "bc": (70,), "ww": None, "bw": None}
-    top = next((t, k) for t in range(6) for k in range(5) if goal[t, k] < lm.TOP and real[t, k])
+    places = {"x": (ids[2, 1], 7), "u": (3, 40), "wc": (5, int(goal[0, 0]) // lm.IN_CLASS), "bc": (20,), "ww": None, "bw": None}
+    top = next((t, k) for t in range(6) for k in range(5) if real[t, k])
     c, w = goal[top] // lm.IN_CLASS, goal[top] % lm.IN_CLASS
     places |= {"ww": (c, 4, w), "bw": (c, w)}
     for k, at in places.items():
@@ -71,12 +72,12 @@ def test_gradients_by_differences():
 def test_probabilities_sum_to_one():
     p = lm.new_params()
     words, counts = [lm.END.encode(), *[b"t%d" % k for k in range(lm.TOP + 200)]], np.arange(lm.TOP + 201, 0, -1)
-    rest = np.zeros(lm.ENDING_CLASSES)
+    rest = np.zeros(lm.ENDINGS)
     for w, n in zip(words[lm.TOP :], counts[lm.TOP :], strict=True):
-        rest[lm.ending_class(w)] += n + lm.SMOOTH
+        rest[lm.ending(w)] += n + lm.SMOOTH
     head = lm.Head(words, counts, int(counts.sum()), len(words), rest)
     h = rng.normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    every = np.arange(lm.TOP + lm.ENDING_CLASSES)
+    every = np.arange(lm.TOP + lm.ENDINGS)
     logs = lm.log_probs(p, np.repeat(h, len(every), 0), every)
     within = [(10 ** head.log_counts[k] / 10 ** head.log_rest[head.ids[k] - lm.TOP], head.ids[k]) for k in range(lm.TOP, len(words))]
     total = np.exp(logs[: lm.TOP]).sum() + sum(np.exp(logs[i]) * share for share, i in within)
@@ -84,6 +85,14 @@ def test_probabilities_sum_to_one():
     assert np.isclose(total + unseen, 1, atol=1e-3)
 
 
+def plain_step(p, h, before):
+    z, r, n = p["x"][before].reshape(3, -1)
+    uz, ur, un = (h @ p["u"]).reshape(3, -1)
+    z, r = 1 / (1 + np.exp(-z - uz)), 1 / (1 + np.exp(-r - ur))
+    n = np.tanh(n + r * un)
+    return n + z * (h - n)
+
+
 def test_state_is_carried_over_whole_texts():
     p = lm.new_params(5)
     texts = [rng.integers(0, lm.TOP, n).astype(np.int32) for n in (1, 700, 3, 50, 129, 128, 2)]
@@ -91,23 +100,89 @@ def test_state_is_carried_over_whole_texts():
     for ids in texts:
         h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
         for before, now in zip(np.r_[9, ids[:-1]], ids, strict=True):
-            h, _ = lm.step(p, h, np.array([before]))
+            h = plain_step(p, h, before)
             total += float(lm.log_probs(p, h, np.array([now]))[0])
         want.append(total)
     for lanes in (1, 3, 64):
         assert np.allclose(lm.score_many(p, texts, 9, lanes), want, rtol=1e-4)
 
 
-def test_every_text_gives_segments():
-    for n in (1, 64, 65, 5000):
-        found = [b"w%d" % k for k in range(n)]
-        got = list(lm.segments(found, 8))
-        assert got and all(2 <= len(s) <= lm.SEGMENT + 1 for s in got)
-        assert [w for s in lm.segments(found, 1) for w in s[1:]] == found
-
-
-def test_the_pass_over_all_texts_takes_every_token():
-    from loamwork.llm.gated_lm import EVERY, segments
+def test_training_takes_every_token_in_the_order_of_its_text(monkeypatch):
+    """All tokens of all texts are learned, each behind the one before it, with a fresh state just in front of a text."""
+    texts = [rng.integers(0, lm.TOP, n).astype(np.int32) for n in (1, 64, 65, 5000, 3, 300, 2, 31)]
+    seen = []
+
+    def spy(p, ids, targets, real, h, fresh=None):
+        for lane in range(ids.shape[1]):
+            for t in np.flatnonzero(real[:, lane]).tolist():
+                seen.append((int(targets[t, lane]), int(ids[t, lane]), bool(fresh[t, lane])))
+        return {k: np.zeros_like(v) for k, v in p.items()}, h, 0.0
+
+    monkeypatch.setattr(lm, "gradients", spy)
+    trainer = lm.Trainer(lm.new_params(), 0.1, 7, 4)
+    for x in texts:
+        trainer.add(x)
+    trainer.finish()
+    want = [(int(now), int(before), k == 0) for x in texts for k, (before, now) in enumerate(zip(np.r_[7, x[:-1]], x, strict=True))]
+    assert sorted(seen) == sorted(want) and trainer.tokens == len(want)
+
+
+def test_training_carries_the_state_from_window_to_window():
+    """Lanes and windows change nothing of a text's states: the last ones are those of going through it step by step."""
+    p = lm.new_params(4)
+    ids = rng.integers(0, lm.TOP, 150).astype(np.int32)
+    lanes, h, fresh = lm.Lanes(2, 9), np.zeros((1, lm.HIDDEN), np.float32), None
+    lanes.add(ids)
+    goal, given, fresh, held, _ = lanes.block(160)
+    assert held.tolist() == [150]
+    for at in range(0, 150, 50):
+        cut = slice(at, at + 50)
+        _, h, _ = lm.gradients(p, given[cut], goal[cut], np.ones((50, 1), bool), h, fresh[cut])
+    want = np.zeros((1, lm.HIDDEN), np.float32)
+    for before in np.r_[9, ids[:-1]]:
+        want = plain_step(p, want, before)
+    assert np.allclose(h, want, atol=1e-5)
+
+
+def test_a_fresh_text_cuts_the_slopes():
+    p = {k: v.astype(np.float64) for k, v in lm.new_params().items()}
+    ids, goal = rng.integers(0, lm.TOP, (6, 2)), rng.integers(0, lm.TOP, (6, 2))
+    fresh = np.zeros((6, 2), bool)
+    fresh[0], fresh[4, 1] = True, True
+    zero = np.zeros((2, lm.HIDDEN))
+    whole = lm.gradients(p, ids, goal, np.ones((6, 2), bool), zero + 0.5, fresh)[0]
+    parts = [(ids[:, :1], goal[:, :1]), (ids[:4, 1:], goal[:4, 1:]), (ids[4:, 1:], goal[4:, 1:])]
+    for k in whole:
+        total = sum(lm.gradients(p, a, b, np.ones(a.shape, bool), zero[:1])[0][k] * a.size for a, b in parts) / 12
+        assert np.allclose(whole[k], total, atol=1e-12), k
+
+
+def test_word_hashes_are_those_of_spark(spark):
+    words = ["a", "é", "w" * 100, " ", "wort", ""]
+    a, b = lm._word_hash(F.col("w"))
+    for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", a.alias("a"), b.alias("b")).collect():
+        assert tuple(x % (1 << 64) for x in (r.a, r.b)) == lm.word_hash(r.w.encode())
+
+
+def test_frequent_words_are_whole_levels_of_counts(spark):
+    counts = {f"w{k}": 1 + 10_000 // (k + 1) for k in range(500)} | {"x" * 41: 10**9}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    words, own = lm.frequent_words(frame, 100)
+    fit = {w: n for w, n in counts.items() if len(w) <= lm.HEAD_BYTES}
+    order = sorted(fit, key=lambda w: (-fit[w], w))
+    assert words == [w.encode() for w in order[: len(words)]] and own.tolist() == [fit[w] for w in order[: len(words)]]
+    assert 80 <= len(words) <= 100
+    same = spark.createDataFrame([(f"w{k}", 1) for k in range(300)], "word string, n long")
+    assert len(lm.frequent_words(same, 100)[0]) == 100 and len(lm.frequent_words(same, 300)[0]) == 300
+
+
+def test_a_very_long_text_takes_no_rectangle():
+    import tracemalloc
 
-    found = [b"w%d" % k for k in range(1000)]
-    assert [w for s in segments(found, EVERY) for w in s[1:]] == found
+    p = lm.new_params()
+    texts = [rng.integers(0, lm.TOP, n).astype(np.int32) for n in [300_000, *[100] * 300]]
+    tracemalloc.start()
+    got = lm.score_many(p, texts, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6 and np.isfinite(got).all()
