@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: No match starts within a run of digits: if the run's first digit starts none, its others don't.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -148,35 +150,34 @@ def _may_spell(words: list[str], digits: bool) -> bool:
 
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|ät|chez)", r"(?:dot|punto|punkt|point|dt)"
-_AT_SIGN = rf"(?:\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*|\s*(?:[-_*/|~]|\s)\s*{_AT_WORD}\s*(?:[-_*/|~]|\s)\s*|\s*@\s*)"
-_DOT_SIGN = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*|\s*(?:[-_*/|~]|\s)\s*{_DOT_WORD}\s*(?:[-_*/|~]|\s)\s*|\.)"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_AROUND = r"(?:\s*+[-_*/|~]\s*+|\s++)"
+_AT_SIGN = rf"(?:\s*+{_OPEN}\s*+(?:{_AT_WORD}|@)\s*+{_SHUT}\s*+|{_AROUND}{_AT_WORD}{_AROUND}|\s*+@\s*+)"
+_DOT_SIGN = rf"(?:\s*+{_OPEN}\s*+(?:{_DOT_WORD}|\.)\s*+{_SHUT}\s*+|{_AROUND}{_DOT_WORD}{_AROUND}|\.)"
 #: Local part, sign, and a domain; labels end before the next sign, so "-dot-" is not a part of one.
 _LOCAL = rf"[A-Za-z0-9_%+]+(?:-(?!{_AT_WORD}-|{_DOT_WORD}-)[A-Za-z0-9_%+]+)*"
 _NAME = rf"[A-Za-z0-9]+(?:-(?!{_DOT_WORD}-)[A-Za-z0-9]+)*"
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT_SIGN}{_LOCAL})*", re.I)
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT_SIGN}{_LOCAL})*(?P<at>{_AT_SIGN}){_NAME}(?:{_DOT_SIGN}{_NAME})+", re.I)
 _AT_ONLY, _DOT_ONLY = re.compile(_AT_SIGN, re.I), re.compile(_DOT_SIGN, re.I)
 _WRITTEN = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])|{_OPEN}\s*(?:{_AT_WORD}|@|\.)\s*{_SHUT}|\s@|@\s|[-_*/|~]\s*{_AT_WORD}\s*[-_*/|~\s]|\s{_AT_WORD}\s*[-_*/|~]", re.I)
 _BRACED = re.compile(rf"{_OPEN}|[*_|~/-]\s*{_AT_WORD}\s*[*_|~/-]", re.I)
 _DOT_TEXT = re.compile(rf"(?<![A-Za-z]){_DOT_WORD}(?![A-Za-z])", re.I)
 _OCTETS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_APART = re.compile(r"[0-9]")
 
 
 class Traced:
     """A text and, for each of its characters, the span of the source it stands for."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None, changed: bytearray | None = None):
+    def __init__(self, text: str, start: array | None = None, end: array | None = None, changed: bytearray | None = None):
         self.text = text
-        self.start = list(range(len(text))) if start is None else start
-        self.end = list(range(1, len(text) + 1)) if end is None else end
+        self.start = array("q", range(len(text))) if start is None else start
+        self.end = array("q", range(1, len(text) + 1)) if end is None else end
         self.changed = bytearray(len(text)) if changed is None else changed
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> Traced:
         """Replaces each (from, to) in order; new characters stand for the whole of what they replace."""
         text: list[str] = []
-        start: list[int] = []
-        end: list[int] = []
+        start, end = array("q"), array("q")
         changed = bytearray()
         at = 0
         for a, b, new in edits:
@@ -184,8 +185,8 @@ class Traced:
             start += self.start[at:a]
             end += self.end[at:a]
             changed += self.changed[at:a]
-            start += [self.start[a]] * len(new)
-            end += [self.end[b - 1]] * len(new)
+            start += self.start[a : a + 1] * len(new)
+            end += self.end[b - 1 : b] * len(new)
             changed += b"\x01" * len(new)
             at = b
         text.append(self.text[at:])
@@ -226,10 +227,20 @@ def _spelled(t: Traced) -> Traced:
     return t.rewritten(edits)
 
 
+def _addresses(text: str) -> Iterator[re.Match]:
+    """Disguised addresses. A chain of names and dots that starts none is passed over whole: each of its names would only go through its rest again."""
+    at = 0
+    while chain := _CHAIN.search(text, at):
+        m = _DISGUISED.match(text, chain.start())
+        if m:
+            yield m
+        at = m.end() if m else chain.end()
+
+
 def _signs(t: Traced) -> Traced:
     """Written-out at and dot signs become signs where they shape an address."""
     edits: list[tuple[int, int, str]] = []
-    for m in _DISGUISED.finditer(t.text):
+    for m in _addresses(t.text):
         a, b = m.span("at")
         tail = t.text[b : m.end()]
         # a bare "at" needs written dots and a top-level label of letters: "look at it. The" is prose

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -100,3 +101,16 @@ def test_the_gate_opens_for_signed_forms(mark, at):
     text = f"jane{mark}{at}{mark}example.com"
     alone, beside = find_pii(text)[1], find_pii(text + ", a dot")[1]
     assert alone == beside and any(s[0] == "email" for s in alone)
+
+
+@pytest.mark.parametrize("unit", ["1", "1.", "1 ", "a dot ", "mary dot ", "one ", "a@", "+1", "a at ", "a-at-", "a" + " " * 5000, "one" + " " * 5000, "а", "%@%.", "x@y."])
+def test_long_odd_texts_take_little_time(unit):
+    began = time.time()
+    find_pii(unit * (300_000 // len(unit)))
+    assert time.time() - began < 5
+
+
+def test_addresses_match_within_long_digit_runs():
+    text = "9" * 1000 + ".1.2.3 and 1.2.3.4.5.6.7.8 x1.2.3.4y 256.1.1.1 0001.2.3.4"
+    want = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    assert [(a, b) for k, a, b in find_pii(text)[0] if k == "ip"] == want
