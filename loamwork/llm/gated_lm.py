@@ -10,7 +10,7 @@ The network is fitted by truncated backpropagation through time, in numpy: first
 the driver on a bounded sample, as all tasks need one starting point; then each task
 of a pass over all training texts goes on from there with every token of its texts, and the tasks' weights
 are averaged by the tokens they saw. In training and in scoring, a text's state is carried from window to window
-from its first token to its last. Words beyond the broadcast head are looked up in the count table by a join of 128-bit hashes.
+from its first token to its last. Words beyond the broadcast head are looked up in the count table by a join of 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ import math
 import zlib
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
-from itertools import islice, pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import byte_words, materialise
+from loamwork.llm.common import materialise
 from loamwork.llm.word_crf import held_out
 
 #: The token after a text's last word; no word has a space.
@@ -59,10 +60,11 @@ Params = dict[str, np.ndarray]
 
 
 def new_params(seed: int = 3) -> Params:
+    """x and u: of the update gate, the reset gate and the new state; wc and bc: of the classes; ww and bw: of the members of each."""
     rng = np.random.default_rng(seed)
     shape = {
-        "x": (TOP + ENDINGS, 3 * HIDDEN),
-        "u": (HIDDEN, 3 * HIDDEN),
+        "x": (3, TOP + ENDINGS, HIDDEN),
+        "u": (3, HIDDEN, HIDDEN),
         "wc": (HIDDEN, CLASSES),
         "bc": (CLASSES,),
         "ww": (CLASSES, HIDDEN, IN_CLASS),
@@ -74,11 +76,6 @@ def new_params(seed: int = 3) -> Params:
     return out
 
 
-def _thirds(m: np.ndarray) -> np.ndarray:
-    """Update gate, reset gate and new state apart: (rows, 3 * HIDDEN) as (3, rows, HIDDEN)."""
-    return np.ascontiguousarray(m.reshape(len(m), 3, HIDDEN).transpose(1, 0, 2))
-
-
 def _advance(x: np.ndarray, hu: np.ndarray, old: np.ndarray, out: np.ndarray) -> None:
     """Writes the next states into ``out``. x: the inputs' thirds, which become the two gates and the new state; hu: the old states'."""
     gates, new = x[:2], x[2]
@@ -102,6 +99,13 @@ def _by_class(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return order, classes, np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
 
 
+def _cuts(ends: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(class, from, to) of up to ``ROWS`` tokens each."""
+    for c, (a, b) in enumerate(pairwise(ends)):
+        for k in range(a, b, ROWS):
+            yield c, k, min(b, k + ROWS)
+
+
 def _wide(w: np.ndarray, b: np.ndarray) -> bool:
     """Whether exponentials could run over: states lie within -1 and 1, so most often they can't."""
     return float((np.abs(w).sum(axis=-2) + np.abs(b)).max()) > 60
@@ -117,49 +121,83 @@ def _picked(logits: np.ndarray, at: np.ndarray, wide: bool) -> tuple[np.ndarray,
     return picked - np.log(sums), sums
 
 
-def log_probs(p: Params, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+class Room:
+    """Arrays that are used again: fresh ones of this size would cost a fault a page."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.kind)
+        return self.held[name][:size].reshape(shape)
+
+
+def log_probs(p: Params, h: np.ndarray, ids: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Natural log of p(class) * p(member | class)."""
+    room = room or Room(h.dtype)
     order, classes, ends = _by_class(ids)
-    states, places = h.take(order, axis=0), ids[order] % IN_CLASS
-    found, wide = np.empty(len(ids), states.dtype), _wide(p["wc"], p["bc"])
+    states, places, found = room("some", *h.shape), ids[order] % IN_CLASS, np.empty(len(ids), h.dtype)
+    np.take(h, order, axis=0, out=states, mode="clip")
+    wide = _wide(p["wc"], p["bc"])
     for a in range(0, len(ids), ROWS):
-        logits = states[a : a + ROWS] @ p["wc"]
+        part = states[a : a + ROWS]
+        logits = np.matmul(part, p["wc"], out=room("logits", len(part), CLASSES))
         logits += p["bc"]
         found[a : a + ROWS] = _picked(logits, classes[a : a + ROWS], wide)[0]
     wide = _wide(p["ww"], p["bw"])
-    for c, (a, b) in enumerate(pairwise(ends)):
-        if a < b:
-            logits = states[a:b] @ p["ww"][c]
-            logits += p["bw"][c]
-            found[a:b] += _picked(logits, places[a:b], wide)[0]
+    for c, a, b in _cuts(ends):
+        logits = np.matmul(states[a:b], p["ww"][c], out=room("logits", b - a, IN_CLASS))
+        logits += p["bw"][c]
+        found[a:b] += _picked(logits, places[a:b], wide)[0]
     out = np.empty_like(found)
     out[order] = found
     return out
 
 
-def _slopes(states: np.ndarray, w: np.ndarray, b: np.ndarray, wide: bool, at: np.ndarray, total: int, gw: np.ndarray, gb: np.ndarray, down: np.ndarray) -> float:
-    """Adds one softmax's slopes to those of its weights, its biases and the states; returns its loss."""
-    logits = states @ w
+def _slopes(states: np.ndarray, w: np.ndarray, b: np.ndarray, wide: bool, at: np.ndarray, total: int, logits: np.ndarray) -> float:
+    """Writes one softmax's slopes at its logits into ``logits``; returns its loss."""
+    np.matmul(states, w, out=logits)
     logits += b
     logs, sums = _picked(logits, at, wide)
     logits *= (1 / (total * sums))[:, None]
     logits[np.arange(len(at)), at] -= 1 / total
-    gw += states.T @ logits
-    gb += np.ones(len(at), logits.dtype) @ logits
-    down += logits @ w.T
     return -float(logs.sum())
 
 
-def gradients(p: Params, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Params, np.ndarray, float]:
+def _sum_by_id(ids: np.ndarray, rows: np.ndarray, out: np.ndarray, room: np.ndarray, many: int = 12) -> None:
+    """Sums of the rows (3, n, HIDDEN) of each id into ``out``; ``room``: as large as the rows."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids = ids[order]
+    np.take(rows, order, axis=1, out=room, mode="clip")
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    sizes = np.diff(firsts, append=len(ids))
+    often = sizes >= many
+    ones = np.ones(int(sizes.max()), rows.dtype)
+    for i, a, n in zip(ids[firsts[often]].tolist(), firsts[often].tolist(), sizes[often].tolist(), strict=True):
+        out[:, i] = ones[:n] @ room[:, a : a + n]
+    # of the others, all first rows, all second ones, and so on
+    firsts, sizes = firsts[~often], sizes[~often]
+    for k in range(many - 1):
+        firsts, sizes = firsts[sizes > k], sizes[sizes > k]
+        out[:, ids[firsts]] += room[:, firsts + k]
+
+
+def gradients(
+    p: Params, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, room: Room | None = None
+) -> tuple[Params, np.ndarray, float]:
     """Of the mean negative log-likelihood of a window; ids, targets, real, fresh: (steps, lanes). Also the last states and the loss.
 
-    ``fresh`` marks texts' first tokens: the state before them is zero, and nothing goes back past them.
+    ``fresh`` marks texts' first tokens: the state before them is zero, and nothing goes back past them. What is
+    returned lives in ``room`` until its next use.
     """
     steps, n = ids.shape
-    kind, u, flat = p["x"].dtype, _thirds(p["u"]), ids.ravel()
-    x = np.ascontiguousarray(p["x"].take(flat, axis=0).reshape(steps, n, 3, HIDDEN).transpose(0, 2, 1, 3))
-    before, states = np.empty((steps, n, HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
-    hu = np.empty((steps, 3, n, HIDDEN), kind)
+    room, u, flat = room or Room(p["x"].dtype), p["u"], ids.ravel()
+    x = room("x", 3, steps * n, HIDDEN)
+    np.take(p["x"], flat, axis=1, out=x, mode="clip")
+    x = x.reshape(3, steps, n, HIDDEN)
+    before, states, hu = room("before", steps, n, HIDDEN), room("states", steps, n, HIDDEN), room("hu", steps, 3, n, HIDDEN)
     begins = np.zeros(steps, bool) if fresh is None else fresh.any(axis=1)
     for t in range(steps):
         before[t] = h
@@ -167,62 +205,68 @@ def gradients(p: Params, ids: np.ndarray, targets: np.ndarray, real: np.ndarray,
             before[t][fresh[t]] = 0
         h = states[t]
         np.matmul(before[t], u, out=hu[t])
-        _advance(x[t], hu[t], before[t], h)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+        _advance(x[:, t], hu[t], before[t], h)
+    g = {k: room("g" + k, *v.shape) for k, v in p.items()}
+    for v in g.values():
+        v.fill(0)
 
     # the output layers, tokens in order of their classes
     at = np.flatnonzero(real.ravel())
     goal, total = targets.ravel()[at], max(1, len(at))
     order, classes, ends = _by_class(goal)
     at, places = at[order], goal[order] % IN_CLASS
-    some, down, loss = states.reshape(-1, HIDDEN).take(at, axis=0), np.zeros((len(at), HIDDEN), kind), 0.0
+    some, down, loss = room("some", len(at), HIDDEN), room("down", len(at), HIDDEN), 0.0
+    np.take(states.reshape(-1, HIDDEN), at, axis=0, out=some, mode="clip")
     wide = _wide(p["wc"], p["bc"])
     for a in range(0, len(at), ROWS):
-        cut = slice(a, a + ROWS)
-        loss += _slopes(some[cut], p["wc"], p["bc"], wide, classes[cut], total, g["wc"], g["bc"], down[cut])
+        part = some[a : a + ROWS]
+        d = room("logits", len(part), CLASSES)
+        loss += _slopes(part, p["wc"], p["bc"], wide, classes[a : a + ROWS], total, d)
+        g["wc"] += part.T @ d
+        g["bc"] += np.ones(len(d), d.dtype) @ d
+        np.matmul(d, p["wc"].T, out=down[a : a + ROWS])
     wide = _wide(p["ww"], p["bw"])
-    for c, (a, b) in enumerate(pairwise(ends)):
-        if a < b:
-            loss += _slopes(some[a:b], p["ww"][c], p["bw"][c], wide, places[a:b], total, g["ww"][c], g["bw"][c], down[a:b])
-    from_out = np.zeros((steps * n, HIDDEN), kind)
+    for c, a, b in _cuts(ends):
+        part, d = some[a:b], room("logits", b - a, IN_CLASS)
+        loss += _slopes(part, p["ww"][c], p["bw"][c], wide, places[a:b], total, d)
+        g["ww"][c] += part.T @ d
+        g["bw"][c] += np.ones(len(d), d.dtype) @ d
+        down[a:b] += d @ p["ww"][c].T
+    from_out = room("from_out", steps * n, HIDDEN)
+    from_out.fill(0)
     from_out[at] = down
     from_out = from_out.reshape(steps, n, HIDDEN)
 
-    # back through time: what each third passes on for a slope of one at the state
-    z, r, new, hn = x[:, 0], x[:, 1], x[:, 2], hu[:, 2]
-    stay = 1 - z
-    to_new = new * new
-    np.subtract(1, to_new, out=to_new)
-    to_new *= stay
-    to_z = before - new
-    to_z *= z
-    to_z *= stay
-    to_r = 1 - r
-    to_r *= r
-    to_r *= hn
-    du, dnew = np.empty((3, steps, n, HIDDEN), kind), np.empty((steps, n, HIDDEN), kind)
-    dh, back, turned = np.zeros((n, HIDDEN), kind), np.empty((3, n, HIDDEN), kind), np.ascontiguousarray(u.transpose(0, 2, 1))
+    # back through time
+    du, dnew = room("du", 3, steps, n, HIDDEN), room("dnew", steps, n, HIDDEN)
+    dh, back, stay, turned = np.zeros((n, HIDDEN), u.dtype), room("back", 3, n, HIDDEN), room("stay", n, HIDDEN), np.ascontiguousarray(u.transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
+        (z, r, new), (dz, dr, dhn), dn = x[:, t], du[:, t], dnew[t]
         dh += from_out[t]
-        np.multiply(dh, to_z[t], out=du[0, t])
-        np.multiply(dh, to_new[t], out=dnew[t])
-        np.multiply(dnew[t], to_r[t], out=du[1, t])
-        np.multiply(dnew[t], r[t], out=du[2, t])
+        np.subtract(1, z, out=stay)
+        np.multiply(new, new, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= stay
+        dn *= dh
+        np.subtract(before[t], new, out=dz)
+        dz *= z
+        dz *= stay
+        dz *= dh
+        np.subtract(1, r, out=dr)
+        dr *= r
+        dr *= hu[t, 2]
+        dr *= dn
+        np.multiply(dn, r, out=dhn)
         np.matmul(du[:, t], turned, out=back)
-        dh *= z[t]
+        dh *= z
         for part in back:
             dh += part
         if begins[t]:
             dh[fresh[t]] = 0
-    olds = before.reshape(-1, HIDDEN).T
-    order = np.argsort(flat, kind="stable")
-    rows = flat[order]
-    firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    for k, (to_u, to_x) in enumerate(((du[0], du[0]), (du[1], du[1]), (du[2], dnew))):
-        cut = slice(k * HIDDEN, (k + 1) * HIDDEN)
-        g["u"][:, cut] = olds @ to_u.reshape(-1, HIDDEN)
-        g["x"][rows[firsts], cut] = np.add.reduceat(to_x.reshape(-1, HIDDEN).take(order, axis=0), firsts, axis=0)
-    return g, h.copy(), loss / total
+    np.matmul(before.reshape(-1, HIDDEN).T, du.reshape(3, -1, HIDDEN), out=g["u"])
+    du[2] = dnew
+    _sum_by_id(flat, du.reshape(3, -1, HIDDEN), g["x"], x.reshape(3, -1, HIDDEN))
+    return g, h, loss / total
 
 
 class Lanes:
@@ -289,6 +333,7 @@ class Trainer:
         self.p, self.rate = {k: v.copy() for k, v in params.items()}, rate
         self.seen = {k: np.full_like(v, 1e-6) for k, v in params.items()}
         self.lanes, self.state, self.tokens = Lanes(lanes, start), np.zeros((lanes, HIDDEN), np.float32), 0
+        self.room = Room(np.float32)
 
     def add(self, ids: np.ndarray) -> None:
         self.lanes.add(ids)
@@ -310,62 +355,99 @@ class Trainer:
                 break
             cut = slice(at, at + WINDOW)
             real = np.arange(at, at + WINDOW)[:, None] < held[None, :n]
-            g, self.state[:n], _ = gradients(self.p, given[cut, :n], goal[cut, :n], real, self.state[:n], fresh[cut, :n])
+            g, self.state[:n], _ = gradients(self.p, given[cut, :n], goal[cut, :n], real, self.state[:n], fresh[cut, :n], self.room)
             norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             for k, x in g.items():
                 x *= min(1.0, 1.0 / (norm + 1e-9))
-                self.seen[k] += x * x
+                square = np.multiply(x, x, out=self.room("square", *x.shape))
+                self.seen[k] += square
                 x *= self.rate
-                x /= np.sqrt(self.seen[k])
+                x /= np.sqrt(self.seen[k], out=square)
                 self.p[k] -= x
             self.tokens += int(real.sum())
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, and its end."""
-    return [*byte_words(text), END.encode()]
+def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of rows that have ``most`` bytes together, or one text that has more."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts, null ones having none, and where each text's begin and the last ones end. Arrow's white space is just that of ``WS``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # white space at an end leaves an empty word there
+    real = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
+    return found.filter(pa.array(real)), np.r_[0, np.cumsum(real)][ends]
+
+
+_ENDS = np.array([zlib.crc32(bytes((a, b))) % ENDINGS for a in range(256) for b in range(256)], np.int32)
+_END = np.array([zlib.crc32(bytes((a,))) % ENDINGS for a in range(256)], np.int32)
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word of a fresh Arrow array; no word is empty."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    ends, data = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    last, size = ends[1:] - 1, np.diff(ends)
+    return np.where(size > 1, _ENDS[data[np.maximum(last - 1, 0)].astype(np.int32) * 256 + data[last]], _END[data[last]])
+
+
+class Tokens:
+    """The tokens of some texts, one after the other, each text's end included.
+
+    ids: network ids; places: in the head, -1 for words beyond it; starts: of each text; beyond: the words beyond the
+    head, and ``of``, the texts they are in.
+    """
+
+    def __init__(self, ids: np.ndarray, places: np.ndarray, starts: np.ndarray, beyond: pa.Array, of: np.ndarray):
+        self.ids, self.places, self.starts, self.beyond, self.of = ids, places, starts, beyond, of
+
+    def texts(self) -> list[np.ndarray]:
+        return np.split(self.ids, self.starts[1:])
 
 
 class Head:
     """What every task knows of the vocabulary. words: by falling count, END among them."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, rest: np.ndarray):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        #: log10 of the sum over a class of count + SMOOTH, words never seen counting as one
+        self.words, self.counts, self.end = pa.array(words, pa.binary()).cast(pa.string()), counts, words.index(END.encode())
+        #: log10 of the sum over an ending's words of count + SMOOTH, words never seen counting as one
         self.log_rest = np.log10(rest + SMOOTH)
         self.log_base = math.log10(total + SMOOTH * (distinct + 1))
-        ids = np.array([k if k < TOP else TOP + ending(w) for k, w in enumerate(words)], np.int32)
         self.log_counts = np.log10(counts + SMOOTH)
-        self.index = {w: k for k, w in enumerate(words)}
-        self.ids = ids
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.index = {w: k for k, w in enumerate(self.words)}
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Network ids, places in the head (-1: not in it), and the words of those."""
-        found = tokens(text)
-        get = self.index.get
-        at = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
-        lost = np.flatnonzero(at < 0).tolist()
-        ids = self.ids[at] if len(self.ids) else np.zeros(len(at), np.int32)
-        tail = [found[k] for k in lost]
-        if lost:
-            ids[lost] = [TOP + ending(w) for w in tail]
-        return ids, at, tail
-
-    def counted(self, ids: np.ndarray, at: np.ndarray) -> tuple[float, float, int]:
-        """Over a text's tokens: base score and in-class score without the tail's counts, and known words."""
-        known = at >= 0
-        logs = self.log_counts[at[known]]
-        base = float(logs.sum()) - len(at) * self.log_base
-        rest = ids >= TOP
-        inner = float(self.log_counts[at[rest & known]].sum()) - float(self.log_rest[ids[rest] - TOP].sum())
-        return base, inner, int((self.counts[at[known]] > 0).sum())
+        self.ids = np.array([k if k < TOP else TOP + ending(w) for k, w in enumerate(words)], np.int32)
+
+    def encode(self, texts: pa.Array) -> Tokens:
+        found, ends = split_words(texts)
+        known = pc.fill_null(pc.index_in(found, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        n = len(texts)
+        of = np.repeat(np.arange(n), np.diff(ends))
+        places = np.full(len(known) + n, self.end, np.int32)
+        # each text's end makes those after it start one later
+        at = np.arange(len(known)) + of
+        places[at] = known
+        missing = known < 0
+        beyond = found.filter(pa.array(missing))
+        ids = self.ids[places]
+        ids[at[missing]] = TOP + endings(beyond)
+        return Tokens(ids, places, ends[:-1] + np.arange(n), beyond, of[missing])
+
+    def counted(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text, without the counts of words beyond the head: base score, score within the endings, and known words."""
+        inside, rest = t.places >= 0, t.ids >= TOP
+        logs = np.where(inside, self.log_counts[t.places], 0.0)
+        sizes = np.diff(t.starts, append=len(t.ids))
+        within = np.where(rest, logs - self.log_rest[np.where(rest, t.ids - TOP, 0)], 0.0)
+        known = inside & (self.counts[t.places] > 0)
+        over = lambda x: np.add.reduceat(x, t.starts) if len(t.starts) else x
+        return over(logs) - sizes * self.log_base, over(within), over(known.astype(np.int64))
 
 
 def score_many(p: Params, texts: list[np.ndarray], start: int, lanes: int = SLOTS) -> np.ndarray:
@@ -375,27 +457,28 @@ def score_many(p: Params, texts: list[np.ndarray], start: int, lanes: int = SLOT
     for k in sorted(range(len(texts)), key=lambda k: -len(texts[k])):
         held.add(texts[k], k)
     held.sort()
-    x, u = _thirds(p["x"]), _thirds(p["u"])
-    h = np.zeros((len(held.queues), HIDDEN), np.float32)
+    h, room = np.zeros((len(held.queues), HIDDEN), np.float32), Room(np.float32)
     while any(held.queues):
-        goal, given, fresh, sizes, pieces = held.block(4 * WINDOW)
-        counts = (sizes[None, :] > np.arange(len(goal))[:, None]).sum(axis=1).tolist()
-        begins = fresh.any(axis=1).tolist()
-        states, done = np.empty((sum(counts), HIDDEN), np.float32), 0
-        for t, n in enumerate(counts):
-            if not n:
-                break
-            h = h[:n]
-            if begins[t]:
-                h = h.copy()  # it may be a view of the states
-                h[fresh[t, :n]] = 0
-            after = states[done : done + n]
-            _advance(x.take(given[t, :n], axis=1), h @ u, h, after)
-            h = after
-            done += n
-        logs = np.zeros(goal.shape[::-1])
+        goal, given, fresh, sizes, pieces = held.block(AHEAD * WINDOW)
         used = np.arange(len(goal))[:, None] < sizes
-        logs.T[used] = log_probs(p, states, goal[used])
+        counts, begins = used.sum(axis=1).tolist(), fresh.any(axis=1).tolist()
+        logs = np.zeros(goal.shape[::-1])
+        for at in range(0, len(goal), WINDOW):
+            h = h.copy()  # it is a part of the last window's states
+            states, done, cut = room("states", sum(counts[at : at + WINDOW]), HIDDEN), 0, slice(at, at + WINDOW)
+            for t, n in enumerate(counts[cut], at):
+                h, x, hu = h[:n], room("x", 3, n, HIDDEN), room("hu", 3, n, HIDDEN)
+                if begins[t]:
+                    h = h.copy()
+                    h[fresh[t, :n]] = 0
+                np.take(p["x"], given[t, :n], axis=1, out=x, mode="clip")
+                np.matmul(h, p["u"], out=hu)
+                after = states[done : done + n]
+                _advance(x, hu, h, after)
+                h = after
+                done += n
+            if done:
+                logs[:, cut].T[used[cut]] = log_probs(p, states, goal[cut][used[cut]], room)
         # pieces lie one after the other within each lane
         sums = np.add.reduceat(logs.ravel(), [k * len(goal) + at for _, k, at in pieces])
         out += np.bincount([owner for owner, _, _ in pieces], sums, len(texts))
@@ -403,20 +486,24 @@ def score_many(p: Params, texts: list[np.ndarray], start: int, lanes: int = SLOT
 
 
 def _count_words(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def out(counts: Counter) -> Iterator[pa.RecordBatch]:
-        pairs = iter(counts.items())
-        while some := list(islice(pairs, 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+    def out(counts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if counts:
+            whole = pa.concat_tables(counts)
+            whole = whole.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]) if len(counts) > 1 else whole
+            yield from whole.combine_chunks().to_batches(max_chunksize=50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, texts = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(byte_words(text.as_py()))
-                counts[END.encode()] += 1
-                if len(counts) >= held:
+            for _, part in slices(batch.column(0)):
+                found = split_words(part)[0].value_counts()
+                counts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                texts += len(part)
+                if sum(map(len, counts)) >= held:
                     yield from out(counts)
-                    counts.clear()
+                    counts = []
+        if texts:
+            counts.append(pa.table({"word": [END], "n": pa.array([texts], pa.int64())}))
         yield from out(counts)
 
     return run
@@ -454,8 +541,9 @@ def _refine(shared, rate: float, lanes: int) -> Callable[[Iterator[pa.RecordBatc
         params, head, start = shared.value
         trainer = Trainer(params, rate, start, lanes)
         for batch in batches:
-            for text in batch.column(0):
-                trainer.add(head.encode(text.as_py())[0])
+            for _, part in slices(batch.column(0)):
+                for ids in head.encode(part).texts():
+                    trainer.add(ids)
         trainer.finish()
         if trainer.tokens:
             part = TaskContext.get().partitionId()
@@ -497,53 +585,39 @@ def averaged(weights: DataFrame, params: Params, fan_in: int = 16) -> Params:
     return {k: (total[k] / tokens[k]).astype(np.float32).reshape(v.shape) if k in total else v for k, v in params.items()}
 
 
-#: Seed of the second half of a word's hash: what Spark's xxhash64 carries on after the literal 1.
-_SECOND = xxhash.xxh64_intdigest((1).to_bytes(8, "little"), 42)
-
-
 def word_hash(word: bytes) -> tuple[int, int]:
-    return xxhash.xxh64_intdigest(word, 42), xxhash.xxh64_intdigest(word, _SECOND)
+    """96 bits: what tells words apart where they are looked up by a join."""
+    return xxhash.xxh64_intdigest(word, 42), zlib.crc32(word)
 
 
 def _word_hash(word: Column) -> tuple[Column, Column]:
-    return F.xxhash64(word), F.xxhash64(F.lit(1).cast("long"), word)
+    return F.xxhash64(word), F.crc32(F.encode(word, "UTF-8"))
 
 
-def _tails(tails: list[Counter]) -> pa.Array:
-    """Lists of (two halves of a word's hash, times)."""
-    hashes = np.array([h for t in tails for h in map(word_hash, t)], np.uint64).reshape(-1, 2).view(np.int64)
-    times = np.array([n for t in tails for n in t.values()], np.int64)
-    of = pa.StructArray.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(times)], ["a", "b", "times"])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), of)
+def _tails(t: Tokens, n: int) -> tuple[pa.Array, np.ndarray]:
+    """Of ``n`` texts: lists of (hash, rest of the hash, times) of the words beyond the head, and how many of these tokens there are."""
+    coded = t.beyond.dictionary_encode()
+    words = coded.dictionary
+    hashes = np.array([word_hash(w) for w in words.cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+    each, times = np.unique(t.of * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    text, word = np.divmod(each, max(1, len(words)))
+    rows = pa.StructArray.from_arrays([pa.array(hashes[word, 0]), pa.array(hashes[word, 1]), pa.array(times)], ["a", "b", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), rows), np.bincount(t.of, minlength=n)
 
 
-def _score(shared, rows_at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(shared, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, head, start = shared.value
-        part, seq = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                ids, sums, tails = [], [], []
-                for text in batch.column(2):
-                    found, places, tail = head.encode(text.as_py())
-                    ids.append(found)
-                    sums.append(head.counted(found, places))
-                    tails.append(Counter(tail))
-                net = score_many(params, ids, start) / math.log(10)
-                n = batch.num_rows
-                cols = [
-                    pa.array(range((part << 40) + seq, (part << 40) + seq + n), pa.int64()),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([s[2] for s in sums], pa.int64()),
-                    pa.array([s[0] for s in sums]),
-                    pa.array(net + np.array([s[1] for s in sums])),
-                    pa.array([t.total() for t in tails], pa.int64()),
-                    _tails(tails),
-                ]
-                seq += n
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at, part in slices(batch.column(2), size):
+                n, t = len(part), head.encode(part)
+                net = score_many(params, t.texts(), start) / math.log(10)
+                base, within, known = head.counted(t)
+                tails, beyond = _tails(t, n)
+                cols = [pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(t.starts, append=len(t.ids)))]
+                cols += [pa.array(known), pa.array(base), pa.array(net + within), pa.array(beyond), tails]
+                row += n
                 yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "net", "beyond", "tail"])
 
     return run
@@ -556,7 +630,7 @@ def lm_scores(
     start_tokens: int = 300_000,
     epochs: int = 2,
     head_words: int = HEAD,
-    rows_at_once: int = 10_000,
+    bytes_at_once: int = 16_000_000,
 ) -> DataFrame:
     """Scores every text; learns from rows whose CRC32 of the id as text mod 10 is not 0.
 
@@ -581,13 +655,13 @@ def lm_scores(
         k = words.index(END.encode())
         words = [words[k], *words[:k], *words[k + 1 :]]
         own = np.r_[own[k], np.delete(own, k)]
-    start = words.index(END.encode())
     rest = np.zeros(ENDINGS)
     for r in counts.groupBy(_ending(F.col("word")).alias("c")).agg(F.sum(F.col("n") + SMOOTH).alias("s")).collect():
         rest[r.c] = r.s
     for w, n in zip(words[:TOP], own[:TOP].tolist(), strict=True):
         rest[ending(w)] -= n + SMOOTH if n else 0
     head = Head(words, own, int(total), int(distinct), np.maximum(rest, 0))
+    start = head.end
 
     params = new_params()
     if total:
@@ -598,7 +672,7 @@ def lm_scores(
         share = min(1.0, 1.2 * start_tokens / int(total))
         used, sample = 0, []
         for r in training.where(F.col("text").isNotNull() & (draw < share)).distinct().toLocalIterator():
-            sample.append(head.encode(r.text)[0])
+            sample.append(head.encode(pa.array([r.text])).ids)
             used += len(sample[-1])
             if used >= start_tokens:
                 break
@@ -617,7 +691,7 @@ def lm_scores(
     kind = schema["id"].dataType.simpleString()
     scored = materialise(
         source.mapInArrow(
-            _score(shared, rows_at_once),
+            _score(shared, bytes_at_once),
             f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, net double, beyond long, tail array<struct<a: long, b: long, times: long>>",
         ),
         "lm-scored",

@@ -4,9 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamwork.llm import gated_lm as lm
+from loamwork.llm.common import byte_words
 
 rng = np.random.default_rng(0)
 
@@ -39,7 +41,7 @@ def test_counts_and_base_scores(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, n_tokens int, word string").repartition(3)
     want = plain_base(data)
     scores = []
-    for shape in ({}, {"head_words": 30, "rows_at_once": 20}):
+    for shape in ({}, {"head_words": 30, "bytes_at_once": 2000}):
         got = lm.lm_scores(docs, start_tokens=3000, **shape).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
@@ -56,7 +58,7 @@ def test_gradients_by_differences():
     goal, real = rng.integers(0, lm.TOP + lm.ENDINGS, (6, 5)), rng.random((6, 5)) < 0.8
     h = rng.normal(size=(5, lm.HIDDEN))
     g, _, _ = lm.gradients(p, ids, goal, real, h)
-    places = {"x": (ids[2, 1], 7), "u": (3, 40), "wc": (5, int(goal[0, 0]) // lm.IN_CLASS), "bc": (20,), "ww": None, "bw": None}
+    places = {"x": (0, ids[2, 1], 7), "u": (1, 3, 8), "wc": (5, int(goal[0, 0]) // lm.IN_CLASS), "bc": (20,), "ww": None, "bw": None}
     top = next((t, k) for t in range(6) for k in range(5) if real[t, k])
     c, w = goal[top] // lm.IN_CLASS, goal[top] % lm.IN_CLASS
     places |= {"ww": (c, 4, w), "bw": (c, w)}
@@ -86,8 +88,8 @@ def test_probabilities_sum_to_one():
 
 
 def plain_step(p, h, before):
-    z, r, n = p["x"][before].reshape(3, -1)
-    uz, ur, un = (h @ p["u"]).reshape(3, -1)
+    z, r, n = p["x"][:, before]
+    uz, ur, un = (h @ u for u in p["u"])
     z, r = 1 / (1 + np.exp(-z - uz)), 1 / (1 + np.exp(-r - ur))
     n = np.tanh(n + r * un)
     return n + z * (h - n)
@@ -112,11 +114,11 @@ def test_training_takes_every_token_in_the_order_of_its_text(monkeypatch):
     texts = [rng.integers(0, lm.TOP, n).astype(np.int32) for n in (1, 64, 65, 5000, 3, 300, 2, 31)]
     seen = []
 
-    def spy(p, ids, targets, real, h, fresh=None):
+    def spy(p, ids, targets, real, h, fresh=None, room=None):
         for lane in range(ids.shape[1]):
             for t in np.flatnonzero(real[:, lane]).tolist():
                 seen.append((int(targets[t, lane]), int(ids[t, lane]), bool(fresh[t, lane])))
-        return {k: np.zeros_like(v) for k, v in p.items()}, h, 0.0
+        return {k: np.zeros_like(v) for k, v in p.items()}, h.copy(), 0.0
 
     monkeypatch.setattr(lm, "gradients", spy)
     trainer = lm.Trainer(lm.new_params(), 0.1, 7, 4)
@@ -164,6 +166,15 @@ def test_word_hashes_are_those_of_spark(spark):
         assert tuple(x % (1 << 64) for x in (r.a, r.b)) == lm.word_hash(r.w.encode())
 
 
+def test_words_and_endings_of_arrow_arrays():
+    texts = ["  A\x0bb\x0c c\r\n\td  ", "", None, "\x1c x\x85y\xa0z\u2028w É", "A\x00B c", "   ", "z" * 300, "ÉÀ"]
+    for arrow in (pa.array(texts), pa.array(["x y", *texts, "q"]).slice(1, len(texts))):
+        found, ends = lm.split_words(arrow)
+        assert [[w.encode() for w in found.to_pylist()[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [byte_words(t) for t in texts]
+        assert lm.endings(found).tolist() == [lm.ending(w.encode()) for w in found.to_pylist()]
+        assert [t for _, part in lm.slices(arrow, 10) for t in part.to_pylist()] == texts
+
+
 def test_frequent_words_are_whole_levels_of_counts(spark):
     counts = {f"w{k}": 1 + 10_000 // (k + 1) for k in range(500)} | {"x" * 41: 10**9}
     frame = spark.createDataFrame(list(counts.items()), "word string, n long")
