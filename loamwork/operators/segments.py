@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,13 @@ from pyspark.sql import types as T
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s+\S")
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines as they end at a line feed alone, a carriage return before it going with it; nothing follows the last line feed."""
+    found = text.split("\n")
+    last = found.pop()
+    return [x.removesuffix("\r") for x in found] + ([last] if last else [])
+
+
 def tokens(text: str) -> int:
     return len(text) * 2 // 7
 
@@ -43,77 +52,61 @@ class Segment:
     carried: int = 0
 
 
-@dataclass
-class Windows:
-    """Places lines one by one; a window closes at a heading or a blank line where it can."""
-
-    budget: int
-    done: list[Segment] = field(default_factory=list)
-    held: list[tuple[str, int]] = field(default_factory=list)
-    cost: int = 0
-    heading: str | None = None
-    carry: str | None = None
-
-    def close(self) -> None:
-        if not self.held:
-            return
-        body = "\n".join(line for line, _ in self.held)
-        own = body.lstrip().startswith("#")
-        text = body if own or self.carry is None else f"{self.carry}\n{body}"
-        self.done.append(Segment(text, self.held[0][1], self.held[-1][1], int(text is not body)))
-        self.held, self.cost = [], 0
-
-    def hold(self, line: str, number: int) -> None:
-        self.held.append((line, number))
-        self.cost += tokens(line) + 1
-        if is_heading(line):
-            self.heading = line
-
-    def back_to_boundary(self) -> bool:
-        """Closes the window at the last boundary inside it; what follows opens the next."""
-        for k in range(len(self.held) - 1, 0, -1):
-            line = self.held[k][0]
-            at = k if is_heading(line) else k + 1 if not line.strip() and k + 1 < len(self.held) else 0
-            if not at:
-                continue
-            rest = self.held[at:]
-            self.held = self.held[:at]
-            inside = next((x for x, _ in reversed(self.held) if is_heading(x)), None)
-            self.close()
-            self.carry = inside or self.carry or self.heading
-            self.held, self.cost = rest, sum(tokens(x) + 1 for x, _ in rest)
-            return True
-        return False
-
-    def place(self, line: str, number: int) -> None:
-        if self.held and self.cost + tokens(line) + 1 > self.budget:
-            if is_heading(line):
-                self.close()
-                self.carry = line
-            elif not line.strip():
-                self.held.append((line, number))
-                self.close()
-                self.carry = self.heading
-                return
-            elif not self.back_to_boundary() and self.cost >= self.budget:
-                self.close()
-                self.carry = self.heading
-        self.hold(line, number)
+def _cuts(lines: list[str], budget: int) -> list[tuple[int, int, int]]:
+    """Windows over lines as (from, to, heading): where each begins and ends, and the line whose heading it carries, -1 for none.
+
+    A window takes lines while their tokens and line ends fit. The line that would run over ends it: a heading begins the
+    next one; a blank line is the old one's last; before another line the window is cut at its last boundary, a
+    heading or the place after a blank line, and what follows that begins the next window, which takes the line whatever
+    it costs. Without a boundary a window that has used up the budget ends, and one that hasn't takes the line.
+    """
+    n = len(lines)
+    spent = [0, *accumulate(tokens(x) + 1 for x in lines)]
+    heads = [is_heading(x) for x in lines]
+    blank = [not x.strip() for x in lines]
+    # the last heading, and the last blank line, up to each line
+    last_head = list(accumulate((k if h else -1 for k, h in enumerate(heads)), max))
+    last_blank = list(accumulate((k if b else -1 for k, b in enumerate(blank)), max))
+    out: list[tuple[int, int, int]] = []
+    start, settled, carried = 0, 1, -1
+    while start < n:
+        over = max(settled, bisect_right(spent, spent[start] + budget) - 1)
+        if over >= n:
+            out.append((start, n, carried))
+            break
+        heading = last_head[over - 1]
+        boundary = max(heading, last_blank[over - 2] if over > 1 else -1)
+        if heads[over]:
+            end, follows = over, over
+        elif blank[over]:
+            end, follows = over + 1, heading
+        elif boundary > start:
+            end = boundary if heads[boundary] else boundary + 1
+            follows = last_head[end - 1] if last_head[end - 1] >= start else carried if carried >= 0 else heading
+        elif spent[over] - spent[start] >= budget:
+            end, follows = over, heading
+        else:
+            settled = over + 1
+            continue
+        out.append((start, end, carried))
+        start, settled, carried = end, max(over, end) + 1, follows
+    return out
 
 
 def split_segments(text: str | None, budget: int = 4096) -> list[Segment]:
-    """Windows of ``budget`` tokens, whole if the text fits; blank texts have none."""
+    """Windows of ``budget`` tokens, whole if the text fits; blank texts have none. A window that begins without a heading is led by the one it stands under."""
     if not text or not text.strip():
         return []
-    lines = text.splitlines()
+    whole = lines_of(text)
     if tokens(text) <= budget:
-        return [Segment(text, 1, max(1, len(lines)))]
-    out = Windows(budget)
-    for number, line in enumerate(lines, 1):
-        for part in pieces(line, budget):
-            out.place(part, number)
-    out.close()
-    return out.done
+        return [Segment(text, 1, max(1, len(whole)))]
+    parts = [(part, number) for number, line in enumerate(whole, 1) for part in pieces(line, budget)]
+    out = []
+    for a, b, heading in _cuts([part for part, _ in parts], budget):
+        body = "\n".join(part for part, _ in parts[a:b])
+        carried = heading >= 0 and not body.lstrip().startswith("#")
+        out.append(Segment(f"{parts[heading][0]}\n{body}" if carried else body, parts[a][1], parts[b - 1][1], int(carried)))
+    return out
 
 
 @dataclass
@@ -126,11 +119,11 @@ class Passage:
 
 def split_passages(window: Segment, budget: int = 384) -> list[Passage]:
     """A window's passages with the heading each stands under: carried, else its first own, else the last seen."""
-    lines = window.text.splitlines()
+    lines = lines_of(window.text)
     seen = heading_title(lines[0]) if window.carried and lines else None
     out = []
     for part in split_segments("\n".join(lines[window.carried :]), budget):
-        own = part.text.splitlines()
+        own = lines_of(part.text)
         carried = heading_title(own[0]) if part.carried and own else None
         own = own[part.carried :]
         inside = [heading_title(x) for x in own if is_heading(x)]
@@ -149,7 +142,7 @@ def literals(text: str | None, indented: bool = True) -> list[str]:
     """What must come from a source as it stands: fenced and indented lines, back-ticked spans, paths and flags. In order, each once."""
     found: dict[str, None] = {}
     fence = False
-    for line in (text or "").splitlines():
+    for line in lines_of(text or ""):
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
         elif fence or (indented and re.match(r"(?: {4}|\t)\s*\S", line)):

@@ -206,7 +206,7 @@ def test_segments_cover_every_line():
     text = "# Top\n\n" + "\n".join(f"line {k} of the first part" + ("\n" if k % 9 == 0 else "") for k in range(60)) + "\n## Next\n" + "\n".join(f"more of it {k}" for k in range(30)) + "\n" + "x" * 2000
     for budget in (64, 128, 4096):
         parts = segments.split_segments(text, budget)
-        body = [line for p in parts for line in p.text.splitlines()[p.carried :]]
+        body = [line for p in parts for line in p.text.split("\n")[p.carried :]]
         assert "".join(body) == text.replace("\n", "")
         assert parts[0].start == 1 and parts[-1].end == len(text.splitlines())
         assert all(a.end <= b.start for a, b in zip(parts, parts[1:], strict=False)) or budget == 64
@@ -238,12 +238,83 @@ def test_situations(spark):
     assert got[1][10:17].index(1.0) == 4
 
 
-def test_clusters_merge_and_stay_bounded():
+def plain_clusters(vectors, weights, merge_at, most):
+    """From the rule: join the nearest above the line, else begin one; while there are too many, the two nearest become one. Lists of members."""
     import numpy as np
 
-    c = context.Clusters(0.9, 2)
-    for k, v in enumerate([[1, 0, 0], [0.99, 0.1, 0], [0, 1, 0], [0, 0, 1], [0, 0.9, 0.1]]):
-        c.add(k, np.array(v, float), 1.0, k)
-    assert len(c.parts) == 2 and sorted(i for p in c.parts for i in p["members"]) == list(range(5))
-    c.add(9, np.array([1.0, 0, 0]), 0.0, 9)
-    assert sum(p["weight"] for p in c.parts) == 5
+    cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+    mid = lambda c: sum(weights[k] * vectors[k] for k in c) / sum(weights[k] for k in c)
+    held = []
+    for k in range(len(vectors)):
+        if weights[k] <= 0:
+            continue
+        near = [(cos(mid(c), vectors[k]), n) for n, c in enumerate(held)]
+        if near and max(near)[0] > merge_at:
+            held[max(near)[1]].append(k)
+            continue
+        held.append([k])
+        if len(held) > most:
+            _, i, j = max((cos(mid(a), mid(b)), -i, -j) for i, a in enumerate(held) for j, b in enumerate(held) if i < j)
+            held[-i] += held.pop(-j)
+    return held
+
+
+def test_profiles_against_the_rule(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(4, 6))
+    rows = []
+    for k in range(240):
+        v = middles[rng.integers(4)] + rng.normal(0, 0.5, 6)
+        rows.append((int(rng.integers(3)), [None, 1][rng.integers(2)], k, int(rng.integers(500)), float(rng.choice([0.0, 0.5, 1.0, 2.0])), v.tolist()))
+    df = spark.createDataFrame(rows, "artifact_id long, scope long, id long, at long, weight double, vector array<double>").repartition(3)
+    got = {(r.artifact_id, r.scope, r.events, r.last_at, r.representative): (r.weight, r.centroid) for r in context.profiles(df, 0.7, 3, 1.5, 99).collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[3], r[2]))
+        vectors, weights = [np.array(r[5]) for r in own], [r[4] for r in own]
+        for c in plain_clusters(vectors, weights, 0.7, 3):
+            total = sum(weights[k] for k in c)
+            mid = sum(weights[k] * vectors[k] for k in c) / total
+            best = max(c, key=lambda k: (round(float(vectors[k] @ mid / np.linalg.norm(vectors[k]) / np.linalg.norm(mid)), 9), -own[k][3], -own[k][2]))
+            if total >= 1.5:
+                want[(*key, len(c), max(own[k][3] for k in c), own[best][2])] = (total, mid.tolist())
+    assert got.keys() == want.keys()
+    for k, (w, m) in got.items():
+        assert np.isclose(w, want[k][0]) and np.allclose(m, want[k][1])
+
+
+def test_segments_by_their_rules():
+    """Each window against a plain reading of the rules, line after line."""
+    rng = random.Random(1)
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(1, 50)):
+            lines.append(rng.choice(["", "  ", "# head", "## next", "x" * rng.randrange(1, 90), "y" * rng.randrange(1, 20), "z" * 300]))
+        budget = rng.choice([20, 40, 90])
+        text = "\n".join(lines)
+        if segments.tokens(text) <= budget or not text.strip():
+            continue
+        parts = [p for x in segments.lines_of(text) for p in segments.pieces(x, budget)]
+        cost = lambda a, b: sum(segments.tokens(x) + 1 for x in parts[a:b])
+        cuts = segments._cuts(parts, budget)
+        assert [c[0] for c in cuts] == [0, *[c[1] for c in cuts[:-1]]] and cuts[-1][1] == len(parts)
+        took = 0  # up to where lines were let in without a look at the budget
+        for a, b, _ in cuts[:-1]:
+            if segments.is_heading(parts[b]) and cost(a, b) <= budget:
+                continue  # ended by a heading that would run over, or cut at one
+            ended_blank = not parts[b - 1].strip()
+            assert ended_blank or segments.is_heading(parts[b]) or cost(a, b) >= budget, (a, b)
+            took = b
+        for (a, b, carried) in cuts:
+            if carried >= 0:
+                assert carried < b and segments.is_heading(parts[carried])
+        assert took <= len(parts)
+
+
+def test_lines_end_at_line_feeds_alone():
+    assert segments.lines_of("a\x0cb\u2028c\r\nd\x85\n") == ["a\x0cb\u2028c", "d\x85"]
+    assert segments.lines_of("a\n\nb\r") == ["a", "", "b\r"] and segments.lines_of("") == []
+    (whole,) = segments.split_segments("a\x0cb\nc\u2028d")
+    assert (whole.start, whole.end) == (1, 2)
