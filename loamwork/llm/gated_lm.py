@@ -42,7 +42,7 @@ HIDDEN, WINDOW, SLOTS = 32, 32, 1024
 HEAD, HEAD_BYTES = 100_000, 40
 SMOOTH = 0.1
 #: Windows that are cut from the lanes at once, and tokens that a class softmax takes at once.
-AHEAD, ROWS = 8, 2048
+AHEAD, ROWS = 8, 512
 #: Texts that train side by side on the driver, and in a task.
 START_LANES, LANES = 32, 256
 
