@@ -37,5 +37,10 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def buckets(entries: DataFrame, most: int = 1_000_000) -> int:
+    """Into how many partitions to deal a written table so that each gets about ``most`` rows or fewer."""
+    return max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

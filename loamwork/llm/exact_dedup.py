@@ -4,7 +4,7 @@
    normalised text; equal bytes share an entry. A full memtable is flushed as a
    sorted run of entries (digest, the ids of its rows, their smallest), so a text that
    a third of all rows repeat makes one entry per memtable, not one per row.
-2. Entries are dealt by digest. Each bucket's task runs a ``RunIndex``:
+2. Entries are dealt by digest to as many buckets as their number asks for, so that a bucket's runs fit its task. Each bucket's task runs a ``RunIndex``:
    sorted runs with Bloom filters, compacted to the smallest identifier per digest.
 3. Digests with several entries are hits. Each hit's bytes are compared with
    those of the entry that the index names; entries of other bytes under the
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import WS_CLASS, materialise
+from loamwork.llm.common import WS_CLASS, buckets, materialise
 from loamwork.llm.runs import Bloom, RunIndex
 
 LAST = np.iinfo(np.int64).max
@@ -174,7 +174,7 @@ def exact_dedup(
     space; null counts as empty. The row with the smallest id stays; null ids
     come last (a group of null ids alone has a null ``keep_id``), and of rows that
     repeat the smallest id just one is kept. Empty tables give no rows; other columns are not read. ``digest``
-    yields ``width`` bytes; it decides only where a text is looked for, as bytes are compared.
+    yields ``width`` bytes; it decides only where a text is looked for, as bytes are compared. Ids are integers, or numbers as text.
     """
     text = normalised(F.col(text_col))
     source = docs.select(F.col(id_col).cast("long").alias("id"), digest(text).alias("digest"), text.alias("text"))
@@ -187,7 +187,7 @@ def exact_dedup(
     )
     index = (
         entries.select("digest", "entry", "min_id", "n")
-        .repartition("digest")
+        .repartition(buckets(entries), "digest")
         .mapInArrow(_bucket(width, index_memtable, fanout), "digest binary, keep_entry long, entries long")
     )
     shared = materialise(index.where("entries > 1").drop("entries"), "exact-dedup-shared")

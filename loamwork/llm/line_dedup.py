@@ -2,12 +2,12 @@
 
 A line's key is the line stripped of white space at both ends with A-Z lowered;
 its hash is 128 bits of XXH3. First pass: map tasks reduce batches of documents
-to (hash, documents that hold it); these are dealt by hash, and each bucket's
+to (hash, documents that hold it); these are written and dealt by hash to as many buckets as their number asks for, and each bucket's
 task feeds them to a ``RunIndex``: every batch is sorted, merge-anti-joined with the
 levelled runs (known hashes add to the counts there), and what is new becomes a run of its own; levels are compacted
 as they fill. Second pass: documents lose the lines whose hash reached the limit.
 
-The frequent hashes go to the map tasks as one sorted array while they fit
+The frequent hashes go to the map tasks as one string of bytes, which they make a set of, while they fit
 ``broadcast_hashes``; beyond that, each document's hashes are joined with them.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import WS, ascii_lower_text, materialise
+from loamwork.llm.common import WS, ascii_lower_text, buckets, materialise
 from loamwork.llm.runs import RunIndex
 
 WIDTH = 16
@@ -98,8 +98,8 @@ def frequent_lines(
     docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, memtable: int = 200_000, fanout: int = 4, held: int = 8_000_000
 ) -> DataFrame:
     """(hash, docs) of the line keys of ``min_chars`` code points or more that ``min_docs`` documents hold."""
-    counted = docs.select(text_col).mapInArrow(_count_lines(min_chars, held), "hash binary, docs long")
-    return counted.repartition("hash").mapInArrow(_frequent(min_docs, memtable, fanout), "hash binary, docs long")
+    counted = materialise(docs.select(text_col).mapInArrow(_count_lines(min_chars, held), "hash binary, docs long"), "line-dedup-counted")
+    return counted.repartition(buckets(counted), "hash").mapInArrow(_frequent(min_docs, memtable, fanout), "hash binary, docs long")
 
 
 def drop_keys(text: str | None, frequent: Callable[[bytes], bool]) -> tuple[str, int, int]:

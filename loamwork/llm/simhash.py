@@ -28,6 +28,8 @@ from loamwork.operators.graph import connected_components
 
 SEED = 42
 BLOCK = 128
+#: Tiles that all fingerprints are cut into, as long as these are not too large.
+TILES = 40
 #: Texts sampled to find common shingles, and how many of these every task knows.
 SAMPLE, COMMON = 5_000, 50_000
 #: Up to so many ends of links are broadcast.
@@ -114,24 +116,33 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(int(at), np.concatenate(held))
 
 
-def _forest(labels: np.ndarray, u: np.ndarray, v: np.ndarray, links: list[tuple[int, int]]) -> None:
-    """Joins the labels of linked places; appends the links that joined two parts."""
-    fresh = labels[u] != labels[v]
-    u, v = u[fresh], v[fresh]
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    found = parent[at]
+    while not (found == (up := parent[found])).all():
+        found = up
+    parent[at] = found
+    return found
+
+
+def _forest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, links: list[tuple[int, int]]) -> None:
+    """Joins the trees of linked places, each root to a smaller one of those it is linked to; appends the links that did so."""
     while len(u):
-        a, b = int(u[0]), int(v[0])
-        links.append((a, b))
-        old, new = labels[a], labels[b]
-        labels[labels == old] = new
-        fresh = labels[u] != labels[v]
-        u, v = u[fresh], v[fresh]
+        one, two = _roots(parent, u), _roots(parent, v)
+        fresh = one != two
+        u, v, one, two = u[fresh], v[fresh], one[fresh], two[fresh]
+        if not len(u):
+            return
+        low, high = np.minimum(one, two), np.maximum(one, two)
+        hooked, at = np.unique(high, return_index=True)
+        parent[hooked] = low[at]
+        links += zip(u[at].tolist(), v[at].tolist(), strict=True)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK) -> list[tuple[int, int]]:
     """A spanning forest of the links between (or, with ``b`` None, within) sorted tiles, as fingerprint pairs."""
     both = a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
-    labels = np.arange(len(both))
+    parent = np.arange(len(both))
     links: list[tuple[int, int]] = []
     right = a if b is None else b
     boxes = []
@@ -161,7 +172,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = B
                 later = u < v
                 u, v = u[later], v[later]
             if len(u):
-                _forest(labels, u, v + shift, links)
+                _forest(parent, u, v + shift, links)
     return [(int(both[u]), int(both[v])) for u, v in links]
 
 
@@ -182,11 +193,12 @@ def _compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def linked_fingerprints(prints: DataFrame, radius: int = 3, tile: int | None = None) -> DataFrame:
     """Links (u, v) that connect all of ``prints`` (distinct ``fp`` long) within ``radius`` bits, as a forest per tile pair.
 
-    ``tile``: fingerprints a tile; by default a hundredth of all, from 512 to 65536. It changes
-    how the work is cut, never what is compared.
+    ``tile``: fingerprints a tile; by default a share of all, from 512 to 4 million (32 MB). It changes
+    how the work is cut, never what is compared. Each tile is sent to the tasks of all its pairs, so fewer and larger ones
+    mean less to send; within a pair, blocks of 128 are ruled out by their bit counts all the same.
     """
     n = prints.count()
-    tile = tile or max(512, min(65_536, n // 100))
+    tile = tile or max(512, min(4_000_000, n // TILES))
     half = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     order = ["c", "q0", "q1", "q2", "q3", "fp"]
     sorted_prints = materialise(
@@ -311,6 +323,12 @@ def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBat
     """Input: rows of ``_tokens`` by token and place; output: pairs that may be ``least`` alike and are in two parts, once a shared shingle, with how many they need."""
 
     def pairs(token, place, node, part, fp=None) -> Iterator[pa.RecordBatch]:
+        # a shingle that only one part has joins nothing
+        firsts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        alone = np.minimum.reduceat(part, firsts) == np.maximum.reduceat(part, firsts)
+        some = ~np.repeat(alone, np.diff(firsts, append=len(token)))
+        token, place, node, part = token[some], place[some], node[some], part[some]
+        fp = None if fp is None else fp[some]
         n, pos = place >> 32, place & 0xFFFFFFFF
         at, step = np.arange(len(token) - 1), 1
         while True:
