@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.text import normal_query, signature
+from loamwork.functions.text import normal_query
 from loamwork.operators.graph import connected_components
 from loamwork.storage import materialise
 
@@ -30,6 +33,26 @@ def insert_new(table: DataFrame, new: DataFrame, key: str = "content_hash") -> D
     return table.unionByName(fresh.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*table.columns))
 
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def signatures(docs: DataFrame, size: int = 5, k: int = K, text: str = "text") -> DataFrame:
+    """(id, sig): the bottom-k MinHash of ``functions.text.signature`` for every document, in one Arrow pass."""
+
+    def of(value: str | None) -> list[str]:
+        w = _WORDS.findall((value or "").lower())
+        found = {hashlib.md5(" ".join(w[a : a + size]).encode("utf-8", "surrogatepass")).hexdigest() for a in range(max(1, len(w) - size + 1))} if w else set()
+        return heapq.nsmallest(k, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.list_(pa.string()))], ["id", "sig"])
+
+    return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, sig array<string>")
+
+
 def estimate(a: list[str], b: list[str], most: int = K) -> float:
     """Jaccard estimate over the bottom k of the union of two ascending signatures."""
     k = min(most, len(a), len(b))
@@ -68,7 +91,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = 5, text:
     both signatures, so nodes meet only there; a hash that many share is cut into blocks whose pairs of
     blocks are separate rows, each returning a spanning forest of its links. Needs integer ids; documents without words link to nothing.
     """
-    signed = materialise(docs.select("id", signature(F.coalesce(F.col(text), F.lit("")), size, K).alias("sig")), "near-signatures")
+    signed = materialise(signatures(docs, size, K, text), "near-signatures")
     keyed = signed.withColumn("key", F.md5(F.array_join("sig", "")))
     nodes = keyed.where(F.size("sig") > 0).groupBy("key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
     reach = F.floor(F.least(F.lit(K), F.size("sig")) * (1 - least) + 1e-9).cast("int") + 1
@@ -80,7 +103,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = 5, text:
     # every block meets itself and the later ones: numbers are exploded, not rows paired
     left = blocks.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
     right = blocks.select("h", F.col("i").alias("j"), F.col("x").alias("y"))
-    links = left.join(right, ["h", "j"]).select("i", "j", "x", "y").repartition(F.rand(7)).mapInArrow(_links(least), "u long, v long")
+    # dealt anew by what names the pair of blocks, as one shingle's pairs would stay together
+    links = left.join(right, ["h", "j"]).repartition("h", "i", "j").select("i", "j", "x", "y").mapInArrow(_links(least), "u long, v long")
     of = connected_components(links)
     roots = nodes.join(of, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     return keyed.select("id", "key").join(roots, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -69,28 +69,43 @@ def content_coverage(lines: DataFrame, windows: DataFrame) -> DataFrame:
     return line_coverage(lines.where("not blank"), windows).groupBy("doc_id").agg(F.round(F.avg(F.col("covered").cast("double")), 6).alias("coverage"))
 
 
-def best_overlap(passages: DataFrame, spans: DataFrame) -> DataFrame:
+def best_overlap(passages: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """(passage_id, artifact_id): the span that overlaps over half of a passage the most, the lowest ordinal of equals.
 
     passages: (passage_id, doc_id, start_line, end_line); spans: (artifact_id, doc_id, start_line, end_line, ordinal).
+    Over half of a passage includes its middle line, so a passage meets only the spans of the block of ``width`` lines that holds it.
     """
+    middle = F.floor((F.col("start_line") + F.col("end_line")) / 2)
+    keyed = passages.withColumn("__b", F.floor(middle / width)).withColumn("__m", middle).alias("p")
+    spread = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width)))).alias("s")
+    on = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("p.__b") == F.col("s.__b")) & F.col("p.__m").between(F.col("s.start_line"), F.col("s.end_line"))
     over = F.least("p.end_line", "s.end_line") - F.greatest("p.start_line", "s.start_line") + 1
-    joined = passages.alias("p").join(spans.alias("s"), "doc_id").withColumn("over", over)
-    half = F.col("over") * 2 > F.col("p.end_line") - F.col("p.start_line") + 1
-    best = joined.where(half).groupBy("passage_id").agg(F.max(F.struct("over", (-F.col("ordinal")).alias("early"), "artifact_id")).alias("top"))
+    half = over * 2 > F.col("p.end_line") - F.col("p.start_line") + 1
+    top = F.max(F.struct(over.alias("over"), (-F.col("ordinal")).alias("early"), F.col("artifact_id")))
+    best = keyed.join(spread, on).where(half).groupBy("passage_id").agg(top.alias("top"))
     return best.select("passage_id", F.col("top.artifact_id").alias("artifact_id"))
 
 
-def set_containment(left: DataFrame, right: DataFrame) -> DataFrame:
+def set_containment(left: DataFrame, right: DataFrame, tested: int = 3) -> DataFrame:
     """(left_id, right_id) where every member of a non-empty right set is in the left one. Both: (id, member).
 
-    Candidates come from each right set's rarest member alone, then members are counted; a frequent member joins nothing by itself.
+    A pair comes from the right set's rarest member and a left set of no smaller size; one semi join each for the next rarest ones,
+    ``tested`` in all, leaves few pairs for the count of the members that are left.
     """
-    members = right.select("id", "member").distinct()
-    mine = left.select("id", "member").distinct()
+    members, mine = right.select("id", "member").distinct(), left.select("id", "member").distinct()
     often = mine.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(often, "member", "left")
-    rare = sized.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "member")).alias("r"), F.count(F.lit(1)).alias("size"))
-    cand = rare.select(F.col("id").alias("right_id"), F.col("r.member").alias("member"), "size").join(mine.withColumnRenamed("id", "left_id"), "member").select("left_id", "right_id", "size")
-    full = cand.join(members.withColumnRenamed("id", "right_id"), "right_id").join(mine.withColumnRenamed("id", "left_id"), ["left_id", "member"])
-    return full.groupBy("left_id", "right_id", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size and left_id <> right_id").select("left_id", "right_id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "member"))
+    placed = members.join(often, "member", "left").select("id", "member", place.alias("place"))
+    nth = [F.max(F.when(F.col("place") == k, F.col("member"))).alias(f"m{k}") for k in range(1, tested + 1)]
+    wanted = placed.groupBy(F.col("id").alias("right_id")).agg(F.count(F.lit(1)).alias("size"), *nth)
+    sized = mine.join(mine.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id")
+    held = mine.select(F.col("id").alias("left_id"), F.col("member").alias("m"))
+    found = wanted.join(sized.select(F.col("id").alias("left_id"), F.col("member").alias("m1"), "own"), "m1").where("own >= size and left_id <> right_id").drop("own")
+    for k in range(2, tested + 1):
+        here = (F.col("f.left_id") == F.col("h.left_id")) & (F.col(f"f.m{k}") == F.col("h.m"))
+        larger = found.where(F.col("size") >= k).alias("f").join(held.alias("h"), here, "left_semi")
+        found = found.where(F.col("size") < k).unionByName(larger)
+    rest = placed.where(F.col("place") > tested).select(F.col("id").alias("right_id"), F.col("member").alias("m"))
+    large = found.where(F.col("size") > tested).select("left_id", "right_id", "size")
+    whole = large.join(rest, "right_id").join(held, ["left_id", "m"]).groupBy("left_id", "right_id", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("size") - tested)
+    return found.where(F.col("size") <= tested).select("left_id", "right_id").unionByName(whole.select("left_id", "right_id"))

@@ -54,7 +54,8 @@ def coalesce_queries(events: DataFrame, gap: int = 15) -> DataFrame:
 def shown_pairs(candidates: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """(event_id, a_id, b_id) of unordered pairs that one event showed; an event shows ``most`` at most, by rank.
 
-    The bound is part of what a log records, so no event's pairs grow with the data.
+    The bound is part of what the log is: a search stores the first ``most`` candidates that it showed, so a larger list
+    is of another making, and its further rows were never on a screen.
     """
     w = Window.partitionBy("event_id").orderBy("rank", "id")
     top = candidates.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).groupBy("event_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))

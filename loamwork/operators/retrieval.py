@@ -6,6 +6,8 @@ are ranked, so order does not hang on the last bit; ids break ties.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.text import lexical_tokens, saturated
+from loamwork.functions.text import CONNECTORS, lexical_tokens, saturated
+from loamwork.storage import materialise
 
 DIGITS = 6
 
@@ -24,17 +27,18 @@ def ranked(hits: DataFrame, *order: Column, by: str = "q_id", limit: int | None
     return out.where(F.col("rank") < limit) if limit else out
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list[int], np.ndarray]]:
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query ids and vectors in blocks of ``size`` bytes."""
     ids: list[int] = []
     rows: list[list[float]] = []
     for r in queries.select("q_id", "vector").toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == size:
-            yield ids, np.array(rows, np.float64)
+        if len(ids) * len(r[1]) * 8 >= size:
+            yield np.array(ids), np.array(rows, np.float64)
             ids, rows = [], []
     if ids:
-        yield ids, np.array(rows, np.float64)
+        yield np.array(ids), np.array(rows, np.float64)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -42,36 +46,94 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def cosine_scan(corpus: DataFrame, queries: DataFrame, k: int | None, floor: float | None = None, skip_self: bool = False, block: int = 2048) -> DataFrame:
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """Rows of a list column; null ones and those of another size are zero."""
+    ends = vectors.offsets.to_numpy()
+    values = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    good = (np.diff(ends) == size) & vectors.is_valid().to_numpy(zero_copy_only=False)
+    if good.all():
+        return np.nan_to_num(values[ends[0] : ends[-1]].reshape(-1, size))
+    out = np.zeros((len(vectors), size))
+    out[good] = np.nan_to_num(values[ends[:-1][good][:, None] + np.arange(size)])
+    return out
+
+
+class _Best:
+    """The ``k`` best (score falling, id rising) of each query so far; an id counts once, with its best score."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.line = k, np.full(n, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, 4 * n * k
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: (queries from ``first`` on, ids), -inf for what doesn't count."""
+        line = self.line[first : first + len(scores)]
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+        if len(starts) < len(ids):
+            scores, ids = np.maximum.reduceat(scores[:, order], starts, axis=1), ids[order][starts]
+        if scores.shape[1] > self.k:
+            line = np.maximum(line, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        # ties at the line stay; ids break them when the rest goes
+        i, j = np.nonzero((scores >= line[:, None]) & (scores > -np.inf))
+        self.held.append((i + first, ids[j], scores[i, j]))
+        self.size += len(i)
+        if self.size > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((-scores, ids, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])][: len(q)]
+        q, ids, scores = q[first], ids[first], scores[first]
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        starts = np.searchsorted(q, np.arange(len(self.line) + 1))
+        keep = np.arange(len(q)) - starts[q] < self.k
+        full = np.diff(starts) >= self.k
+        self.line[full] = scores[starts[:-1][full] + self.k - 1]
+        self.held = [(q[keep], ids[keep], scores[keep])]
+        self.size = int(keep.sum())
+        return self.held[0]
+
+
+def cosine_scan(corpus: DataFrame, queries: DataFrame, k: int | None, floor: float | None = None, skip_self: bool = False, block: int = 32_000_000, tile: int = 2048) -> DataFrame:
     """(q_id, id, score) of the corpus rows nearest each query, by exact cosine.
 
-    corpus: (id, vector); queries: (q_id, vector). Queries are stated rows, taken in blocks
-    of bounded size; each block is one matrix product per batch of the corpus, whose tasks keep their own best ``k``.
-    ``floor`` keeps what reaches it. Vectors without length or of another size score 0.
+    corpus: (id, vector); queries: (q_id, vector). Queries are stated rows, taken in blocks of ``block`` bytes; each
+    block is one scan of the corpus, in matrix products of ``tile`` by ``tile`` rows. A task keeps its own best ``k`` along
+    its whole share, so what it sends on does not grow with that; an id that repeats counts with its best row. Without ``k`` each pair goes
+    on. ``floor`` keeps what reaches it. Vectors without length or of another size score 0.
     """
     spark, out = corpus.sparkSession, None
     for ids, rows in _blocks(queries.where(F.col("vector").isNotNull()), block):
-        shared = spark.sparkContext.broadcast((np.array(ids), _unit(rows)))
+        shared = spark.sparkContext.broadcast((ids, _unit(rows)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
+            best = _Best(len(q), k) if k else None
+            names = ["q_id", "id", "score"]
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = batch.column(1).to_pylist()
-                m = np.zeros((len(vectors), q.shape[1]))
-                for i, v in enumerate(vectors):
-                    if v is not None and len(v) == q.shape[1]:
-                        m[i] = v
-                scores = np.round(q @ _unit(m).T, DIGITS) + 0.0
-                keep = np.ones_like(scores, bool) if floor is None else scores >= floor
-                if skip_self:
-                    keep &= q_ids[:, None] != own[None, :]
-                if k and scores.shape[1] > k:
-                    ranked_scores = np.where(keep, scores, -np.inf)
-                    line = np.partition(ranked_scores, -k, axis=1)[:, -k][:, None]
-                    keep &= ranked_scores >= line  # ties at the line stay; ids break them later
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(own[j]), pa.array(scores[i, j])], ["q_id", "id", "score"])
+                every = batch.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, batch.num_rows, tile):
+                    own, m = every[at : at + tile], _unit(_matrix(batch.column(1).slice(at, tile), q.shape[1]))
+                    for first in range(0, len(q), tile):
+                        asked = q_ids[first : first + tile]
+                        scores = np.round(q[first : first + tile] @ m.T, DIGITS) + 0.0
+                        if floor is not None:
+                            scores[scores < floor] = -np.inf
+                        if skip_self:
+                            scores[asked[:, None] == own[None, :]] = -np.inf
+                        if best:
+                            best.add(first, scores, own)
+                            continue
+                        i, j = np.nonzero(scores > -np.inf)
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(own[j]), pa.array(scores[i, j])], names)
+            if best:
+                i, found, scores = best.cut()
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(found.astype(np.int64)), pa.array(scores)], names)
 
         part = corpus.select("id", "vector").mapInArrow(scan, "q_id long, id long, score double")
         out = part if out is None else out.union(part)
@@ -92,24 +154,61 @@ def neighbour_pairs(corpus: DataFrame, queries: DataFrame, per_point: int = 5, f
 
 
 def max_similarity(centroids: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Best centroid of each artifact: centroids (id, vector) may repeat an id."""
-    best = cosine_scan(centroids, queries, None).groupBy("q_id", "id").agg(F.max("score").alias("score"))
+    """Best centroid of each artifact: centroids (id, vector) may repeat an id.
+
+    An artifact of the best ``k`` is one of the best ``k`` of the task that holds its best centroid, so tasks send no more than that.
+    """
+    best = cosine_scan(centroids, queries, k).groupBy("q_id", "id").agg(F.max("score").alias("score"))
     return ranked(best, F.desc("score"), F.asc("id"), limit=k).select("q_id", "id", "rank", "score")
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf) of a table with ``id`` and a text."""
-    return docs.select("id", F.explode(lexical_tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+_RUN, _PARTS = re.compile(r"[\w\-./]+"), re.compile(r"[\-_./]+")
+
+
+def terms_of(text: str | None) -> list[str]:
+    """The same terms as ``lexical_tokens`` finds, in the same order."""
+    runs = [t.strip(CONNECTORS).lower() for t in _RUN.findall(text or "")]
+    parts = [p for t in runs if _PARTS.search(t) for p in _PARTS.split(t)]
+    return [t for t in runs + parts if t and (len(t) <= 10 or len(t.encode()) <= 40)]
+
+
+def postings(docs: DataFrame, text: str = "text", only: frozenset[str] | None = None) -> DataFrame:
+    """(id, term, tf) of a table with ``id`` and a text; with ``only``, of these terms. Counted per document in one Arrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value if shared else None
+        for batch in batches:
+            places, found, times = [], [], []
+            for k, value in enumerate(batch.column(1)):
+                terms = terms_of(value.as_py())
+                counts = Counter(terms if wanted is None else [t for t in terms if t in wanted])
+                places += [k] * len(counts)
+                found += counts.keys()
+                times += counts.values()
+                if len(places) > 200_000:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(found, pa.string()), pa.array(times, pa.int64())], ["id", "term", "tf"])
+                    places, found, times = [], [], []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string()), pa.array(times, pa.int64())], ["id", "term", "tf"])
+
+    return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, term string, tf long")
+
+
+#: Up to so many terms of a query set go to the tasks that read the documents.
+TERMS = 200_000
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(q_id, id, rank, score) by summed idf * saturated tf, without length norm.
 
-    docs: (id, text); queries: (q_id, text). A query's terms count once. The postings are cut to the queries'
-    terms before anything is counted, and scored per document before the shuffle by query.
+    docs: (id, text); queries: (q_id, text). A query's terms count once. Documents are read once, for the queries'
+    terms alone, and what is found is written, as both document frequencies and scores need it.
     """
-    terms = queries.select("q_id", F.explode(F.array_distinct(lexical_tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    found = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
+    terms = postings(queries.withColumnRenamed("q_id", "id")).select(F.col("id").alias("q_id"), "term")
+    asked = terms.select("term").distinct()
+    some = [r.term for r in asked.limit(TERMS + 1).collect()]
+    found = postings(docs, only=frozenset(some)) if len(some) <= TERMS else postings(docs).join(asked, "term", "left_semi")
+    found = materialise(found, "bm25-postings")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row beside every term: a scalar, not a product

@@ -1,14 +1,11 @@
 """Queries over the standard tables, one per operator or small group, with DuckDB SQL for the same rows.
 
-Each runs over its whole tables, but for those named _slice: SQL can't do the whole of these, so it checks a part. Retrieval queries take as their query set the rows whose id
+Each runs over its whole tables. Retrieval queries take as their query set the rows whose id
 20 divides, or the benchmark items. Doubles are rounded; ids are the last sort key.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +13,14 @@ from loamwork.functions import text as tx
 from loamwork.functions.vectors import cosine, norm
 from loamwork.operators import context, dedup, joins, lifecycle, logs, metrics, reads, retrieval, segments
 from loamwork.operators.graph import connected_components
+from loamwork.plans.registry import QUERIES, SQL, query
 from loamwork.sources.capture import captured_pages, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 #: The end of the event log's month, as epoch seconds.
 NOW = 1706745600
 IDLE = 21600
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            # "at" is a keyword of DuckDB
-            SQL[f.__name__] = re.sub(r"""(?<![\w"'])at(?![\w"'])""", '"at"', sql)
-        return f
-
-    return keep
-
-
 # Shared inputs ------------------------------------------------------------------------------------------------
 
 
@@ -296,8 +279,7 @@ sig AS (SELECT id, CASE WHEN len(w) = 0 THEN [] ELSE
 
 @query(f"WITH {SIGN} SELECT id, len(s)::BIGINT AS size, md5(array_to_string(s, ',')) AS signature_md5 FROM sig")
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    s = tx.signature(F.coalesce("text", F.lit("")))
-    return _docs(spark, d).select("id", s.alias("s")).select("id", F.size("s").cast("long").alias("size"), F.md5(F.array_join("s", ",")).alias("signature_md5"))
+    return dedup.signatures(_docs(spark, d)).select("id", F.size("sig").cast("long").alias("size"), F.md5(F.array_join("sig", ",")).alias("signature_md5"))
 
 
 @query(f"""WITH RECURSIVE {SIGN}, h AS (SELECT id, unnest(s) AS x FROM sig),
@@ -323,15 +305,15 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+')) AS w FROM documents),
 b AS (SELECT doc_id, lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), '^[vV]([0-9])', '\1')) AS f FROM w)
-SELECT DISTINCT doc_id, f AS fact FROM b WHERE regexp_matches(f, '^[0-9]+([-.:/_].*|(s|ms|us|ns|m|h|d|w|y|b|k|kb|mb|gb|tb|pb|kib|mib|gib|tib|hz|khz|mhz|ghz|px|x))$')""")
+SELECT DISTINCT doc_id, f AS fact FROM b WHERE regexp_matches(f, '^[0-9]+([-.:/_].*|(UNITS))$')""".replace("UNITS", "|".join(tx.UNITS)))
 def fact_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(tx.fact_tokens(F.coalesce("text", F.lit("")))).alias("fact"))
 
 
 @query(r"""WITH w AS (SELECT source, lower(x) AS w FROM (SELECT source, unnest(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}]+')) AS x FROM documents) WHERE strlen(x) > 2),
-c AS (SELECT source, w, count(*) AS n FROM w WHERE w NOT IN ('a','an','the','and','or','of','to','in','on','for','with','how','do','i','is','it','what','can','my','me','does','why','when','are','be','this','that','from','at','by','into','was','we','you','not','no') GROUP BY source, w),
+c AS (SELECT source, w, count(*) AS n FROM w WHERE w NOT IN (STOPS) GROUP BY source, w),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS k FROM c)
-SELECT source, string_agg(w, ' · ' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY source""")
+SELECT source, string_agg(w, ' · ' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY source""".replace("STOPS", ", ".join(f"'{w}'" for w in tx.STOP_WORDS)))
 def terms_label(spark: SparkSession, d: str) -> DataFrame:
     return metrics.terms_label(table(spark, d, "documents"), "source")
 
@@ -362,7 +344,8 @@ def passage_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def document_literals(spark: SparkSession, d: str) -> DataFrame:
-    return segments.document_literals(table(spark, d, "documents"))
+    """Of the pages' markup, where paths stand in attributes; the documents' prose has none."""
+    return segments.document_literals(table(spark, d, "pages"), "page_id", "html")
 
 
 # Logs ---------------------------------------------------------------------------------------------------------
@@ -493,16 +476,6 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(edges)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, l_suppkey + 1000000 AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount = 0.1 AND l_quantity >= 49),
-b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
-r(n, c) AS (SELECT x, x FROM b UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.n AND r.c < b.y)
-SELECT n AS node, min(c) AS component FROM r GROUP BY n""")
-def components_slice(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_discount = 0.1 and l_quantity >= 49")
-    edges = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))
-    return connected_components(edges)
-
-
 @query()
 def keepers(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a_id"), (F.col("l_suppkey") + 1000000).alias("b_id"))
@@ -510,17 +483,6 @@ def keepers(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keepers(pairs, art)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT least(l_partkey, l_suppkey + 1000000) AS u, greatest(l_partkey, l_suppkey + 1000000) AS v FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_quantity >= 48),
-b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
-r(n, c) AS (SELECT x, x FROM b UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.n AND r.c < b.y),
-m AS (SELECT n, min(c) AS c FROM r GROUP BY n), k AS (SELECT c, max((n % 97, n)) AS k FROM m GROUP BY c)
-SELECT m.n AS id, k.k[2] AS keeper_id, m.n <> k.k[2] AS superseded FROM m JOIN k USING (c)""")
-def keepers_slice(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "lineitem").where("l_discount = 0.1 and l_tax = 0.08 and l_quantity >= 48").select(F.col("l_partkey").alias("a_id"), (F.col("l_suppkey") + 1000000).alias("b_id"))
-    art = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct().withColumn("created_at", F.col("id") % 97)
-    return dedup.keepers(pairs, art)
-
-
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT p_partkey AS child_id, p_partkey // 2 AS root_id FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 5 = 0),
 r(root, node, parent, depth) AS (SELECT p_partkey, p_partkey, NULL::BIGINT, 0 FROM part WHERE p_partkey % 20 = 0
   UNION SELECT r.root, s.root_id, r.node, r.depth + 1 FROM r JOIN s ON s.child_id = r.node WHERE r.depth < 6),
@@ -533,22 +495,14 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
     return dedup.lineage(half.union(third).distinct(), part.where("child_id % 20 = 0").select(F.col("child_id").alias("id")))
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS m FROM lineitem), n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
+SELECT left_id, right_id FROM (SELECT a.id AS left_id, b.id AS right_id, count(*) AS k FROM s a JOIN s b ON a.m = b.m AND a.id <> b.id GROUP BY a.id, b.id) JOIN n ON n.id = right_id WHERE k = n.n""")
 def set_containment(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("member")).distinct()
+    """Orders of whose parts another order has all."""
+    sets = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("member"))
     return joins.set_containment(sets, sets)
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 50 AS m FROM lineitem), a AS (SELECT * FROM s WHERE id % 2 = 0), b AS (SELECT * FROM s WHERE id % 2 = 1),
-n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
-SELECT left_id, right_id FROM (SELECT a.id AS left_id, b.id AS right_id, count(*) AS k FROM a JOIN b USING (m) GROUP BY a.id, b.id) JOIN n ON n.id = right_id WHERE k = n.n AND n.n >= 3""")
-def set_containment_slice(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("member")).distinct()
-    odd = sets.where("id % 2 = 1")
-    wide = odd.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("id")
-    return joins.set_containment(sets.where("id % 2 = 0"), odd.join(wide, "id", "left_semi"))
-
-
 @query("""SELECT o_custkey AS corpus_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE - DATE '1970-01-01', o_orderkey) - 1 AS ordinal FROM orders""")
 def renumbered(spark: SparkSession, d: str) -> DataFrame:
     art = table(spark, d, "orders").select(F.col("o_custkey").alias("corpus_id"), F.col("o_orderkey").alias("id"), F.lit(None).cast("int").alias("segment_idx"), F.expr("datediff(o_orderdate, date'1970-01-01')").alias("ordinal"))
@@ -740,15 +694,6 @@ def gap_clusters(spark: SparkSession, d: str) -> DataFrame:
     return reads.gap_clusters(gaps, 0.3).select("key", "n")
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND a.label = 1 AND b.label = 1 AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3),
-b AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e), r(n, c) AS (SELECT x, x FROM b UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.n AND r.c < b.y),
-m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
-SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY n)) AS key, count(*) AS n FROM m GROUP BY c HAVING count(*) >= 2""")
-def gap_clusters_slice(spark: SparkSession, d: str) -> DataFrame:
-    gaps = _corpus(spark, d).where("label = 1").select("id", F.lit("the open gap").alias("text"), "vector")
-    return reads.gap_clusters(gaps, 0.3).select("key", "n")
-
-
 @query("""WITH s AS (SELECT g.vec_id AS gap_id, a.vec_id AS id, round(list_cosine_similarity(g.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings g, embeddings a WHERE g.vec_id % 20 = 0 AND a.vec_id % 20 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY score DESC, id) AS n FROM s WHERE score >= 0.35) SELECT gap_id, id, score FROM r WHERE n = 1""")
 def covered_gaps(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_shared: list[str] = []
+_deleted_on_exit: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_shared[0]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/loamwork-{spark.sparkContext.applicationId}"
+    if path not in _deleted_on_exit:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _deleted_on_exit.add(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here.
 
-    What follows sees the same rows however often tasks are repeated.
+    What follows sees the same rows however often tasks are repeated. The files are there as long as the application,
+    as results that are not yet computed read them; ``discard`` frees them before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
