@@ -37,6 +37,19 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Bytes of texts that a Python worker gets at once, where the session has no smaller bound: both sides hold several copies of a batch.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """The same table; its session hands out batches of ``BATCH_BYTES`` at most from now on, so long texts make small batches."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name, None)
+    if given and given.rstrip("b").isdigit() and int(given.rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return docs
+
+
 def buckets(entries: DataFrame, most: int = 1_000_000) -> int:
     """Into how many partitions to deal a written table so that each gets about ``most`` rows or fewer."""
     return max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // most))

@@ -367,14 +367,25 @@ class Trainer:
             self.tokens += int(real.sum())
 
 
-def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of rows that have ``most`` bytes together, or one text that has more."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-        yield at, texts.slice(at, end - at)
-        at = end
+def portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts, in column ``text``, have about ``most`` bytes together, or that are one row which has more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + (not held), int(np.searchsorted(sizes, before + most - size, "right")))
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(sizes[end - 1]) - before
+            if end < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            at = end
+    if held:
+        yield pa.concat_batches(held)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -494,14 +505,13 @@ def _count_words(held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, texts = [], 0
-        for batch in batches:
-            for _, part in slices(batch.column(0)):
-                found = split_words(part)[0].value_counts()
-                counts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
-                texts += len(part)
-                if sum(map(len, counts)) >= held:
-                    yield from out(counts)
-                    counts = []
+        for part in portions(batches, 0):
+            found = split_words(part.column(0))[0].value_counts()
+            counts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            texts += len(part)
+            if sum(map(len, counts)) >= held:
+                yield from out(counts)
+                counts = []
         if texts:
             counts.append(pa.table({"word": [END], "n": pa.array([texts], pa.int64())}))
         yield from out(counts)
@@ -540,10 +550,9 @@ def _refine(shared, rate: float, lanes: int) -> Callable[[Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, head, start = shared.value
         trainer = Trainer(params, rate, start, lanes)
-        for batch in batches:
-            for _, part in slices(batch.column(0)):
-                for ids in head.encode(part).texts():
-                    trainer.add(ids)
+        for part in portions(batches, 0):
+            for ids in head.encode(part.column(0)).texts():
+                trainer.add(ids)
         trainer.finish()
         if trainer.tokens:
             part = TaskContext.get().partitionId()
@@ -609,16 +618,15 @@ def _score(shared, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, head, start = shared.value
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at, part in slices(batch.column(2), size):
-                n, t = len(part), head.encode(part)
-                net = score_many(params, t.texts(), start) / math.log(10)
-                base, within, known = head.counted(t)
-                tails, beyond = _tails(t, n)
-                cols = [pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(t.starts, append=len(t.ids)))]
-                cols += [pa.array(known), pa.array(base), pa.array(net + within), pa.array(beyond), tails]
-                row += n
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "net", "beyond", "tail"])
+        for part in portions(batches, 2, size):
+            n, t = len(part), head.encode(part.column(2))
+            net = score_many(params, t.texts(), start) / math.log(10)
+            base, within, known = head.counted(t)
+            tails, beyond = _tails(t, n)
+            cols = [pa.array(np.arange(row, row + n)), part.column(0), part.column(1), pa.array(np.diff(t.starts, append=len(t.ids)))]
+            cols += [pa.array(known), pa.array(base), pa.array(net + within), pa.array(beyond), tails]
+            row += n
+            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "net", "beyond", "tail"])
 
     return run
 

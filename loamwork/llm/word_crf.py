@@ -25,11 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamwork.llm.common import bounded_batches
+
 UNKNOWN = "und"
 BUCKETS = 1 << 17
 BLOCK = 32
 #: Words a worker remembers the scores of, and how long such a word may be.
 CACHE, CACHE_CHARS = 200_000, 40
+#: Words that forward-backward takes at once.
+AT_ONCE = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -254,7 +258,7 @@ class Tagger:
             if found := letter_words(text):
                 held.append((k, found))
                 size += len(found)
-            if held and (size > 200_000 or k == len(texts) - 1):
+            if held and (size > AT_ONCE or k == len(texts) - 1):
                 sizes = np.array([len(f) for _, f in held])
                 both = self.marginals(self.scores([w for _, f in held for w in f]), sizes)
                 means = np.add.reduceat(both, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
@@ -300,7 +304,7 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
     is ``unmodelled`` with score 0. Rows are independent: repeated rows come out alike, empty tables empty. Columns of ``docs`` are carried; those
     named as the new ones are replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    docs = bounded_batches(docs).select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]).add(f"c{width}", "string").add(f"c{width + 1}", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -308,8 +312,10 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value) if shared.value else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            got = tagger.predict(texts) if tagger else [(unmodelled if letter_words(t) else UNKNOWN, 0.0) for t in texts]
+            got: list[tuple[str, float]] = []
+            for first in range(0, batch.num_rows, 500):
+                texts = batch.column(at).slice(first, 500).to_pylist()
+                got += tagger.predict(texts) if tagger else [(unmodelled if letter_words(t) else UNKNOWN, 0.0) for t in texts]
             arrays = [batch.column(k) for k in range(width)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 

@@ -172,7 +172,12 @@ def test_words_and_endings_of_arrow_arrays():
         found, ends = lm.split_words(arrow)
         assert [[w.encode() for w in found.to_pylist()[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [byte_words(t) for t in texts]
         assert lm.endings(found).tolist() == [lm.ending(w.encode()) for w in found.to_pylist()]
-        assert [t for _, part in lm.slices(arrow, 10) for t in part.to_pylist()] == texts
+        for cut in (1, 3, 99):
+            batches = [pa.RecordBatch.from_arrays([arrow.slice(k, cut)], ["t"]) for k in range(0, len(arrow), cut)]
+            for most in (1, 10, 320, 10**6):
+                parts = [p.column(0).to_pylist() for p in lm.portions(iter(batches), 0, most)]
+                assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for p in parts)
+        assert len(parts) == 1
 
 
 def test_frequent_words_are_whole_levels_of_counts(spark):
