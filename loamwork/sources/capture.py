@@ -73,7 +73,7 @@ class _Markdown(HTMLParser):
         elif tag == "br":
             self.cut(gap=False)
         elif tag in self.BLOCKS:
-            self.cut(gap=not (tag in ("ul", "ol") and self.lists))
+            self.cut(gap=not self.lists)
             self.quoted += tag == "blockquote"
             if tag in ("ul", "ol"):
                 self.lists.append(0 if tag == "ol" else -1)
@@ -94,7 +94,7 @@ class _Markdown(HTMLParser):
             self.fenced -= 1
             self.out += ["```", ""]
         elif tag in self.BLOCKS or tag == "li" or (tag[0] == "h" and tag[1:].isdigit()):
-            self.cut(gap=tag != "li" and not (tag in ("ul", "ol") and len(self.lists) > 1))
+            self.cut(gap=tag != "li" and len(self.lists) <= (tag in ("ul", "ol")))
             self.quoted = max(0, self.quoted - (tag == "blockquote"))
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
