@@ -87,36 +87,45 @@ class PieceCodec:
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of a part; a single character that the vocabulary lacks gives its bytes."""
-        longest: list[int | None] = [None] * len(part)
-        for end, (piece, n) in self.machine.iter(part):
-            longest[end - n + 1] = piece
-        if longest[0] is None:
+        n, length, shorter, pairs = len(part), self.length, self.shorter, self.pairs
+        longest: list[int | None] = [None] * n
+        for end, (piece, size) in self.machine.iter(part):
+            longest[end - size + 1] = piece
+        piece = longest[0]
+        if piece is None:
             return [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
-        dead = bytearray(len(part) // 8 + 1)
+        # the field of failed positions, made when the first one fails
+        dead: bytearray | None = None
         out: list[int] = []
-        at = 0
-        piece = longest[0]
-        while at < len(part):
+        at = end = 0
+        while at < n:
             while piece is not None:
-                end = at + self.length[piece]
-                if not dead[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                    break
-                piece = self.shorter[piece]
+                end = at + length[piece]
+                if dead is None or not dead[end >> 3] >> (end & 7) & 1:
+                    if not out:
+                        break
+                    fits = pairs.get((out[-1], piece))
+                    if fits or (fits is None and self.compatible(out[-1], piece)):
+                        break
+                piece = shorter[piece]
             if piece is not None:
                 out.append(piece)
                 at = end
-                piece = longest[at] if at < len(part) else None
+                piece = longest[at] if at < n else None
                 continue
+            dead = dead or bytearray(n // 8 + 1)
             dead[at >> 3] |= 1 << (at & 7)
             last = out.pop()
-            at -= self.length[last]
-            piece = self.shorter[last]
+            at -= length[last]
+            piece = shorter[last]
         return out
 
     def remembered(self, part: str) -> tuple[str, str]:
         """Comma-joined ids and decoded text of a part."""
         ids = self.encode_part(part)
-        found = (",".join(map(str, ids)), self.decode_raw(ids))
+        # a part is of pieces alone, or the bytes of one character
+        decoded = self.decode_raw(ids) if ids[0] in self.byte_of else "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+        found = (",".join(map(str, ids)), decoded)
         if len(part) <= CACHE_CHARS and len(self.cache) < CACHE:
             self.cache[part] = found
         return found
