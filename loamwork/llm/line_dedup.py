@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import WS, ascii_lower_text, buckets, materialise
+from loamwork.llm.common import WS, ascii_lower_text, buckets, materialise, tidied
 from loamwork.llm.runs import RunIndex
 
 WIDTH = 16
@@ -178,7 +178,7 @@ def line_dedup(
     def renamed(df: DataFrame, places: list[int], shared) -> DataFrame:
         plain = schema.fieldNames()
         inner = T.StructType([T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(schema.fields)])
-        return df.mapInArrow(_drop(places, min_chars, shared), inner).toDF(*plain)
+        return df.mapInArrow(tidied(_drop(places, min_chars, shared)), inner).toDF(*plain)
 
     if frequent.count() <= broadcast_hashes:
         shared = spark.sparkContext.broadcast(b"".join(sorted(bytes(r.hash) for r in frequent.select("hash").collect())))

@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loamwork.llm.common import tidied
+
 MARK = "▁"
 #: Parts whose encoding a worker remembers, and how long such a part may be.
 CACHE, CACHE_CHARS = 200_000, 48
@@ -206,4 +208,4 @@ def piece_round_trip(docs: DataFrame, model: str, text_col: str = "text", keep_i
             arrays = [batch.column(k) for k in range(width)] + cols
             yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 
-    return docs.mapInArrow(run, schema).toDF(*docs.columns, *[name for name, _ in new])
+    return docs.mapInArrow(tidied(run), schema).toDF(*docs.columns, *[name for name, _ in new])

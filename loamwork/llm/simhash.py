@@ -8,8 +8,10 @@ counts. A comparison goes through blocks of a tile the same way, and does an
 exclusive-or and a bit count in numpy for what is left. Each tile pair
 returns a spanning forest of its links, so a dense group costs as many rows as it has members.
 
-If links must also be similar, the forest's are checked, and then every pair across the parts
-they leave that shares a shingle of both prefixes: sets that are alike to the threshold must share one.
+If links must also be similar, the forest's are checked, and then what is across the parts
+they leave and shares shingles of both prefixes, as sets that are alike to the threshold must. A part meets a shingle as one row,
+however many of its texts have it; two texts that are parts of their own are compared directly, and a part of several
+is dealt in chunks, each compared with whole sets of those that met it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import byte_words, materialise
+from loamwork.llm.common import byte_words, materialise, tidied
 from loamwork.operators.graph import connected_components
 
 SEED = 42
@@ -241,7 +243,7 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tile: int | None = N
         .select("a", "b", "x", "y")
     )
     # spread over the cores by the pair, whatever the joins left together
-    return loaded.repartition(F.col("a"), F.col("b")).mapInArrow(_compare(radius), "u long, v long")
+    return loaded.repartition(F.col("a"), F.col("b")).mapInArrow(tidied(_compare(radius)), "u long, v long")
 
 
 def jaccard(one: str | None, two: str | None, size: int) -> float:
@@ -267,7 +269,7 @@ def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, lea
     few = named.count() <= FEW  # spares a shuffle of all texts
     some = docs.join(F.broadcast(named) if few else named, "key").dropDuplicates(["node"])
     pairs = links.join(some.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-    return materialise(pairs.select("u", "v", "x", "y").mapInArrow(_alike(size, least), "u long, v long"), "simhash-alike")
+    return materialise(pairs.select("u", "v", "x", "y").mapInArrow(tidied(_alike(size, least)), "u long, v long"), "simhash-alike")
 
 
 def prefix(shingles: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
@@ -307,7 +309,7 @@ def _prefixed(size: int, least: float, common) -> Callable[[Iterator[pa.RecordBa
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: (n, prefix, node, part, fp); output: a row for each shingle of a prefix, ``place`` holding the set's size and the shingle's place."""
+    """Input: (n, prefix, part, fp); output: a row for each shingle of a prefix, ``place`` holding the set's size and the shingle's place."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
@@ -319,37 +321,58 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(parts), place, *same)], ["token", "place", *batch.schema.names[2:]])
 
 
+def _merged_rows(token: np.ndarray, place: np.ndarray, part: np.ndarray, fp: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """One row for each token and part, of tokens that several parts have: token, smallest and largest set, place (-1 for several rows), part, fingerprint."""
+    order = np.lexsort((place, part, token))
+    token, place, part = token[order], place[order], part[order]
+    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+    rows = np.diff(first, append=len(token))
+    n = place >> 32
+    low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+    pos = np.where(rows == 1, place[first] & 0xFFFFFFFF, -1)
+    token, part = token[first], part[first]
+    fp = np.zeros(len(first), np.int64) if fp is None else fp[order][first]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    shared = np.repeat(np.diff(starts, append=len(token)) > 1, np.diff(starts, append=len(token)))
+    out = [x[shared] for x in (token, low, high, pos, part, fp)]
+    order = np.lexsort((out[1], out[0]))
+    return tuple(x[order] for x in out)
+
+
 def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Input: rows of ``_tokens`` by token and place; output: pairs that may be ``least`` alike and are in two parts, once a shared shingle, with how many they need."""
-
-    def pairs(token, place, node, part, fp=None) -> Iterator[pa.RecordBatch]:
-        # a shingle that only one part has joins nothing
-        firsts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        alone = np.minimum.reduceat(part, firsts) == np.maximum.reduceat(part, firsts)
-        some = ~np.repeat(alone, np.diff(firsts, append=len(token)))
-        token, place, node, part = token[some], place[some], node[some], part[some]
-        fp = None if fp is None else fp[some]
-        n, pos = place >> 32, place & 0xFFFFFFFF
+    """Input: rows of ``_tokens`` by token; output: pairs of parts that may hold sets that are ``least`` alike, once a shared shingle, with how many they need."""
+
+    def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # what the larger set has behind its prefix can't hold more of the overlap than its size
+        overlap = np.ceil(least / (1 + least) * (a + b) - 1e-6)
+        return np.maximum(1, overlap - np.ceil(least * np.maximum(a, b) - 1e-9) + 1)
+
+    def pairs(token, place, part, fp=None) -> Iterator[pa.RecordBatch]:
+        token, low, high, pos, part, fp = _merged_rows(token, place, part, fp)
         at, step = np.arange(len(token) - 1), 1
         while True:
             at = at[at < len(token) - step]
             to = at + step
-            # sizes rise within a token, so what is too small for one partner is so for all later ones
-            at = at[(token[at] == token[to]) & (n[at] >= least * n[to] - 1e-6)]
+            # smallest sizes rise within a token, so what is too small for one partner is so for all later ones
+            at = at[(token[at] == token[to]) & (high[at] >= least * low[to] - 1e-6)]
             if not len(at):
                 return
             to = at + step
+            alone = (pos[at] >= 0) & (pos[to] >= 0)
             # shared shingles in front of this one, this one, and those behind it
-            most = np.minimum(pos[at], pos[to]) + np.minimum(n[at] - pos[at], n[to] - pos[to])
-            overlap = np.ceil(least / (1 + least) * (n[at] + n[to]) - 1e-6)
-            good = (part[at] != part[to]) & (most >= overlap)
+            most = np.minimum(pos[at], pos[to]) + np.minimum(low[at] - pos[at], low[to] - pos[to])
+            good = ~alone | (most >= np.ceil(least / (1 + least) * (low[at] + low[to]) - 1e-6))
             if radius is not None:
-                good &= np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius
+                good &= ~alone | (np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius)
             if good.any():
-                u, v = node[at[good]], node[to[good]]
-                # what the larger set has behind its prefix can't hold more of the overlap than its size
-                need = np.maximum(1, overlap - np.ceil(least * n[to] - 1e-9) + 1)[good].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(need)], ["u", "v", "need"])
+                i, j = at[good], to[good]
+                one_i, one_j = pos[i] >= 0, pos[j] >= 0
+                # of a part of several sizes, the smallest and the largest that can do need the fewest
+                a = np.where(one_i, low[i], low[j])
+                least_b, most_b = np.where(one_i, low[j], low[i]), np.where(one_i, high[j], high[i])
+                some = np.minimum(needed(a, np.maximum(least_b, np.floor(least * a))), needed(a, np.minimum(most_b, np.ceil(a / least))))
+                need = np.where(one_i | one_j, some, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part[i], part[j])), pa.array(np.maximum(part[i], part[j])), pa.array(need.astype(np.int64))], ["u", "v", "need"])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,24 +404,104 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.array([r.token for r in often], np.int64).view(np.uint64)
 
 
-def missed_links(nodes: DataFrame, least: float, radius: int | None) -> DataFrame:
-    """Every pair (u, v) of nodes in different parts that may be ``least`` alike, by the shingles that such sets must share.
+def met_parts(nodes: DataFrame, least: float, radius: int | None) -> DataFrame:
+    """Pairs of parts (u, v) of which a set of each may be ``least`` alike, by the shingles that such sets must share.
 
-    nodes: (node, part, fp, n, prefix). With ``radius``, only pairs whose fingerprints are that close.
+    nodes: (part, fp, n, prefix). With ``radius``, of two sets that are parts of their own only those whose fingerprints are that close.
     """
-    names = ["node", "part"] + ["fp"] * (radius is not None)
-    tokens = nodes.select("n", "prefix", *names).mapInArrow(_tokens, ", ".join(f"{c} long" for c in ["token", "place", *names]))
-    shared = tokens.repartition("token").sortWithinPartitions("token", "place").mapInArrow(_shared(least, radius), "u long, v long, need long")
-    counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
+    names = ["part"] + ["fp"] * (radius is not None)
+    tokens = nodes.select("n", "prefix", *names).mapInArrow(tidied(_tokens), ", ".join(f"{c} long" for c in ["token", "place", *names]))
+    shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(_shared(least, radius)), "u long, v long, need long")
+    counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need"))
     return counted.where("k >= need").select("u", "v")
 
 
+def _within(size: int, least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Input: (base, chunk, salt, side, node, fp, text) by the first four; the members of a chunk (side 0) come before those that ask (side 1). Output: a link of each that has one."""
+
+    class Chunk:
+        def __init__(self, key):
+            self.key, self.nodes, self.fps, self.sets = key, [], [], []
+            self.built = None
+
+        def build(self):
+            sizes = np.array([len(x) for x in self.sets], np.int64)
+            whole, owner = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(whole, kind="stable")
+            self.built = whole[order], owner[order], sizes, np.array(self.fps, np.int64)
+
+        def alike(self, own: np.ndarray, fp: int) -> int | None:
+            if self.built is None:
+                self.build()
+            whole, owner, sizes, fps = self.built
+            a, b = np.searchsorted(whole, own, "left"), np.searchsorted(whole, own, "right")
+            n = b - a
+            at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum())) if len(own) else np.zeros(0, np.int64)
+            both = np.bincount(owner[at], minlength=len(sizes))
+            either = len(own) + sizes - both
+            good = np.where(either > 0, both / np.maximum(either, 1), 1.0) >= least
+            if radius is not None:
+                good &= np.bitwise_count((fps ^ fp).view(np.uint64)) <= radius
+            found = np.flatnonzero(good)
+            return self.nodes[found[0]] if len(found) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = None
+        for batch in batches:
+            links = []
+            for *key, side, node, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk is None or chunk.key != key:
+                    chunk = Chunk(key)
+                own = np.unique(np.array(shingle_hashes(text, size), np.uint64))
+                if not side:
+                    chunk.nodes.append(node)
+                    chunk.fps.append(fp)
+                    chunk.sets.append(own)
+                elif chunk.nodes and (other := chunk.alike(own, fp)) is not None:
+                    links.append((node, other))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def missed_links(nodes: DataFrame, docs: DataFrame, size: int, least: float, radius: int | None, members: int = 512, askers: int = 512) -> DataFrame:
+    """Links (u, v) of nodes in different parts whose texts are ``least`` alike: of all pairs of parts that have such a link, one at least.
+
+    nodes: (node, key, part, fp, n, prefix); docs: (key, text). Of two parts the smaller one's texts ask; the larger one's are cut into chunks of
+    about ``members``, and each chunk's askers are dealt to tasks of about ``askers``, so neither side is ever gathered.
+    """
+    parts = materialise(nodes.select("node", "key", "part", "fp"), "simhash-parts")
+    met = materialise(met_parts(nodes, least, radius), "simhash-met")
+    several = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = met.join(several.select(F.col("part").alias("u"), F.col("size").alias("su")), "u", "left").join(several.select(F.col("part").alias("v"), F.col("size").alias("sv")), "v", "left")
+    # a part of its own has the number of its node
+    sized = materialise(sized, "simhash-met-sizes")
+    alone = verified(sized.where("su is null and sv is null").select("u", "v"), parts, docs, size, least)
+    su, sv = F.coalesce("su", F.lit(1)), F.coalesce("sv", F.lit(1))
+    asked = sized.where("su is not null or sv is not null").select(
+        F.when(su < sv, F.col("u")).otherwise(F.col("v")).alias("asker"), F.when(su < sv, F.col("v")).otherwise(F.col("u")).alias("base"), F.greatest(su, sv).alias("size")
+    )
+    asking = asked.join(parts.select(F.col("part").alias("asker"), "node", "fp"), "asker")
+    counts = asking.groupBy("base").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    dealt = materialise(counts.select("base", F.ceil(F.col("size") / members).cast("int").alias("chunks"), F.ceil(F.col("n") / askers).cast("int").alias("salts")), "simhash-bases")
+    of = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = parts.join(dealt, parts.part == dealt.base).select("base", of("node", "chunks").alias("chunk"), every("salts").alias("salt"), F.lit(0).alias("side"), "node", "fp")
+    ask = asking.join(dealt, "base").select("base", every("chunks").alias("chunk"), of("node", "salts").alias("salt"), F.lit(1).alias("side"), "node", "fp")
+    rows = materialise(held.unionByName(ask), "simhash-chunks")
+    wanted = rows.select("node").distinct().join(parts.select("node", "key"), "node")
+    texts = docs.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
+    by = ["base", "chunk", "salt"]
+    sorted_rows = rows.join(texts, "node").select(*by, "side", "node", "fp", "text").repartition(*by).sortWithinPartitions(*by, "side")
+    return alone.unionByName(sorted_rows.mapInArrow(tidied(_within(size, least, radius)), "u long, v long"))
+
+
 def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, least: float, beyond: bool) -> DataFrame:
     """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``. A node is a distinct text."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select(F.md5("text").alias("key"), "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    prints = keyed.mapInArrow(_prefixed(size, least, common), "key string, fp long, n long, prefix binary").dropDuplicates(["key"])
+    prints = keyed.mapInArrow(tidied(_prefixed(size, least, common)), "key string, fp long, n long, prefix binary").dropDuplicates(["key"])
     nodes = materialise(prints.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-prints")
     close = linked_fingerprints(firsts.select("fp"), radius, tile)
@@ -407,8 +510,8 @@ def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, lea
     links = verified(named.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal), nodes, keyed, size, least)
     # the links so far are a forest of those proposed, so a failed one may have stood for others: all that could join two parts are checked
     part = F.coalesce("component", "node").alias("part")
-    marked = nodes.join(connected_components(links), "node", "left").select("node", part, "fp", "n", "prefix")
-    more = verified(missed_links(marked, least, None if beyond else radius), nodes, keyed, size, least)
+    marked = nodes.join(connected_components(links), "node", "left").select("node", "key", part, "fp", "n", "prefix")
+    more = missed_links(marked, keyed, size, least, None if beyond else radius)
     root = nodes.select("node", "key", "fp").join(connected_components(links.union(more)), "node", "left").select("key", "fp", part)
     rows = materialise(docs.select("id", F.md5("text").alias("key")).join(root, "key").select("id", "fp", "part"), "simhash-rows")
     return rows.join(rows.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("id", "fp", "component_id")

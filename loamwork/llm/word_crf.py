@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.common import bounded_batches
+from loamwork.llm.common import bounded_batches, tidied
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -319,7 +319,7 @@ def identify_language(docs: DataFrame, model: Model | None, text_col: str = "tex
             arrays = [batch.column(k) for k in range(width)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [f"c{k}" for k in range(len(arrays))])
 
-    return docs.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "score")
+    return docs.mapInArrow(tidied(run), schema).toDF(*docs.columns, "lang_pred", "score")
 
 
 def fit_and_identify(

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import numpy as np
 import xxhash
@@ -170,3 +171,29 @@ def test_pipeline_stage_recalls_all_similar_texts(spark):
     assert len({c for _, _, c in want}) == 90
     caught = sum(10 * k + 1 not in got for k in range(90))
     assert got == sorted(int(i) for i, _, c in want if i == c), f"{caught} of 90 pairs caught"
+
+
+def grouped_rows():
+    """Large groups of near copies, texts at the edge of being alike to some of them, and shorter ones of their words."""
+    rng, rows = random.Random(77), []
+    for k in range(3):
+        w = [f"g{rng.randrange(2000)}" for _ in range(120)]
+        for c in range(40):
+            x = list(w)
+            for at in rng.sample(range(120), rng.choice([0, 1, 1, 2, 3, 4, 5, 6])):
+                x[at] = f"slot{rng.randrange(10**6)}"
+            if c % 9 == 0:
+                x = x[: rng.randrange(90, 120)]
+            rows.append((1000 * k + c, " ".join(x)))
+    return rows + [(9000, None), (9001, " "), (9002, "\n")]
+
+
+def test_parts_of_several_texts_meet_in_chunks(spark, monkeypatch):
+    rows = grouped_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows, 64, 5, 0.8)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=6, least=0.8, beyond=True).collect()) == want
+    monkeypatch.setattr(simhash, "missed_links", partial(simhash.missed_links, members=3, askers=2))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=2, least=0.8, beyond=True).collect()) == want
+    close = plain_components(rows, 9, 5, 0.8)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=9, least=0.8).collect()) == close
