@@ -600,13 +600,13 @@ def dirtied(spark: SparkSession, d: str) -> DataFrame:
     return store.dirtied(art, after).select("id", "dirty")
 
 
-@query(f"""WITH {ARTS}, o AS (SELECT p_partkey AS corpus_id, p_partkey % 3 AS idx, CASE WHEN p_partkey % 4 = 0 THEN 'done' ELSE 'pending' END AS state FROM part WHERE p_partkey <= 60), n AS (SELECT p_partkey AS corpus_id, 9 AS idx, 'pending' AS state FROM part WHERE p_partkey <= 70 AND p_partkey % 2 = 0),
+@query(f"""WITH {ARTS}, o AS (SELECT p_partkey AS corpus_id, p_partkey % 3 AS idx, CASE WHEN p_partkey % 4 = 0 THEN 'done' ELSE 'pending' END AS state FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey AS corpus_id, 9 AS idx, 'pending' AS state FROM part WHERE p_partkey % 2 = 0),
 f AS (SELECT * FROM n WHERE corpus_id NOT IN (SELECT corpus_id FROM o WHERE state = 'done') AND corpus_id NOT IN (SELECT corpus_id FROM art WHERE segment_idx IS NOT NULL AND corpus_id % 5 = 0)) SELECT * FROM o WHERE corpus_id NOT IN (SELECT corpus_id FROM f) UNION ALL SELECT * FROM f""")
 def segments_replaced(spark: SparkSession, d: str) -> DataFrame:
-    """Corpora are the parts' sizes, which end at fifty, and some that have nothing yet."""
+    """Corpora are numbered as parts, every seventh has no window yet, and every other one is cut anew."""
     k = F.col("p_partkey")
-    old = table(spark, d, "part").where("p_partkey <= 60").select(k.alias("corpus_id"), (k % 3).alias("idx"), F.when(k % 4 == 0, "done").otherwise("pending").alias("state"))
-    new = table(spark, d, "part").where("p_partkey <= 70 and p_partkey % 2 = 0").select(k.alias("corpus_id"), F.lit(9).cast("long").alias("idx"), F.lit("pending").alias("state"))
+    old = table(spark, d, "part").where("p_partkey % 7 <> 0").select(k.alias("corpus_id"), (k % 3).alias("idx"), F.when(k % 4 == 0, "done").otherwise("pending").alias("state"))
+    new = table(spark, d, "part").where("p_partkey % 2 = 0").select(k.alias("corpus_id"), F.lit(9).cast("long").alias("idx"), F.lit("pending").alias("state"))
     return store.segments_replaced(old, new, _arts(spark, d).where("corpus_id % 5 = 0"))
 
 
