@@ -5,50 +5,65 @@ Times are epoch seconds. A null scope is a scope of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.text import decayed
+from loamwork.operators import metrics
+from loamwork.operators.graph import connected_components
+from loamwork.operators.joins import asof_backward
+from loamwork.operators.retrieval import cosine_scan
+from loamwork.storage import materialise
 
 DIGITS = 6
 CANDIDATES = 20
 
 
-def sessions(events: DataFrame, idle: int, by: str = "scope", days: int = 7) -> DataFrame:
-    """Numbers each scope's sittings from 0: a pause of more than ``idle`` seconds starts a new one. Needs at and id.
+def _runs(events: DataFrame, by: list[str], starts: Callable[[Column], Column], held: list[str], days: int) -> DataFrame:
+    """Adds ``__run``: how many runs have begun in its group up to an event. ``starts``: whether one begins, from the event and the one before it (at, id, ``held``; null for none).
 
-    A scope is walked in stretches of ``days``, so one that holds a great share of all events is many tasks'
-    work; a stretch knows where the one before it ended, and how many sittings began before.
+    A group is walked in stretches of ``days``, so one that holds a great share of all events is many tasks'
+    work; a stretch knows the event before its first, and how many runs began earlier.
     """
-    width = days * 86400
-    dealt = events.withColumn("__b", F.floor(F.col("at") / width))
-    own, order = Window.partitionBy(by, "__b").orderBy("at", "id"), Window.partitionBy("__by").orderBy("__eb")
-    ends = dealt.groupBy(F.col(by).alias("__by"), F.col("__b").alias("__eb")).agg(F.max("at").alias("__last"))
+    dealt = events.withColumn("__b", F.floor(F.col("at") / (days * 86400)))
+    own, order = Window.partitionBy(*by, "__b").orderBy("at", "id"), Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__eb")
+    row = F.struct("at", "id", *held)
+    keys = [*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__eb")]
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) & (F.col("__b") == F.col("__eb"))
+    gone = [*[f"__{c}" for c in by], "__eb"]
+    ends = dealt.groupBy(*keys).agg(F.max_by(row, F.struct("at", "id")).alias("__last"))
     ends = ends.withColumn("__before", F.lag("__last").over(order)).drop("__last")
-    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__b") == F.col("__eb"))
-    met = dealt.join(ends, same).drop("__by", "__eb")
-    pause = F.col("at") - F.coalesce(F.lag("at").over(own), F.col("__before")) > idle
-    marked = met.withColumn("__new", F.when(pause, 1).otherwise(0)).withColumn("__run", F.sum("__new").over(own)).drop("__before")
-    begun = marked.groupBy(F.col(by).alias("__by"), F.col("__b").alias("__eb")).agg(F.sum("__new").alias("__n"))
+    met = dealt.join(ends, same).drop(*gone).withColumn("__prev", F.coalesce(F.lag(row).over(own), F.col("__before")))
+    marked = met.withColumn("__new", F.when(starts(F.col("__prev")), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(own)).drop("__before", "__prev")
+    begun = marked.groupBy(*keys).agg(F.sum("__new").alias("__n"))
     earlier = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begun = begun.withColumn("__earlier", earlier).drop("__n")
-    return marked.join(begun, same).withColumn("session", F.col("__run") + F.col("__earlier")).select(*events.columns, "session")
+    return marked.join(begun, same).withColumn("__run", F.col("__run") + F.col("__earlier")).select(*events.columns, "__run")
+
+
+def sessions(events: DataFrame, idle: int, by: str = "scope", days: int = 7) -> DataFrame:
+    """Numbers each scope's sittings from 0: a pause of more than ``idle`` seconds starts a new one. Needs at and id."""
+    return _runs(events, [by], lambda before: F.col("at") - before["at"] > idle, [], days).withColumnRenamed("__run", "session")
 
 
-def coalesce_queries(events: DataFrame, gap: int = 15) -> DataFrame:
+def coalesce_queries(events: DataFrame, gap: int = 15, days: int = 7) -> DataFrame:
     """The events that are left when keystrokes fold: a query that extends its predecessor, or is a prefix of it, within ``gap`` seconds of it.
 
     Needs id, door, scope, at, query, pool. In batch form, runs of such neighbours fold to the longest
     query, the latest of equals; an event that would replace a filled pool by an empty one starts a run.
     """
-    w = Window.partitionBy("door", "scope").orderBy("at", "id")
-    before, pool = F.lag("query").over(w), F.lag("pool").over(w)
-    related = F.startswith(F.col("query"), before) | F.startswith(before, F.col("query"))
-    empties = (F.col("pool") == 0) & (pool > 0)
-    joins = F.coalesce((F.lit(gap) > 0) & (F.col("at") - F.lag("at").over(w) <= gap) & related & ~empties, F.lit(False))
-    runs = events.withColumn("__new", F.when(joins, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+
+    def starts(before: Column) -> Column:
+        related = F.startswith(F.col("query"), before["query"]) | F.startswith(before["query"], F.col("query"))
+        empties = (F.col("pool") == 0) & (before["pool"] > 0)
+        return ~F.coalesce((F.lit(gap) > 0) & (F.col("at") - before["at"] <= gap) & related & ~empties, F.lit(False))
+
+    runs = _runs(events, ["door", "scope"], starts, ["query", "pool"], days)
     last = Window.partitionBy("door", "scope", "__run").orderBy(F.desc(F.char_length("query")), F.desc("at"), F.desc("id"))
-    return runs.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__new", "__run", "__n")
+    return runs.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__run", "__n")
 
 
 def shown_pairs(candidates: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -75,6 +90,28 @@ def hebbian_links(candidates: DataFrame, links: DataFrame | None = None, at: int
     return both.select("a_id", "b_id", F.round(weight, DIGITS).alias("weight"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
+def link_cues(candidates: DataFrame, events: DataFrame, most: int = 3) -> DataFrame:
+    """(a_id, b_id, queries, cues): how many different queries showed a pair, and the ``most`` that did so most often, the first in the alphabet of equals. events: (event_id, query)."""
+    cued = shown_pairs(candidates).join(events.select("event_id", "query"), "event_id").groupBy("a_id", "b_id", "query").agg(F.count(F.lit(1)).alias("n"))
+    return _top_cues(cued, most)
+
+
+def _top_cues(cued: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("a_id", "b_id").orderBy(F.desc("n"), "query"))
+    first = F.when(F.col("place") <= most, F.struct("place", "query", "n"))
+    cues = F.transform(F.array_sort(F.collect_list(first)), lambda x: F.struct(x["query"].alias("query"), x["n"].alias("n")))
+    return cued.withColumn("place", place).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("queries"), cues.alias("cues"))
+
+
+def carried_cues(cues: DataFrame, moved: DataFrame, most: int = 3) -> DataFrame:
+    """Cues (a_id, b_id, cues) after artifacts moved (old_id, new_id): of links that fall together, each cue with its larger count, the ``most`` first."""
+    a, b = moved.select(F.col("old_id").alias("a_id"), F.col("new_id").alias("na")), moved.select(F.col("old_id").alias("b_id"), F.col("new_id").alias("nb"))
+    each = cues.select("a_id", "b_id", F.inline("cues")).join(a, "a_id", "left").join(b, "b_id", "left")
+    x, y = F.coalesce("na", "a_id"), F.coalesce("nb", "b_id")
+    ends = each.select(F.least(x, y).alias("a_id"), F.greatest(x, y).alias("b_id"), "query", "n").where("a_id <> b_id")
+    return _top_cues(ends.groupBy("a_id", "b_id", "query").agg(F.max("n").alias("n")), most).select("a_id", "b_id", "cues")
+
+
 def verdict_bumps(verdicts: DataFrame, candidates: DataFrame, link: float = 2.0, activation: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """Of judged events (event_id, expected, at): links (a_id, b_id, gain) to the others shown if it was shown itself, and activation (id, at, gain) always."""
     shown = candidates.select("event_id", "id")
@@ -163,6 +200,36 @@ def decide(min_sources: int = 2, min_engagement: float = 3.0) -> Column:
     )
 
 
+def pursuit_sweep(searches: DataFrame, asks: DataFrame, interactions: DataFrame, now: int, idle: int, after: int = 0, lookback: int = 86400) -> DataFrame:
+    """One row a need of the log since ``after``, ``lookback`` at most, with its features and decision; none while events still come in.
+
+    searches: (event_id, scope, at, query, vector, answered, confirmed); asks: (event_id, scope, at, query, vector, abstained), ids apart from
+    those of searches; interactions: (id, artifact_id, scope, kind, at, seconds, similarity, shown). Events whose vectors hang together at
+    the calibrated threshold are one topic, and a topic's sittings, apart by more than ``idle``, are needs. An interaction belongs to the last event of its scope up to ``idle`` seconds before.
+    """
+    since = max(after, now - lookback)
+    no = F.lit(False)
+    shape = ["event_id", "scope", "at", "query", "vector", "is_ask", "answered", "abstained", "confirmed"]
+    one = searches.withColumn("is_ask", no).withColumn("abstained", no).select(*shape)
+    two = asks.withColumn("is_ask", F.lit(True)).withColumn("answered", no).withColumn("confirmed", F.lit(None).cast(searches.schema["confirmed"].dataType)).select(*shape)
+    recent = (F.col("at") > since) & (F.col("at") <= now)
+    newest = one.select("at").unionByName(two.select("at")).unionByName(interactions.select("at")).where(recent).agg(F.max("at").alias("__newest"))
+    quiet = F.broadcast(newest.where(F.col("__newest").isNull() | (now - F.col("__newest") >= idle)))
+    events = materialise(one.unionByName(two).where(recent & (F.size("vector") > 0)).join(quiet).drop("__newest"), "pursuit-events")
+    vectors = events.select(F.col("event_id").alias("id"), "vector")
+    line = metrics.link_threshold(vectors)
+    near = cosine_scan(vectors, vectors.withColumnRenamed("id", "q_id"), None, 0.55, skip_self=True).where("q_id < id").join(F.broadcast(line)).where("score >= threshold")
+    topics = connected_components(near.select(F.col("q_id").alias("u"), F.col("id").alias("v")))
+    placed = events.join(topics, F.col("event_id") == F.col("node"), "left").withColumn("topic", F.coalesce("component", "event_id")).drop("node", "component")
+    needs = sessions(placed.withColumnRenamed("event_id", "id"), idle, "topic").withColumnRenamed("id", "event_id")
+    needs = needs.withColumn("need", F.concat_ws(":", F.col("topic").cast("string"), F.col("session").cast("string")))
+    owners = asof_backward(interactions.where(recent).select("id", "at", "scope"), events.select(F.col("event_id").alias("id"), "at", "scope"), "scope", idle)
+    owned = interactions.drop("at", "scope").join(owners.select("id", "at", F.col("right_id").alias("event_id")).where("event_id is not null"), "id").join(needs.select("event_id", "need"), "event_id")
+    features = need_features(owned.select("need", "event_id", "id", "artifact_id", "kind", "at", "seconds", "similarity", "shown"), needs.select("need", "event_id", "at", "is_ask", "answered", "abstained", "confirmed"))
+    opened = needs.groupBy("need").agg(F.min("at").alias("opened_at"), F.max("at").alias("last_at"))
+    return features.withColumn("decision", decide()).join(opened, "need")
+
+
 def sittings(events: DataFrame, keep: int = 20) -> DataFrame:
     """(scope, session, id, place): the ``keep`` things a sitting touched last, the newest first; a thing touched twice counts at its last time."""
     last = events.groupBy("scope", "session", "artifact_id").agg(F.max(F.struct("at", "id")).alias("t"))

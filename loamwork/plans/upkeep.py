@@ -232,6 +232,46 @@ def read_replies(spark: SparkSession, d: str) -> DataFrame:
     return guards.proposals(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), reply.alias("reply")))
 
 
+CUES = f"""{HEBB}, sh AS (SELECT a.e, a.id AS a_id, b.id AS b_id FROM sets a JOIN sets b ON a.e = b.e AND a.id < b.id), cu AS (SELECT a_id, b_id, o_orderpriority AS q, count(*) AS n FROM sh JOIN orders ON o_orderkey = e GROUP BY 1, 2, 3),
+pl AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, q) AS p FROM cu)"""
+
+
+def _cues(spark: SparkSession, d: str) -> DataFrame:
+    shown = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("rank"))
+    return logs.link_cues(shown, table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("query")))
+
+
+@query(f"""WITH {CUES} SELECT a_id, b_id, count(*) AS queries, string_agg(q || '=' || n, ',' ORDER BY p) FILTER (WHERE p <= 3) AS cues FROM pl GROUP BY a_id, b_id""")
+def link_cues(spark: SparkSession, d: str) -> DataFrame:
+    written = F.array_join(F.transform("cues", lambda x: F.concat(x["query"], F.lit("="), x["n"].cast("string"))), ",")
+    return _cues(spark, d).select("a_id", "b_id", "queries", written.alias("cues"))
+
+
+@query(f"""WITH {CUES}, m AS (SELECT CASE WHEN a_id % 10 = 7 THEN a_id - 7 ELSE a_id END AS x, CASE WHEN b_id % 10 = 7 THEN b_id - 7 ELSE b_id END AS y, q, n FROM pl WHERE p <= 3), f AS (SELECT least(x, y) AS a_id, greatest(x, y) AS b_id, q, max(n) AS n FROM m WHERE x <> y GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, q) AS p FROM f) SELECT a_id, b_id, string_agg(q || '=' || n, ',' ORDER BY p) AS cues FROM r WHERE p <= 3 GROUP BY a_id, b_id""")
+def carried_cues(spark: SparkSession, d: str) -> DataFrame:
+    moved = table(spark, d, "part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") - 7).alias("new_id"))
+    written = F.array_join(F.transform("cues", lambda x: F.concat(x["query"], F.lit("="), x["n"].cast("string"))), ",")
+    return logs.carried_cues(_cues(spark, d), moved).select("a_id", "b_id", written.alias("cues"))
+
+
+@query()
+def pursuit_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The log's last day: views are searches and errors asks, each with the vector that its artifact's number picks; clicks open, purchases pivot."""
+    from loamwork.plans.catalogue import _events
+
+    n = _corpus(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    ev = _events(spark, d).join(F.broadcast(n)).withColumn("vec", F.col("artifact_id") % F.col("n")).drop("n")
+    own = ev.join(_corpus(spark, d).select(F.col("id").alias("vec"), "vector"), "vec").withColumnRenamed("id", "event_id").withColumn("query", F.col("props"))
+    no = F.lit(False)
+    searches = own.where("kind = 'view'").withColumn("answered", no).withColumn("confirmed", F.when(F.col("value") > 90, F.col("artifact_id")))
+    asks = own.where("kind = 'error'").withColumn("abstained", F.col("value") < 10)
+    kind = F.when(F.col("kind") == "click", "opened").otherwise("pivoted")
+    acts = ev.where("kind in ('click', 'purchase')").select("id", "artifact_id", "scope", kind.alias("kind"), "at", F.lit(0.0).alias("seconds"), (F.col("value") / 100).alias("similarity"), F.lit(True).alias("shown"))
+    last = NOW - 86400
+    return logs.pursuit_sweep(searches, asks, acts, last, 0, lookback=86400)
+
+
 # Lists, jobs and logs ---------------------------------------------------------------------------------------------
 
 

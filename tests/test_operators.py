@@ -318,3 +318,27 @@ def test_lines_end_at_line_feeds_alone():
     assert segments.lines_of("a\n\nb\r") == ["a", "", "b\r"] and segments.lines_of("") == []
     (whole,) = segments.split_segments("a\x0cb\nc\u2028d")
     assert (whole.start, whole.end) == (1, 2)
+
+
+def test_runs_go_on_over_stretches(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice(["ui", "api"]), rng.choice([None, 1]), rng.randrange(40) * 43_200 + rng.randrange(20), rng.choice(["a", "ab", "abc", "b"]), rng.randrange(2)) for k in range(200)]
+    ev = spark.createDataFrame(rows, "id long, door string, scope long, at long, query string, pool long").repartition(3)
+    for gap in (10, 50_000):
+        one, two = (sorted(r.id for r in logs.coalesce_queries(ev, gap, days).collect()) for days in (1, 10_000))
+        assert one == two and len(one) < 200
+        one, two = (sorted((r.id, r.session) for r in logs.sessions(ev, gap, "scope", days).collect()) for days in (1, 10_000))
+        assert one == two
+
+
+def test_pursuits(spark):
+    shape = "event_id long, scope long, at long, query string, vector array<double>"
+    vectors = [[1.0, 0.0], [0.99, 0.1], [0.0, 1.0], [1.0, 0.01]]
+    searches = spark.createDataFrame([(k, 1, at, "q", v, False, c) for k, (at, v, c) in enumerate([(100, vectors[0], None), (160, vectors[1], 7), (170, vectors[2], None), (900, vectors[3], None), (5, vectors[0], None)])], shape + ", answered boolean, confirmed long")
+    asks = spark.createDataFrame([(50, 2, 130, "a", vectors[2], True), (51, 2, 130, "a", [], True)], shape + ", abstained boolean")
+    acts = spark.createDataFrame([(1, 7, 1, "opened", 165, 0.0, 0.9, True), (2, 8, 1, "opened", 171, 0.0, 0.9, True), (3, 9, 2, "opened", 2000, 0.0, 0.9, True)], "id long, artifact_id long, scope long, kind string, at long, seconds double, similarity double, shown boolean")
+    got = {r.need: r for r in logs.pursuit_sweep(searches, asks, acts, 2100, 100, after=50).collect()}
+    assert {k: (r.n_searches, r.engaged, r.opened_at, r.last_at) for k, r in got.items()} == {"0:0": (2, 1, 100, 160), "0:1": (1, 0, 900, 900), "2:0": (2, 1, 130, 170)}
+    assert got["0:0"].decision == "promote" and got["0:1"].decision == "unsatisfied" and got["2:0"].abstained
+    assert logs.pursuit_sweep(searches, asks, acts, 2050, 100, after=50).collect() == []  # something came in 50 seconds ago
+    assert logs.pursuit_sweep(searches, asks, acts, 9000, 100, after=8000).collect() == []
