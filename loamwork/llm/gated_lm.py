@@ -111,14 +111,16 @@ def _wide(w: np.ndarray, b: np.ndarray) -> bool:
     return float((np.abs(w).sum(axis=-2) + np.abs(b)).max()) > 60
 
 
-def _picked(logits: np.ndarray, at: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of one place a row, and the sums of the exponentials that overwrite ``logits``."""
+def _picked(logits: np.ndarray, at: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of one place a row, the sums of the exponentials that overwrite ``logits``, and the places along all rows."""
     if wide:
         logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(at)), at]
+    places = np.arange(0, logits.size, logits.shape[1])
+    places += at
+    picked = logits.ravel().take(places)
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], logits.dtype)
-    return picked - np.log(sums), sums
+    return picked - np.log(sums), sums, places
 
 
 class Room:
@@ -160,9 +162,9 @@ def _slopes(states: np.ndarray, w: np.ndarray, b: np.ndarray, wide: bool, at: np
     """Writes one softmax's slopes at its logits into ``logits``; returns its loss."""
     np.matmul(states, w, out=logits)
     logits += b
-    logs, sums = _picked(logits, at, wide)
+    logs, sums, places = _picked(logits, at, wide)
     logits *= (1 / (total * sums))[:, None]
-    logits[np.arange(len(at)), at] -= 1 / total
+    logits.ravel()[places] -= 1 / total
     return -float(logs.sum())
 
 
@@ -526,19 +528,36 @@ def word_counts(docs: DataFrame, text_col: str = "text", held: int = 400_000) ->
     return counted.repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+#: Steps of a doubling in which counts are tallied.
+STEPS = 12
+
+
+def _level(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * STEPS)
+
+
+def tallied(counts: DataFrame) -> list:
+    """Rows (level, ending, short, words, n) over all words: a few thousand at most, whatever the table's size."""
+    short = F.octet_length("word") <= HEAD_BYTES
+    by = [_level(F.col("n")).alias("level"), _ending(F.col("word")).alias("ending"), short.alias("short")]
+    return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+
+
+def frequent_words(counts: DataFrame, tally: list, most: int) -> tuple[list[bytes], np.ndarray]:
     """Up to ``most`` words by falling count, and their counts.
 
     Counts are tallied in steps of a twelfth of a doubling, and the words of the largest whole steps that fit are
     collected, so the driver gets no more than it keeps. If these are fewer than the network's words, the first of all come instead.
     """
     counts = counts.where(F.octet_length("word") <= HEAD_BYTES)
-    level = F.floor(F.log2(F.col("n").cast("double")) * 12)
-    tally = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
-    upto = np.cumsum([r["count"] for r in tally])
+    words: Counter = Counter()
+    for r in tally:
+        words[r.level] += r.words * r.short
+    levels = sorted(words, reverse=True)
+    upto = np.cumsum([words[k] for k in levels])
     fit = int((upto <= most).sum())
-    some = counts.where(level >= tally[fit - 1].level) if fit else counts.limit(0)
-    if fit < len(tally) and (not fit or upto[fit - 1] < TOP):
+    some = counts.where(_level(F.col("n")) >= levels[fit - 1]) if fit else counts.limit(0)
+    if fit < len(levels) and (not fit or upto[fit - 1] < TOP):
         some = counts.orderBy(F.desc("n"), "word").limit(min(most, TOP))
     rows = sorted(((-r.n, r.word.encode()) for r in some.collect()))
     return [w for _, w in rows], np.array([-n for n, _ in rows], np.int64)
@@ -654,8 +673,9 @@ def lm_scores(
     source = docs.select(F.col(id_col).alias("id"), held_out(id_col, 10, 0).alias("held_out"), F.col(text_col).alias("text"))
     training = source.where(~F.col("held_out")).select("text")
     counts = materialise(word_counts(training, "text"), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    words, own = frequent_words(counts, head_words)
+    tally = tallied(counts)
+    total, distinct = sum(r.n for r in tally), sum(r.words for r in tally)
+    words, own = frequent_words(counts, tally, head_words)
     if END.encode() not in words:
         words, own = [END.encode(), *words], np.r_[counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], own].astype(np.int64)
     elif words.index(END.encode()) >= TOP:
@@ -664,8 +684,8 @@ def lm_scores(
         words = [words[k], *words[:k], *words[k + 1 :]]
         own = np.r_[own[k], np.delete(own, k)]
     rest = np.zeros(ENDINGS)
-    for r in counts.groupBy(_ending(F.col("word")).alias("c")).agg(F.sum(F.col("n") + SMOOTH).alias("s")).collect():
-        rest[r.c] = r.s
+    for r in tally:
+        rest[r.ending] += r.n + SMOOTH * r.words
     for w, n in zip(words[:TOP], own[:TOP].tolist(), strict=True):
         rest[ending(w)] -= n + SMOOTH if n else 0
     head = Head(words, own, int(total), int(distinct), np.maximum(rest, 0))

@@ -183,13 +183,13 @@ def test_words_and_endings_of_arrow_arrays():
 def test_frequent_words_are_whole_levels_of_counts(spark):
     counts = {f"w{k}": 1 + 10_000 // (k + 1) for k in range(500)} | {"x" * 41: 10**9}
     frame = spark.createDataFrame(list(counts.items()), "word string, n long")
-    words, own = lm.frequent_words(frame, 100)
+    words, own = lm.frequent_words(frame, lm.tallied(frame), 100)
     fit = {w: n for w, n in counts.items() if len(w) <= lm.HEAD_BYTES}
     order = sorted(fit, key=lambda w: (-fit[w], w))
     assert words == [w.encode() for w in order[: len(words)]] and own.tolist() == [fit[w] for w in order[: len(words)]]
     assert 80 <= len(words) <= 100
     same = spark.createDataFrame([(f"w{k}", 1) for k in range(300)], "word string, n long")
-    assert len(lm.frequent_words(same, 100)[0]) == 100 and len(lm.frequent_words(same, 300)[0]) == 300
+    assert len(lm.frequent_words(same, lm.tallied(same), 100)[0]) == 100 and len(lm.frequent_words(same, lm.tallied(same), 300)[0]) == 300
 
 
 def test_a_very_long_text_takes_no_rectangle():
