@@ -194,27 +194,68 @@ def postings(docs: DataFrame, text: str = "text", only: frozenset[str] | None =
     return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, term string, tf long")
 
 
-#: Up to so many terms of a query set go to the tasks that read the documents.
-TERMS = 200_000
+#: Up to so many terms of a query set go to the tasks that read the documents, and up to so many weights of terms by queries.
+TERMS, WEIGHTS = 200_000, 8_000_000
+
+
+def _scored(shared, k: int):
+    """Input: (id, terms, tfs) of documents; output: a task's own best ``k`` of each query by weights of terms by queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, places, weights = shared.value
+        best = _Best(len(q_ids), k)
+        size = max(1, 2_000_000 // max(1, len(q_ids)))
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                scores = np.zeros((some.num_rows, len(q_ids)))
+                for row, (terms, tfs) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)):
+                    if terms:
+                        tf = np.array(tfs, np.float64)
+                        scores[row] = (tf * 2.2 / (tf + 1.2)) @ weights[[places[t] for t in terms]]
+                # weights are above zero, so a score is if a term is shared
+                best.add(0, np.where(scores > 0, np.round(scores, DIGITS), -np.inf).T, ids[at : at + size])
+        i, found, scores = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(found.astype(np.int64)), pa.array(scores)], ["q_id", "id", "score"])
+
+    return run
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(q_id, id, rank, score) by summed idf * saturated tf, without length norm.
 
     docs: (id, text); queries: (q_id, text). A query's terms count once. Documents are read once, for the queries'
-    terms alone, and what is found is written, as both document frequencies and scores need it.
+    terms alone, and what is found is written, as both document frequencies and scores need it. Where ids are numbers and terms by queries
+    are few enough, their weights go to the tasks as one matrix, and each task sends its own best on; beyond that, terms are joined.
     """
     terms = postings(queries.withColumnRenamed("q_id", "id")).select(F.col("id").alias("q_id"), "term")
     asked = terms.select("term").distinct()
     some = [r.term for r in asked.limit(TERMS + 1).collect()]
     found = postings(docs, only=frozenset(some)) if len(some) <= TERMS else postings(docs).join(asked, "term", "left_semi")
+    n_queries = queries.count()
+    numbered = {docs.schema["id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()} <= {"int", "bigint"}
+    in_matrix = numbered and len(some) <= TERMS and len(some) * n_queries <= WEIGHTS
+    if in_matrix:
+        # a document's rows come out together, from one task
+        found = found.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
     found = materialise(found, "bm25-postings")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = found.select(F.explode("terms").alias("term")) if in_matrix else found
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row beside every term: a scalar, not a product
     idf = df.join(F.broadcast(n)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     weighted = terms.join(idf, "term")
-    scored = found.join(weighted, "term").groupBy("q_id", "id").agg(F.round(F.sum(F.col("idf") * saturated(F.col("tf"))), DIGITS).alias("score"))
+    if in_matrix:
+        rows = weighted.collect()
+        q_ids, places = sorted({r.q_id for r in rows}), {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        column, weights = {q: i for i, q in enumerate(q_ids)}, np.zeros((len(places), len(q_ids)))
+        for r in rows:
+            weights[places[r.term], column[r.q_id]] = r.idf
+        shared = docs.sparkSession.sparkContext.broadcast((np.array(q_ids, np.int64), places, weights))
+        scored = found.where("id is not null").mapInArrow(_scored(shared, k), "q_id long, id long, score double")
+    else:
+        scored = found.join(weighted, "term").groupBy("q_id", "id").agg(F.round(F.sum(F.col("idf") * saturated(F.col("tf"))), DIGITS).alias("score"))
     return ranked(scored, F.desc("score"), F.asc("id"), limit=k).select("q_id", "id", "rank", "score")
 
 

@@ -65,6 +65,8 @@ def test_many_query_terms_go_by_a_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i} w{i % 7} common") for i in range(60)], "id long, text string")
     queries = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(9)], "q_id long, text string")
     one = sorted(map(tuple, retrieval.bm25_topk(docs, queries, 4).collect()))
+    monkeypatch.setattr(retrieval, "WEIGHTS", 3)
+    assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 4).collect())) == one
     monkeypatch.setattr(retrieval, "TERMS", 3)
     assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 4).collect())) == one and one
 
