@@ -16,9 +16,10 @@ from loamwork.llm.pii import KINDS, detect_pii
 from loamwork.llm.piece_bpe import piece_round_trip
 from loamwork.llm.shard import shard_documents
 from loamwork.llm.simhash import simhash_dedup
+from loamwork.llm.token_counts import token_counts
 from loamwork.llm.word_crf import fit_and_identify
 
-PIECE_MODEL = "piece_bpe_32k.model"
+PIECE_MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def piece_model() -> str:
@@ -28,6 +29,13 @@ def piece_model() -> str:
     return str(public_tokenizers.path(PIECE_MODEL))
 
 
+def byte_model() -> str:
+    """Path of the public byte-level vocabulary, likewise."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(BYTE_MODEL))
+
+
 def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -73,6 +81,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, byte_model(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii]
+    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii, op13_token_counts]
     return {f.__name__: f for f in every}
