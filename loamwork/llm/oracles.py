@@ -69,6 +69,26 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS con
 FROM m JOIN q USING (item_id) WHERE n_found::DOUBLE / n_shingles >= 0.8
 """
 
+OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike AND anchor_id <> id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_jump_shards": OP5, "op7_line_dedup": OP7, "op8_benchmark_leaks": OP8}
+    return {"op2_exact_dedup": OP2, "op5_jump_shards": OP5, "op7_line_dedup": OP7, "op8_benchmark_leaks": OP8, "op12_hard_negatives": OP12}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamwork.llm.common import table
 from loamwork.llm.decontaminate import contained_items
 from loamwork.llm.exact_dedup import exact_dedup
 from loamwork.llm.gated_lm import lm_scores
+from loamwork.llm.hard_negatives import mine_hard_negatives
 from loamwork.llm.line_dedup import line_dedup
 from loamwork.llm.main_text import extract_main_text
 from loamwork.llm.pii import KINDS, detect_pii
@@ -81,11 +83,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(moved, F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, byte_model(), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii, op13_token_counts]
+    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii, op12_hard_negatives, op13_token_counts]
     return {f.__name__: f for f in every}
