@@ -69,6 +69,51 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS con
 FROM m JOIN q USING (item_id) WHERE n_found::DOUBLE / n_shingles >= 0.8
 """
 
+# Levels of a document's own tree count from 0, those of the tree of subroots from 1000.
+OP11 = """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), c AS (
+  SELECT *, xor(list_reduce(list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ('0x' || substr(hex(doc_id::VARCHAR), 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents, t
+), d AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         n_chars, CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_found, coalesce(strlen(text) || ':' || text, '-') AS z
+  FROM c
+), h AS (
+  SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf, sha256(a || coalesce(strlen(n_found::VARCHAR) || ':' || n_found, '-') || z) AS found
+  FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM h
+), tree(lang, lvl, idx, n, h) AS (
+  SELECT lang, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lang, lvl, idx // 2, n
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper(lvl, idx, n, h) AS (
+  SELECT 1000, idx, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY lvl, idx // 2, n
+), steps AS (
+  SELECT l.lang, l.idx, v.lvl, (l.idx >> v.lvl) & 1 AS odd, x.h
+  FROM leaves l JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) v ON l.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN tree x ON x.lang IS NOT DISTINCT FROM l.lang AND x.lvl = v.lvl AND x.idx = xor(l.idx >> v.lvl, 1)
+  UNION ALL
+  SELECT l.lang, l.idx, v.lvl, (s.idx >> (v.lvl - 1000)) & 1, x.h
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT DISTINCT lvl FROM upper WHERE n > 1) v ON true
+  LEFT JOIN upper x ON x.lvl = v.lvl AND x.idx = xor(s.idx >> (v.lvl - 1000), 1)
+), paths AS (
+  SELECT lang, idx, list(CASE WHEN h IS NULL THEN '-' WHEN odd = 1 THEN 'l' || h ELSE 'r' || h END ORDER BY lvl) AS p FROM steps GROUP BY lang, idx
+), o AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, coalesce(p.p, []) AS p, l.found
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.idx = l.idx
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(p, lambda e: e <> '-'), lambda e: e[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_prepend(found, p), lambda a, e: CASE WHEN e = '-' THEN sha256(a) WHEN e[1] = 'l' THEN sha256(e[2:] || a) ELSE sha256(a || e[2:]) END) AS folded_root FROM o)
+"""
+
 OP12 = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -91,4 +136,4 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_jump_shards": OP5, "op7_line_dedup": OP7, "op8_benchmark_leaks": OP8, "op12_hard_negatives": OP12}
+    return {"op2_exact_dedup": OP2, "op5_jump_shards": OP5, "op7_line_dedup": OP7, "op8_benchmark_leaks": OP8, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}

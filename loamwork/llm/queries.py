@@ -15,6 +15,7 @@ from loamwork.llm.hard_negatives import mine_hard_negatives
 from loamwork.llm.line_dedup import line_dedup
 from loamwork.llm.main_text import extract_main_text
 from loamwork.llm.pii import KINDS, detect_pii
+from loamwork.llm.merkle import manifest
 from loamwork.llm.piece_bpe import piece_round_trip
 from loamwork.llm.shard import shard_documents
 from loamwork.llm.simhash import simhash_dedup
@@ -83,6 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(docs).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(docs, found={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
@@ -95,5 +102,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii, op12_hard_negatives, op13_token_counts]
+    every = [op1_gated_lm, op2_exact_dedup, op3_simhash_dedup, op4_piece_round_trip, op5_jump_shards, op6_word_language, op7_line_dedup, op8_benchmark_leaks, op9_main_text, op10_pii, op11_merkle_manifest, op12_hard_negatives, op13_token_counts]
     return {f.__name__: f for f in every}
