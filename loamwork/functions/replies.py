@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 
 from loamwork.operators.segments import lines_of, missing_literals
 
@@ -96,57 +95,29 @@ def unsupported_literals(answer: str | None, excerpts: list[str]) -> list[str]:
     return [x for x in missing_literals(answer, "\n\n".join(excerpts)) if not _ITEM.match(x)]
 
 
-def _flat(line: str) -> str:
-    return " ".join(line.split()).lower()
+def _words(text: str | None, first_line: int = 1) -> tuple[list[str], list[int]]:
+    """Lower-cased words of a text, and the line that each stands in."""
+    found = [(w, first_line + n) for n, line in enumerate(lines_of(text or "")) for w in line.lower().split()]
+    return [w for w, _ in found], [n for _, n in found]
 
 
-def located_span(text: str | None, window: str | None, first_line: int = 1) -> tuple[int, int] | None:
-    """Lines of a window that hold lines of a text, as the first and last of them, whatever the window's line breaks; null if none of over eight bytes is there."""
-    wanted = [x for x in map(_flat, lines_of(text or "")) if len(x.encode()) > 8]
-    whole, starts, owners = "", [], []
-    for n, line in enumerate(map(_flat, lines_of(window or ""))):
-        if line:
-            whole += " " if whole else ""
-            starts.append(len(whole))
-            owners.append(n)
-            whole += line
-    on = lambda place: first_line + owners[bisect_right(starts, place) - 1]
-    spans = [(on(at), on(at + len(x) - 1)) for x in wanted if (at := whole.find(x)) >= 0]
-    return (min(a for a, _ in spans), max(b for _, b in spans)) if spans else None
-
-
-_BULLETS = frozenset("•‣⁃∙·▪▫■○●◦")
-_STRUCTURE = re.compile(r"#|\||```|~~~|> |[-*+] |[0-9]+\. ")
-
+def _place(asked: list[str], words: list[str]) -> int | None:
+    """The first word at which the asked words stand in a row; the first may end a longer word, and the last begin one."""
+    if len(asked) == 1:
+        return next((k for k, w in enumerate(words) if asked[0] in w), None)
+    ends = range(len(words) - len(asked) + 1)
+    return next((k for k in ends if words[k].endswith(asked[0]) and words[k + len(asked) - 1].startswith(asked[-1]) and words[k + 1 : k + len(asked) - 1] == asked[1:-1]), None)
 
-def _marker(c: str) -> bool:
-    """A bullet, or a sign of a private area, as bullets of symbol fonts come out."""
-    return c in _BULLETS or 0xE000 <= ord(c) <= 0xF8FF or 0xF0000 <= ord(c) <= 0xFFFFD or 0x100000 <= ord(c) <= 0x10FFFD
 
-
-def normal_export(text: str) -> str:
-    """A document's exported text with list items as such.
-
-    A bullet in front of a text makes an item; one on a line of its own goes to the next text, across one blank line at most, unless that has
-    a markdown mark already. Runs of blank lines become one, and none stays between two items of a list.
-    """
-    out: list[str] = []
-    waiting, blanks, in_list = False, 0, False
-    for line in lines_of(text):
-        body = line.strip()
-        bullet = body[:1] != "" and _marker(body[0]) and (len(body) == 1 or body[1].isspace())
-        said = body[1:].lstrip() if bullet else body
-        if not said:
-            waiting, blanks = (True, 0) if bullet else (waiting, blanks + 1)
-            if blanks > 1:
-                waiting = in_list = False
-            continue
-        item = bullet or (waiting and not _STRUCTURE.match(said))
-        if blanks and out and not (item and in_list):
-            out.append("")
-        out.append(line[: len(line) - len(line.lstrip())] + ("- " if item else "") + said)
-        waiting, blanks, in_list = False, 0, item
-    return "\n".join(out) + "\n"
+def located_span(text: str | None, window: str | None, first_line: int = 1) -> tuple[int, int] | None:
+    """First and last line of a window in which lines of a text stand, wherever the window breaks its own; null if none does. Lines of eight bytes or fewer aren't looked for."""
+    words, owner = _words(window, first_line)
+    spans = []
+    for line in lines_of(text or ""):
+        asked = line.lower().split()
+        if len(" ".join(asked).encode()) > 8 and (k := _place(asked, words)) is not None:
+            spans.append((owner[k], owner[k + len(asked) - 1]))
+    return (min(a for a, _ in spans), max(b for _, b in spans)) if spans else None
 
 
 _FENCE = re.compile(r" {0,3}(```|~~~)")

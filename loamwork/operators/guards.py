@@ -77,6 +77,38 @@ def paraphrased(artifacts: DataFrame, least: float = 0.5) -> DataFrame:
     return artifacts.withColumn("paraphrased", F.when(F.size(own) > 0, share < least).otherwise(False))
 
 
+#: Signs that lead an item in an export, besides those of private areas, as bullets of symbol fonts come out.
+BULLETS = "•‣⁃∙·▪▫■○●◦"
+_BULLET = rf"(?U)^\s*[{BULLETS}\p{{Co}}]"
+_MARKED = r"^(#|\||```|~~~|> |[-*+] |[0-9]+\. )"
+
+
 def normal_exports(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
-    """(id, text) of exported documents with list items and underlined headings as such."""
-    return rows_of(docs, [id_col], [text], T.StructType().add("text", "string"), lambda t: [(replies.marked_headings(replies.normal_export(t or "")),)])
+    """(id, text) of exported documents with their list items as such.
+
+    A bullet in front of a text makes an item; one on a line of its own goes to the next text, across one blank line at most, unless that
+    begins with a mark of markdown. Between two texts one blank line stays of any number since the last bullet, and none between two items that no two blank lines part.
+
+    In columns alone: lines are text (t), a lone bullet (m) or blank (b), and what lies between two texts is a run of m and b.
+    """
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    kind = lambda x: F.when(x == "", "b").when(x.rlike(_BULLET + "$"), "m").otherwise("t")
+    of = docs.select(F.col(id_col), lines.alias("lines")).withColumn("kinds", F.array_join(F.transform("lines", kind), ""))
+    said = lambda x: F.regexp_replace(x, rf"(?U)^\s*([{BULLETS}\p{{Co}}]\s+)?", "")
+    item = lambda x, gap: x.rlike(_BULLET + r"\s") | (gap.rlike("mb?t$") & ~said(x).rlike(_MARKED))
+    of = of.select(id_col, F.filter("lines", lambda x: kind(x) == "t").alias("t"), F.regexp_extract_all("kinds", F.lit("([bm]*t)"), 1).alias("gaps"))
+    of = of.withColumn("items", F.zip_with("t", "gaps", item))
+
+    def put(x, k):
+        gap, mine = F.get("gaps", k), F.get("items", k)
+        joined = mine & F.get("items", k - 1) & ~gap.contains("bb")
+        blank = (k > 0) & gap.endswith("bt") & ~joined
+        return F.concat(F.when(blank, "\n").otherwise(""), F.regexp_extract(x, r"(?U)^(\s*)", 1), F.when(mine, "- ").otherwise(""), said(x), F.lit("\n"))
+
+    whole = F.array_join(F.transform("t", put), "")
+    return of.select(id_col, F.when(F.size("t") == 0, "\n").otherwise(whole).alias("text"))
+
+
+def headed(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
+    """(id, text) with underlined headings marked in front."""
+    return rows_of(docs, [id_col], [text], T.StructType().add("text", "string"), lambda t: [(replies.marked_headings(t or ""),)])

@@ -203,24 +203,42 @@ def page_marks(spark: SparkSession, d: str) -> DataFrame:
     return page_markdown(table(spark, d, "pages"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id AS id, list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '• one' || chr(10) || chr(10) || '▪' || chr(10) || chr(10) || 'two' || chr(10) || '•' || chr(10) || '# three' ELSE '' END, chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}\x{85}\x0b]+$', '')) AS ls FROM documents),
+k AS (SELECT id, ls, list_transform(ls, lambda x: CASE WHEN x = '' THEN 'b' WHEN regexp_matches(x, '^[\s\p{Z}]*[•‣⁃∙·▪▫■○●◦\p{Co}]$') THEN 'm' ELSE 't' END) AS ks FROM l),
+p AS (SELECT id, list_filter(list_zip(ls, ks), lambda z: z[2] = 't') AS t, regexp_extract_all(array_to_string(ks, ''), '[bm]*t') AS gaps FROM k),
+i AS (SELECT id, pos, t[pos][1] AS x, gaps[pos] AS gap, regexp_replace(t[pos][1], '^[\s\p{Z}]*([•‣⁃∙·▪▫■○●◦\p{Co}][\s\p{Z}]+)?', '') AS said FROM (SELECT *, unnest(range(1, len(t) + 1)) AS pos FROM p)),
+m AS (SELECT *, regexp_matches(x, '^[\s\p{Z}]*[•‣⁃∙·▪▫■○●◦\p{Co}][\s\p{Z}]') OR (regexp_matches(gap, 'mb?t$') AND NOT regexp_matches(said, '^(#|\||```|~~~|> |[-*+] |[0-9]+\. )')) AS item FROM i),
+o AS (SELECT *, coalesce(lag(item) OVER (PARTITION BY id ORDER BY pos), false) AS prior FROM m)
+SELECT l.id, coalesce(string_agg(CASE WHEN pos > 1 AND gap LIKE '%bt' AND NOT (item AND prior AND NOT contains(gap, 'bb')) THEN chr(10) ELSE '' END || regexp_extract(x, '^[\s\p{Z}]*') || CASE WHEN item THEN '- ' ELSE '' END || said || chr(10), '' ORDER BY pos), chr(10)) AS text
+FROM l LEFT JOIN o ON l.id = o.id GROUP BY l.id""")
 def normal_exports(spark: SparkSession, d: str) -> DataFrame:
-    return guards.normal_exports(_docs(spark, d))
+    """Every other document ends in a list as exports have it."""
+    tail = F.when(F.col("id") % 2 == 0, "\n• one\n\n▪\n\ntwo\n•\n# three").otherwise("")
+    return guards.normal_exports(_docs(spark, d).withColumn("text", F.concat(F.coalesce("text", F.lit("")), tail)))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id AS id, n, line, lower(trim(regexp_replace(line, '[\s\p{Z}\x{85}]+', ' ', 'g'))) AS flat FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)),
+f AS (SELECT *, coalesce(sum(length(flat) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l WHERE flat <> ''),
+w AS (SELECT id, string_agg(flat, ' ' ORDER BY n) AS whole, max(flat) FILTER (WHERE n % 3 = 2) AS x FROM f GROUP BY id),
+at AS (SELECT id, length(x) AS k, instr(whole, x) - 1 AS p FROM w WHERE strlen(x) > 8)
+SELECT at.id, 9 + max(n) FILTER (WHERE start <= p) AS start_line, 9 + max(n) FILTER (WHERE start <= p + k - 1) AS end_line FROM at JOIN f ON f.id = at.id GROUP BY at.id""")
 def located_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Each window's own last line, looked for in the window."""
-    cut = segments.segment_documents(table(spark, d, "documents"), 384)
-    own = F.element_at(F.split("text", "\n"), -1)
-    return guards.located(cut.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("id"), own.alias("text"), F.col("text").alias("window"), F.col("start_line").alias("first_line")))
+    """The last in order of each document's every third line, looked for in the document, whose lines count from 10."""
+    docs = _docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("window"))
+    flat = F.transform(F.split("window", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " "))))
+    third = F.array_max(F.filter(flat, lambda x, k: (x != "") & (k % 3 == 1)))
+    return guards.located(docs.select("id", third.alias("text"), "window", F.lit(10).cast("long").alias("first_line")))
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, role, turn, text || ' Call `run-' || turn || '` with --level-' || (conv_id % 4) || '.' AS answer, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' --level-2 `run-3`' AS excerpt FROM conversations),
+x AS (SELECT DISTINCT id, excerpt, unnest(list_concat(regexp_extract_all(answer, '`([^`]+)`', 1), regexp_extract_all(answer, '--[a-z]+-[0-9]+'))) AS literal FROM t WHERE role = 'assistant')
+SELECT id, literal FROM x WHERE NOT contains(excerpt, literal)""")
 def unsupported_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Each assistant's turn against the turn before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.array(F.coalesce(F.lag("text").over(w), F.lit(""))).alias("excerpts"), "role")
+    """Each assistant's turn, with a command and a flag added, against the turn before it, which has one of each."""
+    w, n = Window.partitionBy("conv_id").orderBy("turn"), F.col("turn").cast("string")
+    answer = F.concat("text", F.lit(" Call `run-"), n, F.lit("` with --level-"), (F.col("conv_id") % 4).cast("string"), F.lit("."))
+    before = F.concat(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit(" --level-2 `run-3`"))
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), answer.alias("answer"), F.array(before).alias("excerpts"), "role")
     return guards.unsupported(turns.where("role = 'assistant'").drop("role"))
 
 
@@ -650,8 +668,8 @@ def segments_replaced(spark: SparkSession, d: str) -> DataFrame:
     return store.segments_replaced(old, new, _arts(spark, d).where("corpus_id % 5 = 0"))
 
 
-@query("""SELECT l_orderkey AS event_id, l_linenumber::BIGINT AS n, CASE WHEN l_returnflag = 'A' THEN 'a hole: your base doesn''t know this yet.' WHEN l_returnflag = 'R' THEN 'discarded.' WHEN l_linenumber = 7 THEN 'a find: search would never have shown you this.'
-  WHEN l_linenumber * 2 >= 10 THEN 'the ranking got this wrong — this is what we''re here for.' WHEN l_linenumber > 1 THEN 'there, but far down. These are what move the MRR.' ELSE 'found as expected.' END AS diagnosis FROM lineitem""")
+@query("""SELECT l_orderkey AS event_id, l_linenumber::BIGINT AS n, CASE l_returnflag WHEN 'A' THEN 'unknown' WHEN 'R' THEN 'dropped' ELSE
+  CASE WHEN l_linenumber = 7 THEN 'missed' WHEN l_linenumber * 2 >= 10 THEN 'misplaced' WHEN l_linenumber > 1 THEN 'low' ELSE 'top' END END AS diagnosis FROM lineitem""")
 def diagnoses(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     rank = F.when(n == 1, 0).when(n != 7, n * 2)

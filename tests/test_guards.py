@@ -12,7 +12,7 @@ WINDOW = "# Title\n\nThe quick brown\nfox jumps over\n\nthe lazy dog today\nand
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("the quick brown fox jumps", (10, 11)), ("FOX JUMPS OVER the lazy", (11, 13)), ("short", None), ("not in there at all", None), ("and runs `make all`\nthe quick brown", (10, 14)), ("", None), (None, None),
+        ("the quick brown fox jumps", (10, 11)), ("FOX JUMPS OVER the lazy", (11, 13)), ("short", None), ("not in there at all", None), ("and runs `make all`\nthe quick brown", (10, 14)), ("the quick brownx", None), ("he quick brown fox jum", (10, 11)), ("runs `make", (14, 14)), ("", None), (None, None),
     ],
 )
 def test_spans_are_found_across_line_breaks(text, want):
@@ -40,9 +40,14 @@ def test_replies():
     assert [replies.artifacts_of(x) for x in (None, "", "{}", '{"artifacts": 3}')] == [[]] * 4
 
 
-def test_exports():
-    text = " one\n\n• two\n\n\nprose\n•\n\nthree\n•\n## Head\n  ▪ in\nword\n"
-    assert replies.normal_export(text) == "- one\n- two\n\nprose\n\n- three\n## Head\n  - in\nword\n"
+def test_exports(spark):
+    text = "\uf0b7 one\n\n• two\n\n\nprose\n•\n\nthree\n•\n## Head\n  ▪ in\nword\n"
+    more = [text, "", None, "•", "a\r\n\r\n\r\nb", "•\n\n\nfar", "▪ x\n\n\n▪ y\n\n• z", "•\n- own\n\uf0b7\n\n\uf0b7\nlast", "·word stays\n\n·\n > quote\n\n\U000f0001\tq  "]
+    want = ["- one\n- two\n\nprose\n\n- three\n## Head\n  - in\nword\n", "\n", "\n", "\n", "a\n\nb\n", "far\n", "- x\n\n- y\n- z\n", "- own\n- last\n", "·word stays\n > quote\n\n- q\n"]
+    docs = spark.createDataFrame([*enumerate(more)], "id int, text string")
+    assert [r.text for r in sorted(guards.normal_exports(docs).collect())] == want
+    long = "\n" * 30_000 + "•\n" * 30_000 + "x"
+    assert guards.normal_exports(spark.createDataFrame([(1, long)], "id int, text string")).first().text == "- x\n"
     text = "Top\n===\nx\n\n---\n```\nA\n---\n~~~\n```\nSub\n--\n- a\n-\n"
     assert replies.marked_headings(text) == "# Top\nx\n\n---\n```\nA\n---\n~~~\n```\n## Sub\n- a\n-"
 
