@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import byte_words, materialise, tidied
+from loamwork.llm.common import buckets, byte_words, materialise, tidied
 from loamwork.operators.graph import connected_components
 
 SEED = 42
@@ -321,78 +321,131 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(parts), place, *same)], ["token", "place", *batch.schema.names[2:]])
 
 
-def _merged_rows(token: np.ndarray, place: np.ndarray, part: np.ndarray, fp: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """One row for each token and part, of tokens that several parts have: token, smallest and largest set, place (-1 for several rows), part, fingerprint."""
+def _merged_rows(token: np.ndarray, place: np.ndarray, part: np.ndarray, fp: np.ndarray | None = None) -> list[np.ndarray]:
+    """One row for each token and part, of tokens that several parts have: token, smallest and largest set, place (-1 for several rows), part, fingerprint; by token and smallest set."""
     order = np.lexsort((place, part, token))
     token, place, part = token[order], place[order], part[order]
-    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+    new = lambda *cols: np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)][: len(token)])
+    first = new(token, part)
+    if not len(first):
+        return [np.zeros(0, np.int64)] * 6
     rows = np.diff(first, append=len(token))
     n = place >> 32
     low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
     pos = np.where(rows == 1, place[first] & 0xFFFFFFFF, -1)
     token, part = token[first], part[first]
     fp = np.zeros(len(first), np.int64) if fp is None else fp[order][first]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    shared = np.repeat(np.diff(starts, append=len(token)) > 1, np.diff(starts, append=len(token)))
+    starts = new(token)
+    met = np.diff(starts, append=len(token))
+    shared = np.repeat(met > 1, met)
     out = [x[shared] for x in (token, low, high, pos, part, fp)]
     order = np.lexsort((out[1], out[0]))
-    return tuple(x[order] for x in out)
+    return [x[order] for x in out]
 
 
-def _shared(least: float, radius: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Input: rows of ``_tokens`` by token; output: pairs of parts that may hold sets that are ``least`` alike, once a shared shingle, with how many they need."""
+#: A token that more parts than this have is compared in blocks of so many, each pair of blocks by itself wherever there is room.
+HOT = 2048
+_PAIRS = "u long, v long, need long, left binary, right binary"
 
-    def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        # what the larger set has behind its prefix can't hold more of the overlap than its size
-        overlap = np.ceil(least / (1 + least) * (a + b) - 1e-6)
-        return np.maximum(1, overlap - np.ceil(least * np.maximum(a, b) - 1e-9) + 1)
 
-    def pairs(token, place, part, fp=None) -> Iterator[pa.RecordBatch]:
-        token, low, high, pos, part, fp = _merged_rows(token, place, part, fp)
-        at, step = np.arange(len(token) - 1), 1
+class _Shared:
+    """Pairs of parts that share a token and may hold sets that are ``least`` alike, with how many shared tokens they need.
+
+    radius: of two sets that are parts of their own, only those whose fingerprints are that close.
+    """
+
+    names = ["u", "v", "need", "left", "right"]
+
+    def __init__(self, least: float, radius: int | None):
+        self.least, self.radius = least, radius
+
+    def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # what the larger set has behind its prefix can't hold more of the overlap than its size
+        overlap = np.ceil(self.least / (1 + self.least) * (a + b) - 1e-6)
+        return np.maximum(1, overlap - np.ceil(self.least * np.maximum(a, b) - 1e-9) + 1)
+
+    def checked(self, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch | None:
+        """Of rows side by side (low, high, pos, part, fp), the pairs that may do."""
+        (low, high, pos, part, fp), (low2, high2, pos2, part2, fp2) = one, two
+        alone = (pos >= 0) & (pos2 >= 0)
+        # shared shingles in front of this one, this one, and those behind it
+        most = np.minimum(pos, pos2) + np.minimum(low - pos, low2 - pos2)
+        good = ~alone | (most >= np.ceil(self.least / (1 + self.least) * (low + low2) - 1e-6))
+        if self.radius is not None:
+            good &= ~alone | (np.bitwise_count((fp ^ fp2).view(np.uint64)) <= self.radius)
+        good &= (part != part2) & (high >= self.least * low2 - 1e-6) & (high2 >= self.least * low - 1e-6)
+        if not good.any():
+            return None
+        low, high, pos, part, low2, high2, pos2, part2 = (x[good] for x in (low, high, pos, part, low2, high2, pos2, part2))
+        # of a part of several sizes, the smallest and the largest that can do need the fewest
+        a = np.where(pos >= 0, low, low2)
+        least_b, most_b = np.where(pos >= 0, low2, low), np.where(pos >= 0, high2, high)
+        some = np.minimum(self.needed(a, np.maximum(least_b, np.floor(self.least * a))), self.needed(a, np.minimum(most_b, np.ceil(a / self.least))))
+        need = np.where((pos >= 0) | (pos2 >= 0), some, 1)
+        cols = [pa.array(np.minimum(part, part2)), pa.array(np.maximum(part, part2)), pa.array(need.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(need), pa.binary())] * 2], self.names)
+
+    def blocks(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs of blocks of one token's rows, to be compared later; blocks whose sizes are too far apart are left out."""
+        cut = [[x[k : k + HOT] for x in rows] for k in range(0, len(rows[0]), HOT)]
+        blobs = [b"".join(x.tobytes() for x in block) for block in cut]
+        # smallest sets rise from block to block
+        tops = [int(block[1].max()) for block in cut]
+        for i in range(len(cut)):
+            for j in range(i, len(cut)):
+                if tops[i] >= self.least * int(cut[j][0][0]) - 1e-6:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([blobs[i]], pa.binary()), pa.array([blobs[j]], pa.binary())], self.names)
+
+    def pairs(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, *rows = _merged_rows(*cols)
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+        met = np.diff(starts, append=len(token))
+        for at, n in zip(starts[met > HOT], met[met > HOT], strict=True):
+            yield from self.blocks([x[at : at + n] for x in rows])
+        usual = np.repeat(met <= HOT, met)
+        token, rows = token[usual], [x[usual] for x in rows]
+        at, step = np.arange(len(token)), 1
         while True:
             at = at[at < len(token) - step]
-            to = at + step
-            # smallest sizes rise within a token, so what is too small for one partner is so for all later ones
-            at = at[(token[at] == token[to]) & (high[at] >= least * low[to] - 1e-6)]
+            # smallest sets rise within a token, so what is too small for one partner is so for all later ones
+            at = at[(token[at] == token[at + step]) & (rows[1][at] >= self.least * rows[0][at + step] - 1e-6)]
             if not len(at):
                 return
-            to = at + step
-            alone = (pos[at] >= 0) & (pos[to] >= 0)
-            # shared shingles in front of this one, this one, and those behind it
-            most = np.minimum(pos[at], pos[to]) + np.minimum(low[at] - pos[at], low[to] - pos[to])
-            good = ~alone | (most >= np.ceil(least / (1 + least) * (low[at] + low[to]) - 1e-6))
-            if radius is not None:
-                good &= ~alone | (np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius)
-            if good.any():
-                i, j = at[good], to[good]
-                one_i, one_j = pos[i] >= 0, pos[j] >= 0
-                # of a part of several sizes, the smallest and the largest that can do need the fewest
-                a = np.where(one_i, low[i], low[j])
-                least_b, most_b = np.where(one_i, low[j], low[i]), np.where(one_i, high[j], high[i])
-                some = np.minimum(needed(a, np.maximum(least_b, np.floor(least * a))), needed(a, np.minimum(most_b, np.ceil(a / least))))
-                need = np.where(one_i | one_j, some, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part[i], part[j])), pa.array(np.maximum(part[i], part[j])), pa.array(need.astype(np.int64))], ["u", "v", "need"])
+            if (found := self.checked([x[at] for x in rows], [x[at + step] for x in rows])) is not None:
+                yield found
             step += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_token(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Input: rows of ``_tokens`` by token."""
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy() for c in batch.columns]
-            if held and held[-1][0][-1] == cols[0][-1]:
+            other = np.flatnonzero(cols[0] != cols[0][-1])
+            # the last token may go on in the next batch
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and held[-1][0][-1] == cols[0][-1] or not cut and not held:
                 held.append(cols)
                 continue
-            # the last token may go on in the next batch
-            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
             held.append([c[:cut] for c in cols])
-            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+            yield from self.pairs(*map(np.concatenate, zip(*held, strict=True)))
             held = [[c[cut:] for c in cols]]
         if held:
-            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+            yield from self.pairs(*map(np.concatenate, zip(*held, strict=True)))
 
-    return run
+    def by_block(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Input: pairs of blocks (left, right)."""
+        for batch in batches:
+            for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = (np.frombuffer(b, np.int64).reshape(5, -1) for b in (left, right))
+                for k in range(0, one.shape[1], 64):
+                    part = one[:, k : k + 64]
+                    i, j = np.meshgrid(np.arange(part.shape[1]), np.arange(two.shape[1]), indexing="ij")
+                    once = (i + k < j).ravel() if left == right else np.ones(i.size, bool)
+                    i, j = i.ravel()[once], j.ravel()[once]
+                    if (found := self.checked([x[i] for x in part], [x[j] for x in two])) is not None:
+                        yield found.select(["u", "v", "need"])
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -411,7 +464,10 @@ def met_parts(nodes: DataFrame, least: float, radius: int | None) -> DataFrame:
     """
     names = ["part"] + ["fp"] * (radius is not None)
     tokens = nodes.select("n", "prefix", *names).mapInArrow(tidied(_tokens), ", ".join(f"{c} long" for c in ["token", "place", *names]))
-    shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(_shared(least, radius)), "u long, v long, need long")
+    pairs = _Shared(least, radius)
+    found = materialise(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(tidied(pairs.by_token), _PAIRS), "simhash-shared")
+    late = found.where("left is not null").select("left", "right").repartition(buckets(found.where("left is not null"), 8))
+    shared = found.where("left is null").select("u", "v", "need").unionByName(late.mapInArrow(tidied(pairs.by_block), "u long, v long, need long"))
     counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need"))
     return counted.where("k >= need").select("u", "v")
 

@@ -2,6 +2,7 @@ import random
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from loamwork.llm import simhash
@@ -197,3 +198,37 @@ def test_parts_of_several_texts_meet_in_chunks(spark, monkeypatch):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=2, least=0.8, beyond=True).collect()) == want
     close = plain_components(rows, 9, 5, 0.8)
     assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=9, least=0.8).collect()) == close
+
+
+def test_hot_shingles_are_compared_in_blocks(spark, monkeypatch):
+    rows = grouped_rows() + alike_pairs()[:40]
+    rows = [(i, (t or "") + " and all of these end in one passage of some words") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_components(rows, 64, 5, 0.8)
+    monkeypatch.setattr(simhash, "HOT", 3)
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs, size: np.zeros(0, np.uint64))
+    monkeypatch.setattr(simhash, "linked_fingerprints", lambda prints, radius, tile: prints.sparkSession.createDataFrame([], "u long, v long"))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=6, least=0.8, beyond=True).collect()) == want
+
+
+def test_a_token_that_all_parts_have_takes_bounded_rows():
+    n = 20_000
+    shared = simhash._Shared(0.8, None)
+    token, part = np.zeros(n, np.int64), np.arange(n)
+    place = (np.linspace(10, 100_000, n).astype(np.int64) << 32) + 9  # sizes far apart, late in the prefix
+    cols = [pa.array(c) for c in (token, place, part)]
+    batches = [pa.RecordBatch.from_arrays([c.slice(k, 3000) for c in cols], ["token", "place", "part"]) for k in range(0, n, 3000)]
+    made = [*shared.by_token(iter(batches))]
+    blocks = -(-n // simhash.HOT)
+    assert len(made) <= blocks * (blocks + 1) // 2 and all(b.num_rows == 1 for b in made)
+    pairs = sum(b.num_rows for b in shared.by_block(pa.RecordBatch.from_arrays([b.column(3), b.column(4)], ["left", "right"]) for b in made[:3]))
+    assert pairs > 0
+
+
+def test_tables_of_one_word_sequence(spark):
+    same = [(k, " ".join(["one two three four five six"]) + " " * k) for k in range(12_000)]
+    for rows in ([(5, "lone text of a few words here")], same[:3], [(k, None if k % 2 else "") for k in range(4)], same, []):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.component_id) for r in simhash_dedup(docs, size=5, radius=10, least=0.8, beyond=True).collect()}
+        first = min((i for i, _ in rows), default=None)
+        assert got == {(i, first) for i, _ in rows}
