@@ -38,6 +38,8 @@ STOP_WORDS = frozenset(
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select datalist".split())
+#: Of these, what a page never closes holds the rest of it; any other is then an element like others.
+_SWALLOW = frozenset("script style textarea title".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption head button legend optgroup option".split()
 )
@@ -51,7 +53,7 @@ _AWAY_NAMES = frozenset(
     """ad ads adv advert advertisement advertising adsense adslot adbox adunit sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert warning
     nav navbar navigation menu menus submenu topbar toolbar breadcrumb breadcrumbs pager pagination sidebar sidebars aside rail widget widgets footer foot colophon masthead
     comment comments commentlist disqus respond responses reply replies discussion share sharing social related recommended recommendations newsletter subscribe subscription signup
-    login popup modal overlay copyright skip paywall form search""".split()
+    login popup modal overlay copyright skip paywall form search user users reader readers guest guests visitor visitors""".split()
 )
 _HEAD_NAMES = frozenset("header head masthead topbar".split())
 _CONTENT_NAMES = frozenset("article content entry post story main maincontent articlebody postbody".split())
@@ -67,7 +69,7 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+")
 
 @dataclass
 class Block:
-    """links: characters within links. zone: 'away', 'content' or ''. named: in an element with a name of what is no article. part: which content container it is in."""
+    """links: characters within links. zone: 'away', 'content' or ''. named: in an element with a name of what is no article. part: which content container it is in, tagged: one by tag or role."""
 
     text: str
     links: int
@@ -75,6 +77,7 @@ class Block:
     named: bool
     part: int
     heading: bool
+    tagged: bool = False
     label: str = ""
     open_as: str = ""
 
@@ -85,6 +88,7 @@ class _Open:
     away: bool = False
     named: bool = False
     content: bool = False
+    tagged: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -113,15 +117,16 @@ def _opened(name: str, raw: str, in_content: bool) -> _Open:
     # of several names, one that is wholly of content outweighs others; within one name it doesn't, as in "comment-content"
     content = tagged or (name in ("div", "section", "td") and any(t & _CONTENT_NAMES and not t & _AWAY_NAMES for t in told))
     named = not content and any(t & _AWAY_NAMES or (not in_content and name != "head" and t & _HEAD_NAMES) for t in told)
-    return _Open(name, away, named, content and not away)
+    return _Open(name, away, named, content and not away, tagged and not away)
 
 
-_SHUT = {name: re.compile(rf"</{name}\s*+>", re.I) for name in _RAW}
+# whatever stands behind the name, as browsers take it
+_SHUT = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in _RAW}
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """(text in front, tag name, whether it closes, attributes) along the page; the last one has no name. Raw elements come without what they hold."""
-    at, quoted = 0, True
+    at, quoted, unshut = 0, True, set()
     while m := _OPENING.search(page, at):
         text, start = page[at : m.start()], m.start()
         if m[0] == "<!--":
@@ -146,10 +151,13 @@ def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
         tag, raw, closing = name[0].lower(), page[name.end() : end - 1], page[start + 1] == "/"
         yield text, tag, closing, raw
         if tag in _RAW and not closing and not raw.rstrip().endswith("/"):
-            shut = _SHUT[tag].search(page, at)
-            if not shut:
+            shut = None if tag in unshut else _SHUT[tag].search(page, at)
+            if shut:
+                at = shut.end()
+            elif tag in _SWALLOW:
                 return
-            at = shut.end()
+            else:
+                unshut.add(tag)
     yield page[at:], "", False, ""
 
 
@@ -157,18 +165,19 @@ def blocks(page: str | None) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
     held: list[str] = []
-    linked = away = named = content = parts = in_link = 0
+    linked = away = named = content = tagged = parts = in_link = 0
     heading = False
     open_: list[_Open] = []
     names: Counter = Counter()
 
     def pop() -> None:
-        nonlocal away, named, content
+        nonlocal away, named, content, tagged
         gone = open_.pop()
         names[gone.name] -= 1
         away -= gone.away
         named -= gone.named
         content -= gone.content
+        tagged -= gone.tagged
 
     def cut() -> None:
         nonlocal held, linked
@@ -176,7 +185,7 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(held).split())
             if text:
                 zone = "away" if away else "content" if content else ""
-                out.append(Block(text, linked, zone, named > 0, parts if content else 0, heading))
+                out.append(Block(text, linked, zone, named > 0, parts if content else 0, heading, tagged > 0))
         held, linked = [], 0
 
     for text, name, closing, raw in _tags(page or ""):
@@ -223,6 +232,7 @@ def blocks(page: str | None) -> list[Block]:
                 away += new.away
                 named += new.named
                 content += new.content
+                tagged += new.tagged
     cut()
     return out
 
@@ -241,7 +251,8 @@ def _first_pass(found: list[Block], by_name: bool) -> bool:
     left = [b for b in found if b.zone != "away" and not (by_name and b.named)]
     inside = sum(len(b.text) for b in left if b.zone == "content")
     outside = sum(len(b.text) for b in left if not b.zone and _reads_like_prose(b)) if inside else 0
-    contained = inside > 0 and outside <= 2 * inside
+    # a tag says what its element is; a mere name must also hold most of the prose
+    contained = inside > 0 and outside <= (2 if any(b.tagged for b in left) else 1) * inside
     for b in found:
         n = len(b.text)
         share = b.links / n

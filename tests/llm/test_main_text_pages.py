@@ -93,3 +93,47 @@ def test_long_odd_pages_take_little_time(unit):
 def test_quotes_that_never_close():
     assert main_text(f'<article><p title="a > b">{PROSE}</p><p class="x>{PROSE}</article>') == "\n".join([PROSE.strip()] * 2)
     assert main_text(f"<article><p>{PROSE}</p><p x=") == PROSE.strip()
+
+
+def test_raw_elements_close_as_in_browsers():
+    inner = "".join(f"<p>{k} {PROSE}</p>" for k in range(5))
+    want = "\n".join(f"{k} {PROSE.strip()}" for k in range(5))
+    for page in (f"<body><script>var x = '<p>no';</script x><article>{inner}</article>", f"<body><style>p</style/><article>{inner}</article>", f"<body><article>{inner}</article><script>never closed <p>{PROSE}</p>"):
+        assert main_text(page) == want
+    for tag in ("svg", "object", "canvas", "select", "video", "noscript", "math"):
+        first, rest = inner.split("</p>", 1)
+        assert main_text(f"<body><article>{first}</p><{tag} width=1>{rest}</article>") == want, tag
+        assert main_text(f"<body><article>{first}</p><{tag}>{PROSE}</{tag} >{rest}</article>") == want, tag
+    began = time.time()
+    blocks("<svg><object>" * 100_000)
+    assert time.time() - began < 8
+
+
+def test_a_readers_post_is_not_the_article():
+    own = "".join(f"<p>{k} {PROSE}</p>" for k in range(3))
+    reader = f"<p>I {PROSE}</p><p>You {PROSE}</p>"
+    want = "\n".join(f"{k} {PROSE.strip()}" for k in range(3))
+    assert main_text(f'<body><div>{own}</div><div class="user-post">{reader}</div></body>') == want
+    assert main_text(f'<body><div class="main-post">{own}</div><div><p>{PROSE}</p></div></body>') == want
+    # a name of content on the smaller part takes nothing from the rest
+    assert main_text(f'<body><div>{own}</div><div class="post">{reader}</div></body>').startswith(want)
+
+
+def bare_page(seed):
+    """(html, article blocks) of a page without container or telling name: only density and links tell the article."""
+    r = random.Random(seed)
+    article = [" ".join(sentence(r, r.randint(12, 20)) for _ in range(r.randint(4, 7))) for _ in range(r.randint(3, 6))]
+    body = [f"<p>{html.escape(x)}</p>" for x in article]
+    if r.random() < 0.5:
+        article.insert(2, sentence(r, 5))
+        body.insert(2, f"<p>{article[2]}</p>")
+    bar = lambda n: "<ul>" + links(r, n) + "</ul>"
+    top = "".join(f"<div>{bar(r.randint(3, 7))}</div>" for _ in range(r.randint(1, 2)))
+    bottom = f"<div>{bar(r.randint(3, 6))}</div><p>© 2020 Town Press</p><table><tr><td><a href=/x>{sentence(r, 9)}</a></td></tr></table>"
+    return f"<html><body>{top}<div><div>{''.join(body)}</div></div>{bottom}</body></html>", article
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_pages_without_containers_give_their_article(seed):
+    page, article = bare_page(seed)
+    assert main_text(page).split("\n") == article
