@@ -140,16 +140,6 @@ def embedded(art: DataFrame, done: DataFrame) -> DataFrame:
     return joined.withColumn("embed_state", F.when(F.col("__rev") == F.col("embed_rev"), "done").otherwise(F.col("embed_state"))).drop("__rev")
 
 
-def window_context(segments: DataFrame, head: int = 3, tail: int = 3) -> DataFrame:
-    """(doc_id, idx, opening, before, after): the document's first lines, the end of the window before and the start of the one after."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    first = F.first("text").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lines = lambda c: F.split(c, "\n")
-    top = lambda c, n: F.array_join(F.slice(lines(c), 1, n), "\n")
-    end = lambda c, n: F.array_join(F.slice(lines(c), F.greatest(F.size(lines(c)) - n + 1, F.lit(1)), n), "\n")
-    return segments.select("doc_id", "idx", F.when(F.col("idx") > 0, top(first, head)).alias("opening"), end(F.lag("text").over(w), tail).alias("before"), top(F.lead("text").over(w), head).alias("after"))
-
-
 def to_resynthesise(art: DataFrame, shown: DataFrame, least: int) -> DataFrame:
     """Artifacts shown ``least`` times or more and never confirmed. shown: (id, n_shown, n_confirmed)."""
     return art.join(shown.where((F.col("n_shown") >= least) & (F.coalesce("n_confirmed", F.lit(0)) == 0)), "id", "left_semi")

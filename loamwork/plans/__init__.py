@@ -1,4 +1,5 @@
 """Queries over the standard tables; importing a module of this folder registers all of them."""
 
 from loamwork.plans import catalogue as catalogue
+from loamwork.plans import derivation as derivation
 from loamwork.plans import upkeep as upkeep

@@ -723,10 +723,3 @@ def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of query texts by a stand-in for a model: lengths of the text and of its first word."""
     embed = lambda t: F.array(F.char_length(t).cast("double"), F.char_length(F.get(F.split(t, " "), F.lit(0))).cast("double"))
     return search.query_vectors(_items(spark, d), embed)
-
-
-@query()
-def window_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return reads.window_context(segments.segment_documents(table(spark, d, "documents"), 384))
-
-
