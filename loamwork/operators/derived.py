@@ -110,13 +110,13 @@ def spliced(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """(list_id, ordinal, id, part, origin, text): ordered lists in which some rows gave way to their parts.
 
     rows: (list_id, ordinal, id, text); parts: (id, part, text), what a row was cut into; a row without parts stays as it is, and one whose only part has a null text goes.
-    Ordinals are gapless from 0 in the rows' order, then that of parts. ``origin`` is the row that a part was cut from, null for a row that stayed.
+    Ordinals are gapless from 0 in the rows' order, then that of parts, then by their text. ``origin`` is the row that a part was cut from, null for a row that stayed.
     """
     cut = parts.select("id", F.col("part").cast("long").alias("part"), F.col("text").alias("__text"), F.lit(True).alias("__cut"))
     met = rows.join(cut, "id", "left").where("__cut is null or __text is not null")
     text = F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text"))
     flat = met.select("list_id", "id", F.col("ordinal").alias("__at"), "part", F.when(F.col("__cut"), F.col("id")).alias("origin"), text.alias("text"))
-    return numbered(flat, ["list_id"], ["__at", "id", "part"], "ordinal").select("list_id", "ordinal", "id", "part", "origin", "text")
+    return numbered(flat, ["list_id"], ["__at", "id", "part", "text"], "ordinal").select("list_id", "ordinal", "id", "part", "origin", "text")
 
 
 def embed_routes(art: DataFrame, limit: int, batch: int = 32) -> DataFrame:

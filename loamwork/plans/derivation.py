@@ -59,7 +59,7 @@ def lineage_trees(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, k AS part, CASE WHEN l_linenumber % 3 = 0 THEN 'part ' || k END AS text FROM lineitem, (SELECT unnest(range(3)) AS k) WHERE l_linenumber % 3 = 0 OR (l_quantity < 10 AND k = 0)),
 m AS (SELECT l_orderkey AS list_id, l_linenumber AS at, r.id, p.part, CASE WHEN p.id IS NOT NULL THEN r.id END AS origin, CASE WHEN p.id IS NULL THEN l_returnflag ELSE p.text END AS text
   FROM (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM lineitem) r LEFT JOIN p ON p.id = r.id WHERE p.id IS NULL OR p.text IS NOT NULL)
-SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY at, id, part) - 1 AS ordinal, id, part, origin, text FROM m""")
+SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY at, id, part, text) - 1 AS ordinal, id, part, origin, text FROM m""")
 def spliced_lists(spark: SparkSession, d: str) -> DataFrame:
     """Orders are lists of lines; every third line was cut into three parts, and others of small quantities went."""
     line = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
