@@ -78,6 +78,17 @@ def term_number(term: Column) -> Column:
     return F.conv(pairs, 16, 10).cast("long")
 
 
+def sparse_vector(text: Column) -> Column:
+    """Array of (term, weight) of a text, terms as numbers and in their order. Equal terms are runs of the sorted list, so a long text is no square of work."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        firsts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
+        return let(firsts, lambda f: F.transform(f, lambda i, k: F.struct(term_number(F.get(s, i - 1)).alias("term"), saturated(F.coalesce(F.get(f, k + 1), n + 1) - i).cast("double").alias("weight"))))
+
+    return F.array_sort(let(F.array_sort(lexical_tokens(F.coalesce(text, F.lit("")))), runs))
+
+
 def shingle_hashes(text: Column, size: int = 5) -> Column:
     """MD5 of each run of ``size`` lower-cased words, all words if there are fewer; none without words."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")

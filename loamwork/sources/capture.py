@@ -144,10 +144,3 @@ def export_evaluation(art: DataFrame, pairs: DataFrame, questions: DataFrame, fo
 
 def load_evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.schema(s).json(f"{folder}/{n}.json") for n, s in (("artifacts", ARTIFACTS), ("pairs", PAIRS), ("questions", QUESTIONS)))
-
-
-def write_generation(df: DataFrame, folder: str, version: int) -> str:
-    """Writes a new generation of a table beside the old ones."""
-    path = f"{folder}/v{version}"
-    df.write.parquet(path)
-    return path
