@@ -15,7 +15,7 @@ from loamwork.functions.text import decayed
 from loamwork.operators import metrics
 from loamwork.operators.graph import connected_components
 from loamwork.operators.joins import asof_backward
-from loamwork.operators.retrieval import cosine_scan
+from loamwork.operators.retrieval import cosine_links
 from loamwork.storage import materialise
 
 DIGITS = 6
@@ -217,9 +217,9 @@ def pursuit_sweep(searches: DataFrame, asks: DataFrame, interactions: DataFrame,
     quiet = F.broadcast(newest.where(F.col("__newest").isNull() | (now - F.col("__newest") >= idle)))
     events = materialise(one.unionByName(two).where(recent & (F.size("vector") > 0)).join(quiet).drop("__newest"), "pursuit-events")
     vectors = events.select(F.col("event_id").alias("id"), "vector")
-    line = metrics.link_threshold(vectors)
-    near = cosine_scan(vectors, vectors.withColumnRenamed("id", "q_id"), None, 0.55, skip_self=True).where("q_id < id").join(F.broadcast(line)).where("score >= threshold")
-    topics = connected_components(near.select(F.col("q_id").alias("u"), F.col("id").alias("v")))
+    # one number
+    line = metrics.link_threshold(vectors).first().threshold
+    topics = connected_components(cosine_links(vectors, line))
     placed = events.join(topics, F.col("event_id") == F.col("node"), "left").withColumn("topic", F.coalesce("component", "event_id")).drop("node", "component")
     needs = sessions(placed.withColumnRenamed("event_id", "id"), idle, "topic").withColumnRenamed("id", "event_id")
     needs = needs.withColumn("need", F.concat_ws(":", F.col("topic").cast("string"), F.col("session").cast("string")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.operators.retrieval import cosine_scan
+from loamwork.operators.retrieval import cosine_counts
+from loamwork.storage import materialise
 
 DIGITS = 6
 
@@ -77,11 +78,11 @@ def offer_rates(interactions: DataFrame) -> DataFrame:
 
 
 def link_threshold(vectors: DataFrame, percentile: float = 0.99, low: float = 0.55, high: float = 0.90, least: int = 30) -> DataFrame:
-    """One row (threshold): the nearest-rank percentile of all pair cosines of a bounded sample, rounded up to a hundredth and clamped.
+    """One row (threshold): the nearest-rank percentile of all pair cosines, rounded up to a hundredth and clamped.
 
-    vectors: (id, vector), the sample that calibrates (hundreds of rows). Under ``least`` rows the low bound stands.
+    vectors: (id, vector), a sample or all of a table: pairs are counted by their score, never listed. Under ``least`` rows the low bound stands.
     """
-    scores = cosine_scan(vectors, vectors.select(F.col("id").alias("q_id"), "vector"), None).where("q_id < id").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    scores = materialise(cosine_counts(vectors), "score-counts")
     running = F.sum("n").over(Window.orderBy("score"))
     total = scores.agg(F.sum("n").alias("total"))
     at = F.floor((F.col("total") - 1) * percentile + 0.5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators.graph import connected_components
 from loamwork.operators.metrics import terms_label
-from loamwork.operators.retrieval import cosine_scan, ranked
+from loamwork.operators.retrieval import cosine_links, cosine_scan, ranked
 
 
 def page_after(rows: DataFrame, at: object, last_id: object, size: int) -> DataFrame:
@@ -79,10 +79,9 @@ def open_component(pairs: DataFrame, seed: DataFrame) -> DataFrame:
 def gap_clusters(gaps: DataFrame, threshold: float, smallest: int = 2) -> DataFrame:
     """(key, label, n, members): gaps (id, text, vector) linked at a cosine; groups under ``smallest`` are left out.
 
-    Single linkage over an open-gap list, which is bounded per kind; its links come from blocked matrix products.
+    Single linkage by all pairs of tiles, of which only what hangs together goes on.
     """
-    near = cosine_scan(gaps.select("id", "vector"), gaps.select(F.col("id").alias("q_id"), "vector"), None, threshold).where("q_id < id")
-    of = connected_components(near.select(F.col("q_id").alias("u"), F.col("id").alias("v")))
+    of = connected_components(cosine_links(gaps.select("id", "vector"), threshold))
     members = of.join(gaps.select(F.col("id").alias("node"), "text"), "node")
     labels = terms_label(members.select("component", "text"), "component")
     grouped = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.text import CONNECTORS, lexical_tokens, saturated
+from loamwork.operators.tiles import BLOCK_BYTES, TILE_BYTES, meet, pack, rows_of
 from loamwork.storage import materialise
 
 DIGITS = 6
@@ -27,20 +28,6 @@ def ranked(hits: DataFrame, *order: Column, by: str = "q_id", limit: int | None
     return out.where(F.col("rank") < limit) if limit else out
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors in blocks of ``size`` bytes."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in queries.select("q_id", "vector").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) * len(r[1]) * 8 >= size:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -99,47 +86,135 @@ class _Best:
         return self.held[0]
 
 
-def cosine_scan(corpus: DataFrame, queries: DataFrame, k: int | None, floor: float | None = None, skip_self: bool = False, block: int = 32_000_000, tile: int = 2048) -> DataFrame:
+_TILE = "dim int, n int, bytes long, ids binary, rows binary, centre binary, spread double"
+
+
+def cosine_tiles(rows: DataFrame, tile: int = 2048) -> DataFrame:
+    """Tiles of (id, vector) as unit rows, one length of vectors each, with the cone they lie in: its centre, and the widest angle to it. A null vector has length 0."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        vectors = batch.column(1)
+        sizes = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy()), 0)
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            step = max(1, min(tile, TILE_BYTES // (8 * max(1, int(dim)))))
+            for k in range(0, len(at), step):
+                own = at[k : k + step]
+                m = _unit(_matrix(vectors.take(pa.array(own)), int(dim))) if dim else np.zeros((len(own), 0))
+                centre = _unit(m.sum(axis=0, keepdims=True))
+                # rows without length fit no cone
+                spread = float(np.arccos(np.clip((m @ centre[0]).min(), -1, 1))) if dim and m.any(axis=1).all() else np.pi
+                yield {"dim": int(dim), "n": len(own), "bytes": m.nbytes + 8 * len(own), "ids": ids[own].tobytes(), "rows": m.tobytes(), "centre": centre.tobytes(), "spread": spread}
+
+    return pack(rows.select("id", "vector"), cut, _TILE)
+
+
+def _met(batches: Iterator[pa.RecordBatch], floor: float | None = None) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """Along joined tiles: the row's numbers, asked ids, held ids and rounded cosines. With a floor, tiles whose cones are too far apart are passed over."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(c)[k] for c, name in enumerate(batch.schema.names)}
+            at = {name: row[name].as_py() for name in ("cell", "a_tile", "c_tile", "a_n", "c_n", "a_dim", "c_dim")}
+            alike = at["a_dim"] == at["c_dim"] > 0
+            if floor is not None and floor > 0:
+                if not alike:
+                    continue
+                between = float(np.arccos(np.clip(rows_of(row["a_centre"], at["a_dim"])[0] @ rows_of(row["c_centre"], at["a_dim"])[0], -1, 1)))
+                if between - row["a_spread"].as_py() - row["c_spread"].as_py() > np.arccos(np.clip(floor, -1, 1)) + 1e-3:
+                    continue
+            one, two = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("a_ids", "c_ids"))
+            scores = np.round(rows_of(row["a_rows"], at["a_dim"]) @ rows_of(row["c_rows"], at["c_dim"]).T, DIGITS) + 0.0 if alike else np.zeros((len(one), len(two)))
+            yield at, one, two, scores
+
+
+def cosine_scan(corpus: DataFrame, queries: DataFrame, k: int | None, floor: float | None = None, skip_self: bool = False, block: int = BLOCK_BYTES, tile: int = 2048) -> DataFrame:
     """(q_id, id, score) of the corpus rows nearest each query, by exact cosine.
 
-    corpus: (id, vector); queries: (q_id, vector). Queries are stated rows, taken in blocks of ``block`` bytes; each
-    block is one scan of the corpus, in matrix products of ``tile`` by ``tile`` rows. A task keeps its own best ``k`` along
-    its whole share, so what it sends on does not grow with that; an id that repeats counts with its best row. Without ``k`` each pair goes
-    on. ``floor`` keeps what reaches it. Vectors without length or of another size score 0.
+    corpus: (id, vector); queries: (q_id, vector). Both are packed into tiles, and tiles meet in a grid: query tiles of up to ``block`` bytes are
+    broadcast, more are dealt to cells, and the driver sees no row. A task keeps the best ``k`` of the queries of its cell along all its tiles, so what it
+    sends on does not grow with the corpus; an id that repeats counts with its best row. Without ``k`` each pair goes on.
+    ``floor`` keeps what reaches it. Vectors without length or of another size score 0; queries without a vector find nothing.
     """
-    spark, out = corpus.sparkSession, None
-    for ids, rows in _blocks(queries.where(F.col("vector").isNotNull()), block):
-        shared = spark.sparkContext.broadcast((ids, _unit(rows)))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            best = _Best(len(q), k) if k else None
-            names = ["q_id", "id", "score"]
-            for batch in batches:
-                every = batch.column(0).to_numpy(zero_copy_only=False)
-                for at in range(0, batch.num_rows, tile):
-                    own, m = every[at : at + tile], _unit(_matrix(batch.column(1).slice(at, tile), q.shape[1]))
-                    for first in range(0, len(q), tile):
-                        asked = q_ids[first : first + tile]
-                        scores = np.round(q[first : first + tile] @ m.T, DIGITS) + 0.0
-                        if floor is not None:
-                            scores[scores < floor] = -np.inf
-                        if skip_self:
-                            scores[asked[:, None] == own[None, :]] = -np.inf
-                        if best:
-                            best.add(first, scores, own)
-                            continue
-                        i, j = np.nonzero(scores > -np.inf)
-                        yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(own[j]), pa.array(scores[i, j])], names)
-            if best:
+    asked = materialise(cosine_tiles(queries.where(F.col("vector").isNotNull()).select(F.col("q_id").alias("id"), "vector"), tile), "asked-tiles")
+    names = ["q_id", "id", "score"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, _Best]] = {}
+        cell = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for ids, best in held.values():
                 i, found, scores = best.cut()
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(found.astype(np.int64)), pa.array(scores)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i].astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(scores)], names)
+            held.clear()
+
+        for at, one, two, scores in _met(batches, floor):
+            if at["cell"] != cell:
+                yield from flush()
+                cell = at["cell"]
+            if floor is not None:
+                scores[scores < floor] = -np.inf
+            if skip_self:
+                scores[one[:, None] == two[None, :]] = -np.inf
+            if k:
+                if at["a_tile"] not in held:
+                    held[at["a_tile"]] = one.copy(), _Best(len(one), k)
+                held[at["a_tile"]][1].add(0, scores, two)
+                continue
+            i, j = np.nonzero(scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(one[i]), pa.array(two[j]), pa.array(scores[i, j])], names)
+        yield from flush()
 
-        part = corpus.select("id", "vector").mapInArrow(scan, "q_id long, id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "q_id long, id long, score double")
-    return out
+    met = meet(asked, cosine_tiles(corpus, tile), block, lambda t: materialise(t, "held-tiles"))
+    return met.mapInArrow(scan, "q_id long, id long, score double")
+
+
+def _among(vectors: DataFrame, block: int, tile: int) -> DataFrame:
+    """Every pair of a table's tiles once."""
+    tiles = materialise(cosine_tiles(vectors.where(F.col("vector").isNotNull()), tile), "own-tiles")
+    return meet(tiles, tiles, block).where("a_tile <= c_tile")
+
+
+def cosine_links(vectors: DataFrame, floor: float, block: int = BLOCK_BYTES, tile: int = 2048) -> DataFrame:
+    """(u, v): links that join just what cosines of ``floor`` or more join among all rows (id, vector). A pair of tiles gives a star for each group that hangs together in it, so a dense group costs as many rows as it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, one, two, scores in _met(batches, floor):
+            near = scores >= floor
+            low = int(min(one.min(), two.min()))
+            # the smallest id that each row reaches, handed on until nothing changes
+            left, right, far = one.copy(), two.copy(), np.iinfo(np.int64).max
+            linked, met = near.any(axis=1), near.any(axis=0)
+            while low < far:
+                left_new = np.minimum(left, np.where(near, right[None, :], far).min(axis=1))
+                right_new = np.minimum(right, np.where(near, left_new[:, None], far).min(axis=0))
+                if (left_new == left).all() and (right_new == right).all():
+                    break
+                left, right = left_new, right_new
+            u, v = np.concatenate([one[linked], two[met]]), np.concatenate([left[linked], right[met]])
+            apart = u != v
+            yield pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], ["u", "v"])
+
+    return _among(vectors, block, tile).mapInArrow(run, "u long, v long").distinct()
+
+
+def cosine_counts(vectors: DataFrame, block: int = BLOCK_BYTES, tile: int = 2048) -> DataFrame:
+    """(score, n): how many pairs of different rows (id, vector) have each rounded cosine. A task sends one row a score, of two million and one that there are."""
+    unit = 10**DIGITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * unit + 1, np.int64)
+        for at, one, two, scores in _met(batches):
+            if at["a_tile"] == at["c_tile"]:
+                scores = scores[np.triu_indices(len(one), 1)]
+            found, n = np.unique(np.rint((scores.ravel() + 1) * unit).astype(np.int64), return_counts=True)
+            counts[np.clip(found, 0, 2 * unit)] += n
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there - unit), pa.array(counts[there])], ["s", "n"])
+
+    counted = _among(vectors, block, tile).mapInArrow(run, "s long, n long")
+    return counted.groupBy("s").agg(F.sum("n").alias("n")).select((F.col("s") / unit).alias("score"), "n")
 
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = False) -> DataFrame:

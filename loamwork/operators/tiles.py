@@ -39,16 +39,17 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
-def meet(asked: DataFrame, held: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+def meet(asked: DataFrame, held: DataFrame, most: int = BLOCK_BYTES, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every tile of ``asked`` (columns a_*) beside every tile of ``held`` (columns c_*), with ``cell``, by which rows lie together.
 
-    Both are tables of ``pack`` that have been written, with their bytes in ``bytes``. No pair is left out.
+    Both are tables of ``pack`` with their bytes in ``bytes``; ``asked`` has been written. ``held`` too, or ``write`` does it if the grid needs it twice. No pair is left out.
     """
     total = lambda t: t.agg(F.sum("bytes")).first()[0] or 0
-    a_bytes, c_bytes = total(asked), total(held)
-    h = max(1, -(-a_bytes // most))
-    # a cell's asked block is read once for each group of held tiles, so groups are several times as large
-    g = 1 if h == 1 else max(1, -(-c_bytes // (8 * most)))
+    h, g = max(1, -(-total(asked) // most)), 1
+    if h > 1:
+        held = write(held) if write else held
+        # a cell's asked block is read once for each group of held tiles, so groups are several times as large
+        g = max(1, -(-total(held) // (8 * most)))
     place = lambda n, seed: F.pmod(F.xxhash64("tile", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     one = asked.withColumn("h", place(h, 5)).withColumn("g", every(g) if g > 1 else place(1, 7))

@@ -620,13 +620,13 @@ def open_gaps_union(spark: SparkSession, d: str) -> DataFrame:
     return metrics.open_gaps({k: ev.where(F.col("kind") == k) for k in ("error", "signup")}, covered)
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 200),
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT round(list_cosine_similarity(a.e, b.e), 6) + 0.0 AS s FROM v a JOIN v b ON a.vec_id < b.vec_id),
 r AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM c)
 SELECT least(greatest(ceil(round(s * 100, 4)) / 100, 0.55), 0.90)::DOUBLE AS threshold FROM r WHERE k = floor((n - 1) * 0.99 + 0.5)""")
 def link_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """The calibration sample is the operator's own bound: its first 200 vectors."""
-    return metrics.link_threshold(_corpus(spark, d).where("id < 200").select("id", "vector"))
+    """Over all pairs of the table."""
+    return metrics.link_threshold(_corpus(spark, d).select("id", "vector"))
 
 
 def _situations(spark: SparkSession, d: str) -> DataFrame:
@@ -688,10 +688,21 @@ def newest_per_scope(spark: SparkSession, d: str) -> DataFrame:
     return reads.newest_per_group(rows, "scope", 5)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4),
+r(id, node) AS (SELECT u, u FROM e UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.node), c AS (SELECT id, min(node) AS c FROM r GROUP BY id)
+SELECT sha256(string_agg(id, ',' ORDER BY id)) AS key, count(*) AS n FROM c GROUP BY c""")
 def gap_clusters(spark: SparkSession, d: str) -> DataFrame:
     gaps = _corpus(spark, d).select("id", F.lit("the open gap").alias("text"), "vector")
-    return reads.gap_clusters(gaps, 0.3).select("key", "n")
+    return reads.gap_clusters(gaps, 0.4).select("key", "n")
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS q_id, b.vec_id AS id, {COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+n AS (SELECT * FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) <= 5)
+SELECT DISTINCT least(q_id, id) AS a_id, greatest(q_id, id) AS b_id, score FROM n""")
+def neighbours_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """All rows against all."""
+    corpus = _corpus(spark, d).select("id", "vector")
+    return retrieval.neighbour_pairs(corpus, corpus.withColumnRenamed("id", "q_id"), 5, 0.2)
 
 
 @query("""WITH s AS (SELECT g.vec_id AS gap_id, a.vec_id AS id, round(list_cosine_similarity(g.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings g, embeddings a WHERE g.vec_id % 20 = 0 AND a.vec_id % 20 <> 0),

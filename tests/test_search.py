@@ -1,6 +1,7 @@
 """Scans, composed searches and their parts against plain Python."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
 from loamwork.operators import dedup, joins, retrieval, search
+from loamwork.operators.graph import connected_components
 
 ODD = [None, "", "  ", "a-b c", "-x- /y/", "v1.2.3_z", "É-ü ß ſ", "x" * 41 + " y", "é" * 21, "a--b", "İx Ω", "1/2 ½ ²", "tab\tand\nline", "_" * 5, "日本語-テスト"]
 
@@ -179,3 +181,35 @@ def test_small_rules(spark):
     assert got == {1: [3.0], 2: [3.0], 3: [1.0]}
     _, art = base(spark)
     assert search.random_artifact(art, 3, 2).collect() == search.random_artifact(art.repartition(2), 3, 2).collect()
+
+
+@pytest.mark.parametrize("block, tile", [(1 << 20, 2048), (600, 5)])
+def test_links_and_counts_over_all_pairs(spark, block, tile):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(-2, 3, 3).astype(float).tolist()) for k in range(60)] + [(70, None), (71, [0.0] * 3), (72, [1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    cos = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and a is not None and b is not None:
+                x, y = np.array(a), np.array(b)
+                good = len(a) == len(b) and np.linalg.norm(x) * np.linalg.norm(y) > 0
+                cos[i, j] = round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6) + 0.0 if good else 0.0
+    counts = {round(r.score, 6): r.n for r in retrieval.cosine_counts(df, block, tile).collect()}
+    assert counts == Counter(cos.values())
+    for floor in (0.95, 0.99):
+        root = {i: i for i, _ in rows}
+
+        def top(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for (i, j), s in cos.items():
+            if s >= floor:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        found = retrieval.cosine_links(df, floor, block, tile)
+        got = {r.node: r.component for r in connected_components(found).collect()}
+        assert got == {i: top(i) for i in root if any(top(j) == top(i) for j in root if j != i)} and len(set(got.values())) > 3
+    assert retrieval.cosine_links(df.where("false"), 0.5).collect() == [] == retrieval.cosine_counts(df.where("false")).collect()
