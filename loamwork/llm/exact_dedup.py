@@ -4,7 +4,7 @@
    normalised text; equal bytes share an entry. A full memtable is flushed as a
    sorted run of entries (digest, the ids of its rows, their smallest), so a text that
    a third of all rows repeat makes one entry per memtable, not one per row.
-2. Entries are dealt by digest to as many buckets as their number asks for, so that a bucket's runs fit its task. Each bucket's task runs a ``RunIndex``:
+2. Entries are dealt by digest to as many buckets as their number asks for, so that a bucket's runs fit its task. Each bucket's task runs a ``LogIndex``:
    sorted runs with Bloom filters, compacted to the smallest identifier per digest.
 3. Digests with several entries are hits. Each hit's bytes are compared with
    those of the entry that the index names; entries of other bytes under the
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import WS_CLASS, buckets, materialise
-from loamwork.llm.runs import Bloom, RunIndex
+from loamwork.llm.runs import Bloom, LogIndex
 
 LAST = np.iinfo(np.int64).max
 PAYLOAD = np.dtype([("id", "i8"), ("entry", "i8"), ("rows", "i8"), ("entries", "i8")])
@@ -86,7 +86,7 @@ def _memtable(rows: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def _bucket(width: int, memtable: int, fanout: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RunIndex(width, PAYLOAD, keep_smallest, memtable, fanout)
+        index = LogIndex(width, PAYLOAD, keep_smallest, memtable, fanout)
         for batch in batches:
             payload = np.zeros(batch.num_rows, PAYLOAD)
             for k, name in enumerate(("entry", "min_id", "n"), 1):

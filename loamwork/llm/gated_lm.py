@@ -43,6 +43,10 @@ HEAD, HEAD_BYTES = 100_000, 40
 SMOOTH = 0.1
 #: Windows that are cut from the lanes at once, and tokens that a class softmax takes at once.
 AHEAD, ROWS = 8, 512
+#: Characters of a text that the driver's sample takes at most.
+START_CHARS = 100_000
+#: Of the words too long for the head, so many of the most frequent are told to every task.
+OFTEN = 10_000
 #: Texts that train side by side on the driver, and in a task.
 START_LANES, LANES = 32, 256
 
@@ -666,7 +670,7 @@ def lm_scores(
     id is in the held-out part. Repeated rows are scored as often; an empty table gives no rows. Without training
     rows all counts are 0 and the network stays as drawn. Other columns are not read.
 
-    ``start_tokens`` bounds the sample that the driver starts the network on; the pass
+    ``start_tokens`` bounds the sample that the driver starts the network on, ``START_CHARS`` what it takes of a text; the pass
     over all training texts then learns from every token of each.
     """
     spark = docs.sparkSession
@@ -699,7 +703,10 @@ def lm_scores(
         draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11) / float(1 << 53)
         share = min(1.0, 1.2 * start_tokens / int(total))
         used, sample = 0, []
-        for r in training.where(F.col("text").isNotNull() & (draw < share)).distinct().toLocalIterator():
+        # of a longer text a stretch, wherever its hash says
+        room = F.greatest(F.char_length("text") - START_CHARS, F.lit(0)) + 1
+        stretch = F.col("text").substr(F.pmod(F.xxhash64("text", F.lit(9)), room).cast("int") + 1, F.lit(START_CHARS))
+        for r in training.where(F.col("text").isNotNull() & (draw < share)).select(stretch.alias("text")).distinct().toLocalIterator():
             sample.append(head.encode(pa.array([r.text])).ids)
             used += len(sample[-1])
             if used >= start_tokens:
@@ -728,9 +735,13 @@ def lm_scores(
     known = counts.select(a.alias("a"), b.alias("known_b"), F.log10(F.col("n") + SMOOTH).alias("log"))
     # one key to sort by; the other half of the hash is compared where the first is equal
     same = F.col("b").bitwiseXOR(F.col("known_b")) == 0
+    # a word too long for the head may be as frequent as any: the first of these are told, so no key of the join is hot
+    often = materialise(counts.where(F.octet_length("word") > HEAD_BYTES).orderBy(F.desc("n"), "word").limit(OFTEN).select("word", "n"), "lm-often")
+    hot = often.select(a.alias("a"), b.alias("b"), F.log10(F.col("n") + SMOOTH).alias("log"))
+    tails = scored.select("row", F.inline("tail")).join(F.broadcast(hot), ["a", "b"], "left")
+    rest = tails.where("log is null").drop("log").join(known.withColumnRenamed("a", "known_a"), (F.col("a") == F.col("known_a")) & same)
     found = (
-        scored.select("row", F.inline("tail"))
-        .join(known.withColumnRenamed("a", "known_a"), (F.col("a") == F.col("known_a")) & same)
+        tails.where("log is not null").select("row", "times", "log").unionByName(rest.select("row", "times", "log"))
         .groupBy("row")
         .agg(F.sum(F.col("times") * F.col("log")).alias("logs"), F.sum("times").alias("more"))
     )

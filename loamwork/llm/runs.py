@@ -1,10 +1,11 @@
 """A log-structured index over fixed-width digests, in numpy.
 
 Batches of (digest, payload) collect in a memtable. A full memtable is sorted
-and each digest reduced to one entry; entries that an older run holds already
-are merged into that run's payload (a Bloom filter per run says which runs need
-a binary search), and the rest is flushed as a new run. So runs never share a
+and each digest reduced to one entry. A ``RunIndex`` merges entries that an older run holds already
+into that run's payload (a Bloom filter per run says which runs need
+a binary search), and flushes the rest as a new run. So runs never share a
 digest, and compaction, which joins the runs of a level into one of the next, is a plain merge.
+A ``LogIndex`` never touches a run again: every memtable is flushed whole, and compaction is what reduces equal digests of several runs to one entry.
 """
 
 from __future__ import annotations
@@ -128,3 +129,35 @@ class RunIndex:
         whole = runs[0] if len(runs) == 1 else self.merge(runs)
         self.levels = [[whole]]
         return whole.keys, whole.payload
+
+
+class LogIndex(RunIndex):
+    """Immutable runs. Compaction reduces: what it keeps of equal digests is up to ``combine``. A lookup asks the filters of all runs, the newest first."""
+
+    def flush(self) -> None:
+        if not self.n_held:
+            return
+        keys, payload = self.reduce(np.concatenate([k for k, _ in self.held]), np.concatenate([p for _, p in self.held]))
+        self.held, self.n_held = [], 0
+        for part in (keys, payload):
+            part.flags.writeable = False
+        self.place(Run(keys, payload), 0)
+
+    def merge(self, runs: list[Run]) -> Run:
+        keys, payload = np.concatenate([r.keys for r in runs]), np.concatenate([r.payload for r in runs])
+        keys, payload = self.reduce(keys, payload)
+        for part in (keys, payload):
+            part.flags.writeable = False
+        return Run(keys, payload)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key has been flushed, and its payload of all runs combined."""
+        found, out = np.zeros(len(keys), bool), np.zeros(len(keys), self.dtype)
+        for level in self.levels:
+            for run in reversed(level):
+                mine, theirs = run.find(keys)
+                both = found[mine]
+                out[mine[both]] = self.combine(out[mine[both]], run.payload[theirs[both]])
+                out[mine[~both]] = run.payload[theirs[~both]]
+                found[mine] = True
+        return found, out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm.exact_dedup import exact_dedup
 from loamwork.llm.line_dedup import line_dedup
-from loamwork.llm.runs import RunIndex
+from loamwork.llm.runs import LogIndex, RunIndex
 
 ROWS = [(i, f"text {i % 7}\n{'x' * (i % 3)}") for i in range(40)] + [
     (50, None), (51, ""), (52, " "), (53, "\t\n"), (54, "a  b"), (55, "a\nb"), (55, "a b"), (None, "a b"), (None, "lone"), (60, "é" * 70_000), (60, "é" * 70_000),
@@ -83,3 +83,35 @@ def test_run_index_against_a_dictionary():
     keys, payload = index.compacted()
     assert dict(zip([k.ljust(4, b"\0") for k in keys.tolist()], payload["n"].tolist(), strict=True)) == dict(want)
     assert [len(level) for level in index.levels] == [1]
+
+
+def test_log_index_keeps_its_runs_and_the_smallest():
+    rng = np.random.default_rng(2)
+    kind = [("id", "i8"), ("n", "i8")]
+
+    def smallest(a, b):
+        out = a.copy()
+        out["id"], out["n"] = np.minimum(a["id"], b["id"]), a["n"] + b["n"]
+        return out
+
+    index, want, seen = LogIndex(4, np.dtype(kind), smallest, memtable=40, fanout=3), {}, []
+    for _ in range(50):
+        raw = [bytes(rng.integers(1, 4, 4, dtype=np.uint8)) for _ in range(rng.integers(1, 30))]
+        payload = np.zeros(len(raw), kind)
+        payload["id"], payload["n"] = rng.integers(0, 10**6, len(raw)), 1
+        for k, i in zip(raw, payload["id"].tolist(), strict=True):
+            low, n = want.get(k, (i, 0))
+            want[k] = (min(low, i), n + 1)
+        index.add(np.array(raw, "S4"), payload)
+        for run in [r for level in index.levels for r in level]:
+            if not any(run is r for r, _, _ in seen):
+                seen.append((run, run.keys.copy(), run.payload.copy()))
+    assert len(seen) > 10 and any(len(level) > 1 for level in index.levels)
+    index.flush()
+    there, found = index.get(np.array([*want, b"\xff\xff\xff\xff"], "S4"))
+    assert there.tolist() == [True] * len(want) + [False]
+    assert [tuple(x) for x in found[:-1].tolist()] == [*want.values()]
+    keys, payload = index.compacted()
+    assert {k: tuple(p) for k, p in zip(keys.tolist(), payload.tolist(), strict=True)} == want and [len(x) for x in index.levels] == [1]
+    # no run was ever changed
+    assert all((r.keys == k).all() and (r.payload == p).all() and not r.payload.flags.writeable for r, k, p in seen)

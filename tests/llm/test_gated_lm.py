@@ -202,3 +202,18 @@ def test_a_very_long_text_takes_no_rectangle():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 120e6 and np.isfinite(got).all()
+
+
+def test_the_sample_is_bounded_by_tokens_and_long_words_are_told(spark, monkeypatch):
+    long = "w" * 50
+    rows = [(k, f"{long} {'v' * 60}{k % 3} word {k % 5}") for k in range(40)] + [(100, "one two three " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sizes, real = [], lm.Trainer.add
+    monkeypatch.setattr(lm.Trainer, "add", lambda self, ids: sizes.append(len(ids)) or real(self, ids))
+    monkeypatch.setattr(lm, "START_CHARS", 500)
+    whole = sorted((str(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(docs, start_tokens=10**6).collect())
+    assert max(sizes) <= 260  # the driver's own
+    monkeypatch.setattr(lm, "OFTEN", 1)
+    assert sorted((str(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(docs, start_tokens=10**6).collect()) == whole
+    monkeypatch.setattr(lm, "HEAD_BYTES", 200)
+    assert sorted((str(r.doc_id), r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(docs, start_tokens=10**6).collect()) == whole
