@@ -79,6 +79,39 @@ def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return search.search(art, queries, NOW, limit=10, cap=3)
 
 
+_EVERY = "FROM documents JOIN embeddings ON vec_id = doc_id),\nq AS (SELECT id AS q_id, substr(text, 1, 80) AS text, v FROM docs WHERE id % 20 = 0),"
+_WHOLE = _SEARCH.replace(
+    _EVERY,
+    "FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 2 = 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0),\nq AS (SELECT doc_id AS q_id, substr(text, 1, 80) AS text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),",
+).replace(
+    "cut AS (SELECT q_id, id, score, r AS rank FROM again WHERE (NOT displaced OR r < 30) AND r < 10)",
+    """scored AS (SELECT q_id, id, r AS old_rank, round(score * 0.5 + (id % 5) / 10.0, 6) AS score FROM again WHERE NOT displaced OR r < 30),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, old_rank) - 1 AS rank FROM scored) WHERE rank < 10),
+shares AS (SELECT *, CASE WHEN max(id % 7) OVER (PARTITION BY q_id) > 0 THEN (id % 7)::DOUBLE / max(id % 7) OVER (PARTITION BY q_id) ELSE 0 END AS share, count(*) OVER (PARTITION BY q_id) AS n FROM top),
+acts AS (SELECT *, CASE WHEN id % 17 = 0 THEN greatest(share, 1.0) ELSE share END AS act FROM shares),
+beats AS (SELECT *, coalesce(rank >= 2 AND round(act - lag(act, 1) OVER w, 9) > 0.5, false) AS one, coalesce(rank >= 3 AND round(act - lag(act, 2) OVER w, 9) > 0.5, false) AS two FROM acts WINDOW w AS (PARTITION BY q_id ORDER BY rank)),
+climbs AS (SELECT *, CASE WHEN n < 3 OR rank < 2 OR NOT one THEN 0 WHEN two THEN 2 ELSE 1 END AS climb FROM beats),
+cut AS (SELECT q_id, id, score, row_number() OVER (PARTITION BY q_id ORDER BY rank - climb, CASE WHEN climb > 0 THEN 0 ELSE 1 END, rank) - 1 AS rank FROM climbs)""",
+)
+
+
+@query(f"""WITH {_WHOLE}, {HEBB}, lk AS (SELECT a_id AS f, b_id AS o, n_events * 3.0 AS w FROM pairs UNION ALL SELECT b_id, a_id, n_events * 3.0 FROM pairs),
+near AS (SELECT q_id, o AS id, max(w) AS w FROM cut JOIN lk ON f = cut.id WHERE cut.rank < 3 GROUP BY q_id, o),
+fresh AS (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY w DESC, id) - 1 AS place FROM near WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.q_id = near.q_id AND cut.id = near.id)),
+recalled AS (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY place) AS k FROM fresh WHERE place < 3 AND id IN (SELECT id FROM docs)), ends AS (SELECT q_id, max(rank) AS last FROM cut GROUP BY q_id)
+SELECT x.q_id, x.id, x.rank, x.score, s.score AS similarity, coalesce(s.score < 0.35, false) AS weak, coalesce(x.rank >= c.cliff_at, false) AS past_cliff, false AS associated FROM cut x LEFT JOIN dense s ON s.q_id = x.q_id AND s.id = x.id LEFT JOIN c ON c.q_id = x.q_id
+UNION ALL SELECT r.q_id, r.id, last + k, 0.0, NULL, false, false, true FROM recalled r JOIN ends e ON e.q_id = r.q_id""")
+def search_with_everything(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with a scorer, activation, links and filters: only documents of even ids are tagged, and some are superseded or deprecated."""
+    art, queries = _searched(spark, d)
+    status = F.when(F.col("id") % 11 == 0, "deprecated").when(F.col("id") % 13 == 0, "superseded")
+    art = art.withColumn("status", status).withColumn("tags", F.when(F.col("id") % 2 == 0, F.array_append("tags", "even")).otherwise(F.col("tags")))
+    scorer = F.col("score") * 0.5 + (F.col("id") % 5) / 10.0
+    active = art.select("id", (F.col("id") % 7).cast("double").alias("activation"), (F.col("id") % 17 == 0).alias("sitting"))
+    links = hebbian_links(spark, d).withColumn("weight", F.col("weight") * 3.0).withColumn("bumped_at", F.lit(NOW))
+    return search.search(art, queries, NOW, limit=10, cap=3, scorer=scorer, activation=active, links=links, tags=("even",))
+
+
 @query()
 def ask_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Each question plans two queries: its beginning, and what follows that."""
