@@ -249,6 +249,10 @@ def _signs(t: Traced) -> Traced:
             continue
         if not re.search(r"[A-Za-z]{2,}$", tail):
             continue
+        # nor is "meet at two three four five dot com": a number in words is no label after a bare "at"
+        label = re.match(r"[0-9]+(?![A-Za-z-])", tail)
+        if not marked and label and all(t.changed[b : b + label.end()]):
+            continue
         if "@" in m["at"] and m["at"].strip() == "@" and m["at"] != "@" and not _DOT_TEXT.search(tail) and not re.search(r"\.[A-Za-z]{2,}$", tail):
             continue
         edits += [(x.start(), x.end(), ".") for x in _DOT_ONLY.finditer(t.text, m.start(), a) if x[0] != "."]

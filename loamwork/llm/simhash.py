@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamwork.llm.common import buckets, byte_words, materialise, tidied
 from loamwork.operators.graph import connected_components
@@ -581,11 +582,13 @@ def simhash_dedup(
     ``component_id`` is the smallest id that links of ``radius`` or fewer differing bits
     reach, the row's own included. Null texts and texts without words have fingerprint zero, which is
     linked like any other. Null ids keep their row; a component of null ids alone has a null
-    ``component_id``. Repeated rows come out as often as they went in; an empty table gives no rows.
+    ``component_id``. Ids are integers, other types are refused. Repeated rows come out as often as they went in; an empty table gives no rows.
 
     With ``least``, a link also needs that similarity of the two texts' shingle sets, equal fingerprints included;
     with ``beyond``, that similarity alone makes a link, however far the fingerprints are apart. No such link is lost.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     if least is not None:
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

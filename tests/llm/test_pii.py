@@ -114,3 +114,9 @@ def test_addresses_match_within_long_digit_runs():
     text = "9" * 1000 + ".1.2.3 and 1.2.3.4.5.6.7.8 x1.2.3.4y 256.1.1.1 0001.2.3.4"
     want = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
     assert [(a, b) for k, a, b in find_pii(text)[0] if k == "ip"] == want
+
+
+def test_numbers_in_prose_are_no_labels():
+    for text in ("meet at two three four five dot com", "we meet at one two three four dot org soon", "Treffen at eins zwei drei vier punkt de"):
+        assert find_pii(text)[1] == []
+    assert [text[a:b] for text in ("write to jo at 163 dot com", "jo [at] one two three four dot com", "jo at mail one dot com") for _, a, b in find_pii(text)[1]][:2] == ["jo at 163 dot com", "jo [at] one two three four dot com"]

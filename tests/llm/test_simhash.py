@@ -3,6 +3,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from loamwork.llm import simhash
@@ -115,9 +116,11 @@ def test_tiles_lose_no_link():
     assert classes(got) == classes(want)
 
 
-def test_empty_table(spark):
+def test_empty_table_and_other_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup(docs).collect() == []
+    with pytest.raises(TypeError):
+        simhash_dedup(docs.selectExpr("'k' AS doc_id", "text"))
 
 
 def template_rows():
