@@ -7,6 +7,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,19 +54,52 @@ def signatures(docs: DataFrame, size: int = 5, k: int = K, text: str = "text") -
     return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, sig array<string>")
 
 
-def estimate(a: list[str], b: list[str], most: int = K) -> float:
+def _packed(size: int, k: int):
+    """(id, sig): the same hashes by their first eight bytes, which keep their order, as one run of bytes."""
+
+    def of(value: str | None) -> bytes:
+        w = _WORDS.findall((value or "").lower())
+        found = {hashlib.md5(" ".join(w[a : a + size]).encode("utf-8", "surrogatepass")).digest()[:8] for a in range(max(1, len(w) - size + 1))} if w else set()
+        return b"".join(heapq.nsmallest(k, found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.binary())], ["id", "sig"])
+
+    return run
+
+
+def estimate(a: np.ndarray, b: np.ndarray, most: int = K) -> float:
     """Jaccard estimate over the bottom k of the union of two ascending signatures."""
     k = min(most, len(a), len(b))
     if not k:
         return 0.0
-    low = sorted(set(a) | set(b))[:k]
-    return len(set(low) & set(a) & set(b)) / k
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return int((shared <= np.union1d(a, b)[k - 1]).sum()) / k
+
+
+class _Block:
+    """Nodes of one block and their signatures, also end to end with their owners."""
+
+    def __init__(self, listed: pa.Scalar):
+        self.reps = listed.values.field("rep").to_numpy()
+        self.sigs = [np.frombuffer(s.as_buffer(), ">u8").astype(np.uint64) for s in listed.values.field("sig")]
+        self.sizes = np.array([len(s) for s in self.sigs])
+        self.whole, self.owner = np.concatenate(self.sigs), np.repeat(np.arange(len(self.sigs)), self.sizes)
+
+    def may_be_alike(self, sig: np.ndarray, least: float) -> np.ndarray:
+        """Members that share enough hashes at all."""
+        at = np.minimum(np.searchsorted(sig, self.whole), len(sig) - 1)
+        shared = np.bincount(self.owner[sig[at] == self.whole], minlength=len(self.sigs))
+        return np.flatnonzero(shared >= least * np.minimum(K, np.minimum(len(sig), self.sizes)) - 1e-9)
 
 
 def _links(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
+            for one, two, x, y in zip(*(batch.column(c) for c in ("i", "j", "x", "y")), strict=True):
                 parent: dict[int, int] = {}
 
                 def top(v: int, parent: dict[int, int] = parent) -> int:
@@ -73,33 +107,44 @@ def _links(least: float):
                         v = parent[v]
                     return v
 
-                out = []
-                for p, a in enumerate(x):
-                    for b in x[p + 1 :] if one == two else y:
-                        if top(a["rep"]) != top(b["rep"]) and estimate(a["sig"], b["sig"]) >= least:
-                            parent[top(a["rep"])] = top(b["rep"])
-                            out.append((a["rep"], b["rep"]))
+                left, same, out = _Block(x), one.as_py() == two.as_py(), []
+                right = left if same else _Block(y)
+                for p, (rep, sig) in enumerate(zip(left.reps.tolist(), left.sigs, strict=True)):
+                    for q in right.may_be_alike(sig, least).tolist():
+                        other = int(right.reps[q])
+                        if (not same or q > p) and top(rep) != top(other) and estimate(sig, right.sigs[q]) >= least:
+                            parent[top(rep)] = top(other)
+                            out.append((rep, other))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
     return run
 
 
+def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input: (rep, sig, reach); output: a row for each of the first ``reach`` hashes."""
+    for batch in batches:
+        sigs = [np.frombuffer(s.as_buffer(), ">i8")[:n].astype(np.int64) for s, n in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+        rep = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sigs])
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))], ["rep", "h"])
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = 5, text: str = "text") -> DataFrame:
     """(id, class_id): classes that signature similarity of ``least`` or more links, class_id the smallest id; every row is returned.
 
     Texts with one signature are one node. A pair at ``least`` shares one of the first few hashes of
-    both signatures, so nodes meet only there; a hash that many share is cut into blocks whose pairs of
-    blocks are separate rows, each returning a spanning forest of its links. Needs integer ids; documents without words link to nothing.
+    both signatures, so nodes meet only there: which hashes several have is found out on (node, hash) alone, and only there do signatures go. A hash that many
+    share is cut into blocks whose pairs of blocks are separate rows, each returning a spanning forest of its links. Needs integer ids; documents without words link to nothing.
     """
-    signed = materialise(signatures(docs, size, K, text), "near-signatures")
-    keyed = signed.withColumn("key", F.md5(F.array_join("sig", "")))
-    nodes = keyed.where(F.size("sig") > 0).groupBy("key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
-    reach = F.floor(F.least(F.lit(K), F.size("sig")) * (1 - least) + 1e-9).cast("int") + 1
-    met = nodes.select("rep", "sig", F.explode(F.slice("sig", F.lit(1), reach)).alias("h"))
+    kind = docs.schema["id"].dataType.simpleString()
+    signed = materialise(docs.select("id", text).mapInArrow(_packed(size, K), f"id {kind}, sig binary").withColumn("key", F.md5("sig")), "near-signatures")
+    nodes = materialise(signed.where(F.octet_length("sig") > 0).groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("sig").alias("sig")), "near-nodes")
+    reach = F.floor(F.least(F.lit(K), F.octet_length("sig") / 8) * (1 - least) + 1e-9).cast("int") + 1
+    met = nodes.select("rep", "sig", reach.alias("reach")).mapInArrow(_first_hashes, "rep long, h long")
     counts = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = met.join(counts, "h").withColumn("blocks", n_blocks).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = dealt.groupBy("h", "blocks", "i").agg(F.collect_list(F.struct("rep", "sig")).alias("x"))
+    blocks = dealt.join(nodes.select("rep", "sig"), "rep").groupBy("h", "blocks", "i").agg(F.collect_list(F.struct("rep", "sig")).alias("x"))
+    blocks = materialise(blocks, "near-blocks")
     # every block meets itself and the later ones: numbers are exploded, not rows paired
     left = blocks.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
     right = blocks.select("h", F.col("i").alias("j"), F.col("x").alias("y"))
@@ -107,7 +152,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = 5, text:
     links = left.join(right, ["h", "j"]).repartition("h", "i", "j").select("i", "j", "x", "y").mapInArrow(_links(least), "u long, v long")
     of = connected_components(links)
     roots = nodes.join(of, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
-    return keyed.select("id", "key").join(roots, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return signed.select("id", "key").join(roots, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def capture(corpora: DataFrame, new: DataFrame) -> DataFrame:
