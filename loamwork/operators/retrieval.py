@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,8 +270,24 @@ def postings(docs: DataFrame, text: str = "text", only: frozenset[str] | None =
     return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, term string, tf long")
 
 
+def posting_lists(docs: DataFrame, only: frozenset[str], text: str = "text") -> DataFrame:
+    """(id, terms, tfs) of each document that has one of the terms: its row as the pass over the texts makes it, nothing to bring together."""
+    shared = docs.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                counts = [Counter(t for t in terms_of(value.as_py()) if t in shared.value) for value in batch.column(1)]
+                some = pa.array([k for k, c in enumerate(counts) if c], pa.int64())
+                terms, tfs = pa.array([list(c) for c in counts if c], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts if c], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), terms, tfs], ["id", "terms", "tfs"])
+
+    return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, terms array<string>, tfs array<long>")
+
+
 #: Up to so many terms of a query set go to the tasks that read the documents, and up to so many weights of terms by queries.
-TERMS, WEIGHTS = 200_000, 8_000_000
+TERMS, WEIGHTS = 200_000, 4_000_000
 
 
 def _scored(shared, k: int):
@@ -307,13 +324,13 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     terms = postings(queries.withColumnRenamed("q_id", "id")).select(F.col("id").alias("q_id"), "term")
     asked = terms.select("term").distinct()
     some = [r.term for r in asked.limit(TERMS + 1).collect()]
-    found = postings(docs, only=frozenset(some)) if len(some) <= TERMS else postings(docs).join(asked, "term", "left_semi")
     n_queries = queries.count()
     numbered = {docs.schema["id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()} <= {"int", "bigint"}
     in_matrix = numbered and len(some) <= TERMS and len(some) * n_queries <= WEIGHTS
     if in_matrix:
-        # a document's rows come out together, from one task
-        found = found.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+        found = posting_lists(docs, frozenset(some))
+    else:
+        found = postings(docs, only=frozenset(some)) if len(some) <= TERMS else postings(docs).join(asked, "term", "left_semi")
     found = materialise(found, "bm25-postings")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     each = found.select(F.explode("terms").alias("term")) if in_matrix else found
@@ -322,12 +339,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     idf = df.join(F.broadcast(n)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     weighted = terms.join(idf, "term")
     if in_matrix:
-        rows = weighted.collect()
-        q_ids, places = sorted({r.q_id for r in rows}), {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
-        column, weights = {q: i for i, q in enumerate(q_ids)}, np.zeros((len(places), len(q_ids)))
-        for r in rows:
-            weights[places[r.term], column[r.q_id]] = r.idf
-        shared = docs.sparkSession.sparkContext.broadcast((np.array(q_ids, np.int64), places, weights))
+        # at most as many rows as the matrix has places
+        rows = weighted.select(F.col("q_id").cast("long"), "term", "idf").where("q_id is not null").toArrow().combine_chunks()
+        names, q_ids = pc.unique(rows["term"]).sort(), np.unique(rows["q_id"].to_numpy())
+        weights = np.zeros((len(names), len(q_ids)))
+        weights[pc.index_in(rows["term"], names).to_numpy(), np.searchsorted(q_ids, rows["q_id"].to_numpy())] = rows["idf"].to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast((q_ids.astype(np.int64), {t: i for i, t in enumerate(names.to_pylist())}, weights))
         scored = found.where("id is not null").mapInArrow(_scored(shared, k), "q_id long, id long, score double")
     else:
         scored = found.join(weighted, "term").groupBy("q_id", "id").agg(F.round(F.sum(F.col("idf") * saturated(F.col("tf"))), DIGITS).alias("score"))
