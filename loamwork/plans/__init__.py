@@ -2,4 +2,5 @@
 
 from loamwork.plans import catalogue as catalogue
 from loamwork.plans import derivation as derivation
+from loamwork.plans import sweeping as sweeping
 from loamwork.plans import upkeep as upkeep

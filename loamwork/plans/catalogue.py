@@ -470,13 +470,20 @@ def pruned_links(spark: SparkSession, d: str) -> DataFrame:
 # Graphs, sets and lifecycle -------------------------------------------------------------------------------------
 
 
-@query()
+def label_sql(edges: str, rounds: int = 12) -> str:
+    """CTE ``lab`` (node, c): the smallest node that each reaches within so many steps; more than any path of these tables needs."""
+    return f"""ed AS (SELECT u, v FROM ({edges}) UNION SELECT v, u FROM ({edges}) UNION SELECT u, u FROM ({edges}) UNION SELECT v, v FROM ({edges})),
+step(k, node, c) AS (SELECT 0, u, min(v) FROM ed GROUP BY u UNION ALL SELECT k + 1, ed.v, min(c) FROM step JOIN ed ON ed.u = step.node WHERE k < {rounds} GROUP BY k, ed.v), lab AS (SELECT node, c FROM step WHERE k = {rounds})"""
+
+
+@query(f"""WITH RECURSIVE {label_sql("SELECT o_custkey AS u, l_suppkey + 1000000 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey")} SELECT node, c AS component FROM lab""")
 def components(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))
     return connected_components(edges)
 
 
-@query()
+@query(f"""WITH RECURSIVE {label_sql("SELECT l_partkey AS u, l_suppkey + 1000000 AS v FROM lineitem")}, b AS (SELECT c, max((node % 97, node)) AS k FROM lab GROUP BY c)
+SELECT node AS id, k[2] AS keeper_id, node <> k[2] AS superseded FROM lab JOIN b USING (c)""")
 def keepers(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a_id"), (F.col("l_suppkey") + 1000000).alias("b_id"))
     art = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct().withColumn("created_at", F.col("id") % 97)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
 from loamwork.operators import dedup, guards, joins, lifecycle, logs, metrics, reads, retrieval, search, segments, store
-from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _items, _lexical, dense_topk, hebbian_links
+from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _items, _lexical, dense_topk, hebbian_links, label_sql
 from loamwork.plans.registry import query
 from loamwork.sources.capture import page_markdown, table
 
@@ -520,7 +520,8 @@ def interpreted_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.interpreted(_pairs(spark, d).select("a_id", "b_id", (a % 10).alias("a_created"), (b % 10).alias("b_created"), verdict.alias("verdict"), a.alias("replaced_id"), (a % 2).alias("n_lost")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, {label_sql("SELECT a_id AS u, b_id AS v FROM pairs2 WHERE state = 'pending'")}
+SELECT a_id, b_id FROM pairs2 WHERE state = 'pending' AND a_id IN (SELECT node FROM lab WHERE c IN (SELECT c FROM lab JOIN supplier ON node = s_suppkey))""")
 def open_component(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d).where("state = 'pending'").select("a_id", "b_id")
     return reads.open_component(pairs, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
