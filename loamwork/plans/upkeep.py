@@ -112,7 +112,26 @@ def search_with_everything(spark: SparkSession, d: str) -> DataFrame:
     return search.search(art, queries, NOW, limit=10, cap=3, scorer=scorer, activation=active, links=links, tags=("even",))
 
 
-@query()
+_ROUNDS = (
+    _SEARCH.replace(
+        "q AS (SELECT id AS q_id, substr(text, 1, 80) AS text, v FROM docs WHERE id % 20 = 0),",
+        "q AS (SELECT * FROM (SELECT id * 16 AS q_id, substr(text, 1, 80) AS text, v FROM docs WHERE id % 20 = 0 UNION ALL SELECT id * 16 + 1, substr(text, 81, 80), v FROM docs WHERE id % 20 = 0) WHERE trim(text, ' ') <> ''),",
+    )
+    .replace("rank < 30", "rank < 8")
+    .replace("cut AS (SELECT q_id, id, score, r AS rank FROM again WHERE (NOT displaced OR r < 30) AND r < 10)", "cut AS (SELECT q_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) - 1 AS rank FROM final) WHERE rank < 8)")
+)
+
+
+@query(f"""WITH {_ROUNDS}, {HEBB}, above AS (SELECT x.*, c.cliff_at FROM cut x LEFT JOIN c ON c.q_id = x.q_id WHERE c.cliff_at IS NULL OR x.rank < c.cliff_at),
+s AS (SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM docs WINDOW w AS (PARTITION BY corpus_id ORDER BY id)), anchors AS (SELECT q_id, rank AS anchor, id AS via FROM above WHERE rank < 3),
+beside AS (SELECT q_id, anchor, via, 0 AS way, before AS id FROM anchors JOIN s ON s.id = via WHERE before IS NOT NULL UNION ALL SELECT q_id, anchor, via, 1, after FROM anchors JOIN s ON s.id = via WHERE after IS NOT NULL),
+l AS (SELECT a_id AS f, b_id AS o, n_events::DOUBLE AS w FROM pairs UNION ALL SELECT b_id, a_id, n_events FROM pairs),
+linked AS (SELECT q_id, anchor, via, 1 + row_number() OVER (PARTITION BY q_id, anchor ORDER BY w DESC, o) AS way, o AS id FROM anchors JOIN l ON l.f = via WHERE w >= 2),
+every AS (SELECT * FROM beside UNION ALL SELECT * FROM linked WHERE way <= 7), f AS (SELECT *, row_number() OVER (PARTITION BY q_id, id ORDER BY anchor, way) AS k FROM every),
+side AS (SELECT * FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY anchor, way) - 1 AS rank FROM f WHERE k = 1 AND id IN (SELECT id FROM docs) AND NOT EXISTS (SELECT 1 FROM above h WHERE h.q_id = f.q_id AND h.id = f.id)) WHERE rank < 6),
+r AS (SELECT q_id, id, rank, 'ranked' AS kind, CASE WHEN rank < coalesce(cliff_at, 3) THEN 0 ELSE 1 END AS phase FROM above UNION ALL SELECT q_id, id, rank, 'reached', 2 FROM side),
+n AS (SELECT q_id // 16 AS q_id, q_id % 16 AS part, id, rank AS pos, kind, phase FROM r), m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY q_id, id ORDER BY phase, pos, part) = 1)
+SELECT q_id, id, kind, row_number() OVER (PARTITION BY q_id ORDER BY phase, pos, part, id) - 1 AS rank FROM m""")
 def ask_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Each question plans two queries: its beginning, and what follows that."""
     art, queries = _searched(spark, d)
@@ -752,8 +771,8 @@ def token_columns(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("id", F.md5(F.array_join(terms, " ")).alias("terms_md5")).where(F.size(tx.lexical_tokens(F.lit("x"))) > 0).join(retrieval.postings(_docs(spark, d)).select("id").distinct(), "id", "left_semi")
 
 
-@query()
+@query(r"""SELECT item_id AS q_id, text, length(t)::DOUBLE AS whole, length(string_split(t, ' ')[1])::DOUBLE AS first FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t FROM benchmark)""")
 def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of query texts by a stand-in for a model: lengths of the text and of its first word."""
     embed = lambda t: F.array(F.char_length(t).cast("double"), F.char_length(F.get(F.split(t, " "), F.lit(0))).cast("double"))
-    return search.query_vectors(_items(spark, d), embed)
+    return search.query_vectors(_items(spark, d), embed).select("q_id", "text", F.get("vector", F.lit(0)).alias("whole"), F.get("vector", F.lit(1)).alias("first"))
