@@ -46,7 +46,7 @@ def test_whole_tables_match_brute_force(spark, tmp_path):
     assert got == {(a, b) for a in sets for b in sets if a != b and sets[b] <= sets[a]}
 
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    near = [(a, b) for a in range(30) for b in range(a) if round(float(unit[a] @ unit[b]), 6) >= 0.3]
+    near = [(a, b) for a in range(30) for b in range(a) if round(float(unit[a] @ unit[b]), 6) >= 0.4]
     groups = {}
     for n, c in parts(near).items():
         groups.setdefault(c, []).append(n)
