@@ -294,12 +294,17 @@ def unsupported_answers(spark: SparkSession, d: str) -> DataFrame:
     return guards.unsupported(turns.where("role = 'assistant'").drop("role"))
 
 
-@query()
+@query("""SELECT item_id AS id, k AS place, trim(text) AS text, CASE WHEN k = 0 THEN 'x' END AS title, CASE WHEN k = 1 THEN 'concept' END AS category, CASE WHEN k = 1 THEN 2 ELSE 0 END AS n_caveats
+FROM benchmark, (SELECT unnest([0, 1, 2]) AS k) WHERE trim(text) <> '' AND (item_id % 3 <> 0 OR k < 2)""")
 def read_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Replies made of the benchmark's items, every third cut off."""
-    whole = F.concat(F.lit('Sure: {"artifacts": [{"text": '), F.to_json(F.array("text")), F.lit(', "title": "x"}, {"text": '), F.to_json(F.struct("text")), F.lit("}, "), F.to_json(F.struct("text")), F.lit("]} done"))
+    """Replies made of the benchmark's items, three artifacts each beside one without a text; every third reply is cut off within its last artifact."""
+    item = lambda **more: F.to_json(F.struct("text", *[v.alias(k) for k, v in more.items()]))
+    parts = [item(title=F.lit("x")), F.lit('{"title": "no text"}'), item(category=F.lit("concept"), caveats=F.array(F.lit("a "), F.lit(" "), F.lit("b"))), item()]
+    whole = F.concat(F.lit('Sure: {"artifacts": ['), F.concat_ws(", ", *parts), F.lit("]} done"))
     reply = F.when(F.col("item_id") % 3 == 0, F.substring(whole, F.lit(1), F.char_length(whole) - 8)).otherwise(whole)
-    return guards.proposals(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), reply.alias("reply")))
+    found = guards.proposals(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), reply.alias("reply")))
+    return found.select("id", "place", "text", "title", "category", F.size("caveats").alias("n_caveats"))
+
 
 
 CUES = f"""{HEBB}, sh AS (SELECT a.e, a.id AS a_id, b.id AS b_id FROM sets a JOIN sets b ON a.e = b.e AND a.id < b.id), cu AS (SELECT a_id, b_id, o_orderpriority AS q, count(*) AS n FROM sh JOIN orders ON o_orderkey = e GROUP BY 1, 2, 3),
