@@ -8,8 +8,8 @@ counts. A comparison goes through blocks of a tile the same way, and does an
 exclusive-or and a bit count in numpy for what is left. Each tile pair
 returns a spanning forest of its links, so a dense group costs as many rows as it has members.
 
-If links must also be similar, the forest's are checked, and then what is across the parts
-they leave and shares shingles of both prefixes, as sets that are alike to the threshold must. A part meets a shingle as one row,
+If links must also be similar, fingerprints are not all compared: sorted by each of four turns of their bits, those a few places apart
+propose links, which is work in proportion to the rows. These are checked, and then what is across the parts they leave and shares shingles of both prefixes, as sets that are alike to the threshold must. A part meets a shingle as one row,
 however many of its texts have it; two texts that are parts of their own are compared directly, and a part of several
 is dealt in chunks, each compared with whole sets of those that met it.
 """
@@ -33,8 +33,10 @@ SEED = 42
 BLOCK = 128
 #: Tiles that all fingerprints are cut into, as long as these are not too large.
 TILES = 40
-#: Texts sampled to find common shingles, and how many of these every task knows.
-SAMPLE, COMMON = 5_000, 50_000
+#: Texts sampled to find common shingles, at least and as a share of all, and how many of these every task knows.
+SAMPLE, SHARE, COMMON = 5_000, 0.01, 50_000
+#: Places that fingerprints are compared over, in each sorting that proposes links.
+REACH = 4
 #: Up to so many ends of links are broadcast.
 FEW = 300_000
 _QUARTERS = np.array([0, 16, 32, 48], np.uint64)
@@ -247,6 +249,41 @@ def linked_fingerprints(prints: DataFrame, radius: int = 3, tile: int | None = N
     return loaded.repartition(F.col("a"), F.col("b")).mapInArrow(tidied(_compare(radius)), "u long, v long")
 
 
+def _beside(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Input: (turn, turned) in order; output: a forest of the links of ``radius`` or fewer bits between rows up to ``REACH`` places apart, as the fingerprints they were before their turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, turned = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            turn = np.r_[turn[-REACH:], batch.column(0).to_numpy().astype(np.int64)]
+            turned = np.r_[turned[-REACH:], batch.column(1).to_numpy().view(np.uint64)]
+            u, v, bits = [], [], []
+            for step in range(1, min(REACH, len(turned) - 1) + 1):
+                apart = np.bitwise_count(turned[step:] ^ turned[:-step])
+                at = np.flatnonzero((apart <= radius) & (turn[step:] == turn[:-step]))
+                u.append(at)
+                v.append(at + step)
+                bits.append(apart[at])
+            links: list[tuple[int, int]] = []
+            if u:
+                order = np.argsort(np.concatenate(bits), kind="stable")
+                _forest(np.arange(len(turned)), np.concatenate(u)[order], np.concatenate(v)[order], links)
+            back = (np.uint64(16) * turn.astype(np.uint64)) % np.uint64(64)
+            fps = ((turned >> back) | (turned << ((np.uint64(64) - back) % np.uint64(64)))).view(np.int64)
+            ends = fps[np.array(links, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["u", "v"])
+
+    return run
+
+
+def proposed_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Some links (u, v) of ``prints`` (distinct ``fp`` long, a written table) within ``radius`` bits, by work in proportion to the rows: of fingerprints that come near each other when sorted, after turns by 0, 16, 32 and 48 bits."""
+    turn = lambda k: F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * k)) if k else F.col("fp")
+    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), turn(k).alias("turned")) for k in range(4)])).alias("t")
+    rows = prints.select(turns).select("t.turn", "t.turned").repartitionByRange("turn", "turned").sortWithinPartitions("turn", "turned")
+    return rows.mapInArrow(tidied(_beside(radius)), "u long, v long").distinct()
+
+
 def jaccard(one: str | None, two: str | None, size: int) -> float:
     """Of the sets of shingles; 1 for two texts without words."""
     a, b = set(shingle_hashes(one, size)), set(shingle_hashes(two, size))
@@ -450,10 +487,10 @@ class _Shared:
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that a sample of the texts repeats. They come last in the order, which saves work and loses no pair."""
+    """Shingles that a sample of the texts repeats, a share of all so that what is left out is met by few texts however many there are. They come last in the order, which saves work and loses no pair."""
     n = docs.count()
     draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 11) / float(1 << 53)
-    sample = docs.where(draw < F.lit(min(1.0, SAMPLE / max(1, n)))).select("text").distinct().mapInArrow(_sets(size), "token long")
+    sample = docs.where(draw < F.lit(min(1.0, max(SHARE, SAMPLE / max(1, n))))).select("text").distinct().mapInArrow(_sets(size), "token long")
     often = sample.groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(COMMON).collect()
     return np.array([r.token for r in often], np.int64).view(np.uint64)
 
@@ -553,7 +590,7 @@ def missed_links(nodes: DataFrame, docs: DataFrame, size: int, least: float, rad
     return alone.unionByName(sorted_rows.mapInArrow(tidied(_within(size, least, radius)), "u long, v long"))
 
 
-def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, least: float, beyond: bool) -> DataFrame:
+def similar_dedup(docs: DataFrame, size: int, radius: int, least: float, beyond: bool) -> DataFrame:
     """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``. A node is a distinct text."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select(F.md5("text").alias("key"), "text")
@@ -561,11 +598,11 @@ def similar_dedup(docs: DataFrame, size: int, radius: int, tile: int | None, lea
     prints = keyed.mapInArrow(tidied(_prefixed(size, least, common)), "key string, fp long, n long, prefix binary").dropDuplicates(["key"])
     nodes = materialise(prints.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-prints")
-    close = linked_fingerprints(firsts.select("fp"), radius, tile)
+    close = proposed_links(firsts.select("fp"), radius)
     named = close.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     equal = nodes.select("node", "fp").join(firsts, "fp").where("node <> first").select("first", "node")
     links = verified(named.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal), nodes, keyed, size, least)
-    # the links so far are a forest of those proposed, so a failed one may have stood for others: all that could join two parts are checked
+    # the links so far are some of those there are: all that could join two parts are checked
     part = F.coalesce("component", "node").alias("part")
     marked = nodes.join(connected_components(links), "node", "left").select("node", "key", part, "fp", "n", "prefix")
     more = missed_links(marked, keyed, size, least, None if beyond else radius)
@@ -592,7 +629,7 @@ def simhash_dedup(
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     if least is not None:
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        of = similar_dedup(source, size, radius, tile, least, beyond)
+        of = similar_dedup(source, size, radius, least, beyond)
         return of.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
     prints = materialise(
         docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_fingerprints(size), "id long, fp long"), "simhash-prints"

@@ -235,3 +235,30 @@ def test_tables_of_one_word_sequence(spark):
         got = {(r.doc_id, r.component_id) for r in simhash_dedup(docs, size=5, radius=10, least=0.8, beyond=True).collect()}
         first = min((i for i, _ in rows), default=None)
         assert got == {(i, first) for i, _ in rows}
+
+
+def test_similar_texts_are_found_without_all_pairs_of_fingerprints(spark, monkeypatch):
+    rows = alike_pairs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=10, least=0.8, beyond=True).collect())
+
+    def never(*_, **__):
+        raise AssertionError("compares all fingerprints")
+
+    monkeypatch.setattr(simhash, "linked_fingerprints", never)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=10, least=0.8, beyond=True).collect()) == want
+    # what is proposed is no part of the result, only work that is spared
+    monkeypatch.setattr(simhash, "proposed_links", lambda prints, radius: prints.sparkSession.createDataFrame([], "u long, v long"))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in simhash_dedup(docs, size=5, radius=10, least=0.8, beyond=True).collect()) == want
+
+
+def test_proposed_links_are_close_and_join_what_lies_together(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = [f ^ (1 << rng.randrange(64)) for f in base]
+    signed = sorted({f - (1 << 64) if f >> 63 else f for f in base + near})
+    prints = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
+    links = [tuple(r) for r in simhash.proposed_links(prints, 3).collect()]
+    assert all(u in set(signed) and v in set(signed) and ((u ^ v) & ((1 << 64) - 1)).bit_count() <= 3 for u, v in links)
+    assert len(links) >= 0.95 * len(base)
+    assert simhash.proposed_links(prints.where("false"), 3).collect() == []
