@@ -213,3 +213,10 @@ def test_links_and_counts_over_all_pairs(spark, block, tile):
         got = {r.node: r.component for r in connected_components(found).collect()}
         assert got == {i: top(i) for i in root if any(top(j) == top(i) for j in root if j != i)} and len(set(got.values())) > 3
     assert retrieval.cosine_links(df.where("false"), 0.5).collect() == [] == retrieval.cosine_counts(df.where("false")).collect()
+
+
+def test_reranked_scores_round_halves_by_their_product(spark):
+    hits = spark.createDataFrame([(1, 10, 0, 0.000249, 0), (1, 11, 1, 0.000049, 3), (1, 12, 2, 0.5, 0)], "q_id long, id long, rank long, score double, j long")
+    got = {r.id: r.score for r in retrieval.rerank(hits, F.col("score") * 0.5 + F.col("j") / 10.0).collect()}
+    # DuckDB's round(x, 6) of 0.0001245, 0.30002449999999997 and 0.25
+    assert got == {10: 0.000124, 11: 0.300025, 12: 0.25}
