@@ -82,7 +82,7 @@ def search(
     asked = queries.where(F.btrim(F.coalesce("text", F.lit(""))) != "")
     width = candidate_width(limit, cap is not None, scorer is not None, recorded)
     dense = materialise(retrieval.dense_topk(live.select("id", "vector"), asked.select("q_id", "vector"), width), "search-dense")
-    lexical = retrieval.bm25_topk(live.select("id", "text"), asked.select("q_id", "text"), width)
+    lexical = materialise(retrieval.bm25_topk(live.select("id", "text"), asked.select("q_id", "text"), width), "search-lexical")
     terms = retrieval.postings(asked.select(F.col("q_id").alias("id"), "text")).select(F.col("id").alias("q_id"))
     fused = retrieval.dense_where_lexical_is_silent(retrieval.rrf_fusion([dense, lexical], limit=width), dense, terms)
     hits = retrieval.final_score(fused.join(live.select("id", "corpus_id", "text", "tags", "verified_at"), "id"), at)
@@ -95,7 +95,9 @@ def search(
     if activation is not None:
         hits = retrieval.prime(hits.join(activation.select("id", "activation", "sitting"), "id", "left").withColumn("sitting", F.coalesce("sitting", F.lit(False)))).drop("primed", "activation", "sitting")
     shape = ["q_id", "id", "rank", "score", "similarity", "weak", "past_cliff", "associated"]
-    shown = retrieval.mark_past_cliff(hits.where(F.col("rank") < limit)).withColumn("associated", F.lit(False)).select(*shape)
+    # read twice, for the cliff and for what lies beyond it
+    hits = materialise(hits.where(F.col("rank") < limit).select(*shape[:5], "weak"), "search-hits")
+    shown = retrieval.mark_past_cliff(hits).withColumn("associated", F.lit(False)).select(*shape)
     if links is None:
         return shown
     recalled = retrieval.associated(shown.select("q_id", "id", "rank"), links, at).join(live.select("id"), "id", "left_semi")

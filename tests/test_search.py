@@ -73,6 +73,23 @@ def test_many_query_terms_go_by_a_join(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 4).collect())) == one and one
 
 
+def test_queries_meet_tiles_of_posting_lists(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(n))
+    # ids repeat, some are null, and frequent words are in most of the documents
+    rows = [(None if i % 50 == 7 else i % 300, text(rng.randrange(0, 30)) if i % 40 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, text(rng.randrange(0, 6))) for i in range(50)] + [(0, "w1 w2"), (99, "nowhere")], "q_id long, text string")
+    want = sorted(map(tuple, retrieval.bm25_topk(docs, queries, 5).collect()))
+    monkeypatch.setattr(retrieval, "WEIGHTS", 3)
+    monkeypatch.setattr(retrieval, "saturated", lambda tf: 1 / 0)  # terms are not joined
+    for docs_, postings_, block, groups in ((32_768, 4_000_000, 32_768, 64), (40, 4_000_000, 16, 3), (1000, 300, 7, 64)):
+        for name, value in (("TILE_DOCS", docs_), ("TILE_POSTINGS", postings_), ("BLOCK_QUERIES", block), ("GROUPS", groups)):
+            monkeypatch.setattr(retrieval, name, value)
+        assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 5).collect())) == want and len(want) > 150
+    assert retrieval.bm25_topk(docs.where("false"), queries, 5).collect() == []
+
+
 def test_containment_of_sets(spark):
     rng = random.Random(5)
     for size in (3, 9):
