@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
-from loamwork.operators import dedup, joins, retrieval, search
+from loamwork.operators import dedup, joins, retrieval, search, tiles
 from loamwork.operators.graph import connected_components
+from loamwork.storage import materialise
 
 ODD = [None, "", "  ", "a-b c", "-x- /y/", "v1.2.3_z", "É-ü ß ſ", "x" * 41 + " y", "é" * 21, "a--b", "İx Ω", "1/2 ½ ²", "tab\tand\nline", "_" * 5, "日本語-テスト"]
 
@@ -73,6 +74,20 @@ def test_many_query_terms_go_by_a_join(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.bm25_topk(docs, queries, 4).collect())) == one and one
 
 
+def test_tiles_are_dealt_to_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(64)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 64)
+    own = materialise(retrieval.cosine_tiles(vectors, 4), "dealt-tiles")
+    for block in (1 << 20, 1000):
+        met = tiles.meet(own, own, block)
+        pairs = [(r.a_tile, r.c_tile, r.p) for r in met.select("a_tile", "c_tile", F.spark_partition_id().alias("p")).collect()]
+        assert len({p[:2] for p in pairs}) == len(pairs) == 16 * 16
+        most = max(sum(p == q for *_, p in pairs) for q in {p for *_, p in pairs})
+        assert most <= 128, (block, most)
+
+
 def test_queries_meet_tiles_of_posting_lists(spark, monkeypatch):
     rng = random.Random(11)
     text = lambda n: " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(n))
