@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.text import decayed
+from loamwork.operators.dealing import beside
 
 
 def active(prefix: str = "") -> Column:
@@ -84,13 +85,14 @@ def make_room(art: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumn("ordinal", F.col("ordinal") + F.when(F.col("ordinal") > F.col("position"), F.col("n")).otherwise(0)).drop("position", "n")
 
 
-def carry_links(links: DataFrame, moved: DataFrame, at: int, half_life_days: float = 30) -> DataFrame:
-    """Links after artifacts moved (old_id, new_id): the larger decayed weight of links that fall together; a dismissal stays."""
+def carry_links(links: DataFrame, moved: DataFrame, at: int, half_life_days: float = 30, parts: int | None = None) -> DataFrame:
+    """Links after artifacts moved (old_id, new_id): the larger decayed weight of links that fall together; a dismissal stays. ``parts``: in how many tasks, the session's number if not said."""
     a, b = moved.select(F.col("old_id").alias("a_id"), F.col("new_id").alias("na")), moved.select(F.col("old_id").alias("b_id"), F.col("new_id").alias("nb"))
-    both = links.join(a, "a_id", "left").join(b, "b_id", "left")
+    both = beside(beside(links, a, "a_id", parts), b, "b_id", parts)
     x, y = F.coalesce("na", "a_id"), F.coalesce("nb", "b_id")
     weight = F.round(decayed(F.col("weight"), F.col("bumped_at"), at, half_life_days), 6)
     ends = both.select(F.least(x, y).alias("a_id"), F.greatest(x, y).alias("b_id"), weight.alias("weight"), "state").where("a_id <> b_id")
+    ends = ends.repartition(parts, "a_id", "b_id") if parts else ends
     state = F.when(F.max(F.col("state") == "dismissed"), "dismissed").otherwise(F.max("state"))
     return ends.groupBy("a_id", "b_id").agg(F.max("weight").alias("weight"), state.alias("state"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
 from loamwork.operators import dedup, guards, joins, lifecycle, logs, metrics, reads, retrieval, search, segments, store
-from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _items, _lexical, dense_topk, hebbian_links, label_sql
+from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _items, _lexical, _link_parts, dense_topk, hebbian_links, label_sql
 from loamwork.plans.registry import query
 from loamwork.sources.capture import page_markdown, table
 
@@ -327,7 +327,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, q) A
 def carried_cues(spark: SparkSession, d: str) -> DataFrame:
     moved = table(spark, d, "part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") - 7).alias("new_id"))
     written = F.array_join(F.transform("cues", lambda x: F.concat(x["query"], F.lit("="), x["n"].cast("string"))), ",")
-    return logs.carried_cues(_cues(spark, d), moved).select("a_id", "b_id", written.alias("cues"))
+    return logs.carried_cues(_cues(spark, d), moved, parts=_link_parts(spark, d)).select("a_id", "b_id", written.alias("cues"))
 
 
 @query()
@@ -501,7 +501,7 @@ def links_to_judge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LINKS} SELECT a_id, b_id, CASE WHEN state = 'related' AND (a_id % 4 <> 0 OR b_id % 4 <> 0) THEN 'learning' ELSE state END AS state FROM ln""")
 def reopened_links(spark: SparkSession, d: str) -> DataFrame:
     links = _links(spark, d).withColumn("judged_rev_a", F.lit(0).cast("long")).withColumn("judged_rev_b", F.lit(0).cast("long"))
-    return logs.reopened(links, table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("rev"))).select("a_id", "b_id", "state")
+    return logs.reopened(links, table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("rev")), _link_parts(spark, d)).select("a_id", "b_id", "state")
 
 
 @query("""WITH v AS (SELECT o_orderkey AS event_id, o_custkey AS expected FROM orders), c AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey % 150 AS id FROM lineitem), s AS (SELECT v.* FROM v JOIN c ON c.event_id = v.event_id AND c.id = v.expected)
