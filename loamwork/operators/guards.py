@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loamwork.functions import replies
+from loamwork.operators.dealing import sliced
 
 
 def rows_of(df: DataFrame, ids: list[str], inputs: list[str], fields: T.StructType, rows: Callable[..., list[tuple]]) -> DataFrame:
@@ -18,7 +19,7 @@ def rows_of(df: DataFrame, ids: list[str], inputs: list[str], fields: T.StructTy
     shape, n = to_arrow_schema(fields), len(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             places, made = [], []
             for k, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[n:]), strict=True)):
                 got = rows(*values)

@@ -1,5 +1,6 @@
 """Work is cut by its rows, not by the session's number of shuffle partitions."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamwork.operators import dealing, lifecycle, logs
@@ -25,3 +26,13 @@ def test_links_and_cues_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(dealing, "FEW", 0)
     again = logs.carried_cues(cues, moved, parts=12)
     assert sorted(map(str, again.collect())) == sorted(map(str, one.collect()))
+
+
+def test_slices_are_small_and_whole():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["x"] * 1000)], ["id", "text"])
+    parts = list(dealing.sliced([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 232] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    # of long rows fewer go together, of rows beyond the bound one
+    long = pa.record_batch([pa.array(range(6)), pa.array(["x" * 1000] * 6)], ["id", "text"])
+    assert [p.num_rows for p in dealing.sliced([long], most=2100)] == [2, 2, 2]
+    assert [p.num_rows for p in dealing.sliced([long], most=10)] == [1] * 6
