@@ -1,9 +1,10 @@
 """Work is cut by its rows, not by the session's number of shuffle partitions."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loamwork.operators import dealing, lifecycle, logs
+from loamwork.operators import dealing, lifecycle, logs, retrieval
 
 
 def test_links_and_cues_are_dealt_by_rows(spark, monkeypatch):
@@ -36,3 +37,15 @@ def test_slices_are_small_and_whole():
     long = pa.record_batch([pa.array(range(6)), pa.array(["x" * 1000] * 6)], ["id", "text"])
     assert [p.num_rows for p in dealing.sliced([long], most=2100)] == [2, 2, 2]
     assert [p.num_rows for p in dealing.sliced([long], most=10)] == [1] * 6
+
+
+def test_documents_are_scored_in_small_steps(monkeypatch):
+    class Shared:
+        value = (np.arange(2), {"a": 0, "b": 1}, np.array([[1.0, 0.5], [0.5, 1.0]]))
+
+    widths, add = [], retrieval._Best.add
+    monkeypatch.setattr(retrieval._Best, "add", lambda self, first, scores, ids: (widths.append(len(ids)), add(self, first, scores, ids))[1])
+    batch = pa.record_batch([pa.array(range(3000)), pa.array([["a"], ["b"]] * 1500), pa.array([[1], [1]] * 1500)], ["id", "terms", "tfs"])
+    (found,) = retrieval._scored(Shared, 2)(iter([batch]))
+    assert sum(widths) == 3000 and max(widths) <= 1024
+    assert found.to_pylist() == [{"q_id": q, "id": k, "score": 1.0} for q, k in ((0, 0), (0, 2), (1, 1), (1, 3))]
