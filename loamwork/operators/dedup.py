@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.digests import md5_heads
 from loamwork.functions.text import normal_query
+from loamwork.operators.dealing import sliced
 from loamwork.operators.graph import connected_components
 from loamwork.storage import materialise
 
@@ -57,16 +59,24 @@ def signatures(docs: DataFrame, size: int = 5, k: int = K, text: str = "text") -
 def _packed(size: int, k: int):
     """(id, sig): the same hashes by their first eight bytes, which keep their order, as one run of bytes."""
 
-    def of(value: str | None) -> bytes:
-        w = _WORDS.findall((value or "").lower())
-        found = {hashlib.md5(" ".join(w[a : a + size]).encode("utf-8", "surrogatepass")).digest()[:8] for a in range(max(1, len(w) - size + 1))} if w else set()
-        return b"".join(heapq.nsmallest(k, found))
+    def of(texts: list[str | None]) -> list[bytes]:
+        words = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
+        flat = [w for own in words for w in own]
+        counts = np.array([len(own) for own in words])
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        ends = np.cumsum(lengths + 1) - 1
+        after = np.cumsum(counts)
+        runs = np.where(counts > 0, np.maximum(1, counts - size + 1), 0)
+        upto = np.cumsum(runs)
+        first = np.arange(runs.sum()) + np.repeat(after - counts - (upto - runs), runs)
+        last = np.minimum(first + size, np.repeat(after, runs)) - 1
+        starts = (ends - lengths)[first]
+        hashes = md5_heads(b" ".join(flat), starts, ends[last] - starts)
+        return [_distinct(own)[:k].astype(">u8").tobytes() for own in np.split(hashes, upto[:-1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.binary())], ["id", "sig"])
+        for batch in sliced(batches, most=1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(batch.column(1).to_pylist()), pa.binary())], ["id", "sig"])
 
     return run
 
@@ -89,11 +99,31 @@ class _Block:
         self.sizes = np.array([len(s) for s in self.sigs])
         self.whole, self.owner = np.concatenate(self.sigs), np.repeat(np.arange(len(self.sigs)), self.sizes)
 
-    def may_be_alike(self, sig: np.ndarray, least: float) -> np.ndarray:
-        """Members that share enough hashes at all."""
-        at = np.minimum(np.searchsorted(sig, self.whole), len(sig) - 1)
-        shared = np.bincount(self.owner[sig[at] == self.whole], minlength=len(self.sigs))
-        return np.flatnonzero(shared >= least * np.minimum(K, np.minimum(len(sig), self.sizes)) - 1e-9)
+    def marks(self, hashes: np.ndarray) -> np.ndarray:
+        """Which nodes have which of some ascending hashes, as ones and zeros."""
+        at = np.searchsorted(hashes, self.whole)
+        at[at == len(hashes)] = 0
+        there = hashes[at] == self.whole
+        out = np.zeros((len(self.sigs), len(hashes)), np.float32)
+        out[self.owner[there], at[there]] = 1
+        return out
+
+
+def _distinct(hashes: np.ndarray, least: int = 1) -> np.ndarray:
+    """Those that come ``least`` times, ascending."""
+    hashes = np.sort(hashes)
+    firsts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    return hashes[firsts[np.diff(firsts, append=len(hashes)) >= least]]
+
+
+def _may_be_alike(left: _Block, right: _Block, least: float, step: int = 4096) -> np.ndarray:
+    """(p, q) of nodes that share enough hashes at all, ascending. Only hashes that meet are counted, as a product of matrices."""
+    met = _distinct(left.whole, 2) if left is right else np.intersect1d(_distinct(left.whole), _distinct(right.whole), assume_unique=True)
+    shared = np.zeros((len(left.sigs), len(right.sigs)), np.float32)
+    for k in range(0, len(met), step):
+        marks = left.marks(met[k : k + step])
+        shared += marks @ (marks if left is right else right.marks(met[k : k + step])).T
+    return np.argwhere(shared >= least * np.minimum(K, np.minimum(left.sizes[:, None], right.sizes)) - 1e-9)
 
 
 def _links(least: float):
@@ -109,12 +139,13 @@ def _links(least: float):
 
                 left, same, out = _Block(x), one.as_py() == two.as_py(), []
                 right = left if same else _Block(y)
-                for p, (rep, sig) in enumerate(zip(left.reps.tolist(), left.sigs, strict=True)):
-                    for q in right.may_be_alike(sig, least).tolist():
-                        other = int(right.reps[q])
-                        if (not same or q > p) and top(rep) != top(other) and estimate(sig, right.sigs[q]) >= least:
-                            parent[top(rep)] = top(other)
-                            out.append((rep, other))
+                for p, q in _may_be_alike(left, right, least).tolist():
+                    if same and q <= p:
+                        continue
+                    rep, other = int(left.reps[p]), int(right.reps[q])
+                    if top(rep) != top(other) and estimate(left.sigs[p], right.sigs[q]) >= least:
+                        parent[top(rep)] = top(other)
+                        out.append((rep, other))
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
     return run
