@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loamwork.operators import dealing, lifecycle, logs, retrieval
+from loamwork.operators import dealing, derived, lifecycle, logs, retrieval
 
 
 def test_links_and_cues_are_dealt_by_rows(spark, monkeypatch):
@@ -49,3 +49,15 @@ def test_documents_are_scored_in_small_steps(monkeypatch):
     (found,) = retrieval._scored(Shared, 2)(iter([batch]))
     assert sum(widths) == 3000 and max(widths) <= 1024
     assert found.to_pylist() == [{"q_id": q, "id": k, "score": 1.0} for q, k in ((0, 0), (0, 2), (1, 1), (1, 3))]
+
+
+def test_trees_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "TASK_ROWS", 20)
+    # of things 10 to 19 written through 100 to 109, the odd ones of which have no rows of their own
+    rows = [(k, 1000 + 10 * k + r, 100 + k - 10) for k in range(10, 20) for r in range(10)] + [(100 + k, 5000 + k, None) for k in range(0, 10, 2)]
+    sources = spark.createDataFrame(rows, "child_id long, root_id long, via long")
+    trees = derived.lineage_tree(sources, spark.range(10, 20))
+    assert trees.rdd.getNumPartitions() == 6  # 105 rows, where the session has 4
+    want = {(k, 100 + k - 10, k, 1) for k in range(10, 20)} | {(k, 5000 + k - 10, 100 + k - 10, 2) for k in range(10, 20, 2)}
+    want |= {(k, 1000 + 10 * k + r, 100 + k - 10, 2) for k in range(11, 20, 2) for r in range(10)}
+    assert {(r.root, r.node, r.parent, r.depth) for r in trees.collect()} == want
