@@ -61,3 +61,16 @@ def test_trees_are_dealt_by_rows(spark, monkeypatch):
     want = {(k, 100 + k - 10, k, 1) for k in range(10, 20)} | {(k, 5000 + k - 10, 100 + k - 10, 2) for k in range(10, 20, 2)}
     want |= {(k, 1000 + 10 * k + r, 100 + k - 10, 2) for k in range(11, 20, 2) for r in range(10)}
     assert {(r.root, r.node, r.parent, r.depth) for r in trees.collect()} == want
+
+
+def test_tiles_meet_in_small_steps():
+    rng = np.random.default_rng(2)
+    a, c = rng.normal(size=(7, 4)), rng.normal(size=(1100, 4))
+    one = {"cell": 0, "a_tile": 0, "c_tile": 1, "a_n": 7, "c_n": 1100, "a_dim": 4, "c_dim": 4, "a_ids": np.arange(7).tobytes(), "c_ids": np.arange(1100).tobytes(), "a_rows": a.tobytes(), "c_rows": c.tobytes()}
+    batch = pa.RecordBatch.from_pylist([one, one | {"a_dim": 2, "a_rows": a[:, :2].tobytes()}])
+    found = list(retrieval._met(iter([batch]), step=retrieval.SCAN_ROWS))
+    assert [s.shape[1] for _, _, _, s in found] == [512, 512, 76] * 2
+    assert np.concatenate([two for _, _, two, _ in found[:3]]).tolist() == list(range(1100))
+    assert np.allclose(np.concatenate([s for _, _, _, s in found[:3]], axis=1), a @ c.T, atol=1e-6) and not any(s.any() for _, _, _, s in found[3:])
+    whole = list(retrieval._met(iter([batch])))
+    assert [s.shape for _, _, _, s in whole] == [(7, 1100)] * 2
