@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import text as tx
 from loamwork.operators import dedup, guards, joins, lifecycle, logs, metrics, reads, retrieval, search, segments, store
-from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _items, _lexical, _link_parts, dense_topk, hebbian_links, label_sql
+from loamwork.plans.catalogue import BM25, DENSE, HEBB, NOW, TOKENS, _corpus, _docs, _first_links, _items, _lexical, _link_parts, dense_topk, label_sql
 from loamwork.plans.registry import query
 from loamwork.sources.capture import page_markdown, table
 
@@ -108,7 +108,7 @@ def search_with_everything(spark: SparkSession, d: str) -> DataFrame:
     art = art.withColumn("status", status).withColumn("tags", F.when(F.col("id") % 2 == 0, F.array_append("tags", "even")).otherwise(F.col("tags")))
     scorer = F.col("score") * 0.5 + (F.col("id") % 5) / 10.0
     active = art.select("id", (F.col("id") % 7).cast("double").alias("activation"), (F.col("id") % 17 == 0).alias("sitting"))
-    links = hebbian_links(spark, d).withColumn("weight", F.col("weight") * 3.0).withColumn("bumped_at", F.lit(NOW))
+    links = _first_links(spark, d).withColumn("weight", F.col("weight") * 3.0).withColumn("bumped_at", F.lit(NOW))
     return search.search(art, queries, NOW, limit=10, cap=3, scorer=scorer, activation=active, links=links, tags=("even",))
 
 
@@ -136,7 +136,7 @@ def ask_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Each question plans two queries: its beginning, and what follows that."""
     art, queries = _searched(spark, d)
     later = art.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.lit(1).alias("part"), F.substring("text", 81, 80).alias("text"), "vector")
-    links = hebbian_links(spark, d).withColumn("bumped_at", F.lit(NOW))
+    links = _first_links(spark, d).withColumn("bumped_at", F.lit(NOW))
     return search.ask_rounds(art, queries.select("q_id", F.lit(0).alias("part"), "text", "vector").unionByName(later), links, NOW)
 
 
@@ -158,7 +158,7 @@ SELECT * FROM r WHERE place < 6""")
 def reached_sideways(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("superseded_by")
     art = _corpus(spark, d).select("id", F.col("label").alias("corpus_id"), F.col("id").alias("ordinal"), *none)
-    return search.reach(dense_topk(spark, d), art, hebbian_links(spark, d).withColumn("bumped_at", F.lit(NOW)), NOW, show_min=1.0)
+    return search.reach(dense_topk(spark, d), art, _first_links(spark, d).withColumn("bumped_at", F.lit(NOW)), NOW, show_min=1.0)
 
 
 @query(f"""WITH {BM25}, have AS (SELECT l.q_id, l.id, count(*) AS n FROM lex l JOIN qt ON qt.q_id = l.q_id JOIN post ON post.id = l.id AND post.term = qt.term GROUP BY l.q_id, l.id), size AS (SELECT q_id, count(*) AS n FROM qt GROUP BY q_id),
@@ -471,7 +471,7 @@ LINKS = f"{HEBB}, ln AS (SELECT a_id, b_id, n_events * 2.0 AS weight, {NOW} - 86
 def _links(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("a_id")
     state = F.when(a % 9 == 0, "dismissed").when(a % 9 == 1, "related").otherwise("learning")
-    return hebbian_links(spark, d).select("a_id", "b_id", (F.col("n_events") * 2.0).alias("weight"), F.lit(NOW - 864000).cast("long").alias("bumped_at"), state.alias("state"), (a % 5).alias("queries"))
+    return _first_links(spark, d).select("a_id", "b_id", (F.col("n_events") * 2.0).alias("weight"), F.lit(NOW - 864000).cast("long").alias("bumped_at"), state.alias("state"), (a % 5).alias("queries"))
 
 
 @query(f"WITH {LINKS} SELECT count(*) AS links, count(*) FILTER (WHERE state = 'learning') AS learning, count(*) FILTER (WHERE state = 'related') AS related, count(*) FILTER (WHERE state = 'dismissed') AS dismissed FROM ln")

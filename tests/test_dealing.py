@@ -1,10 +1,12 @@
 """Work is cut by its rows, not by the session's number of shuffle partitions."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamwork.operators import dealing, derived, lifecycle, logs, retrieval
+from loamwork.plans import catalogue
 
 
 def test_links_and_cues_are_dealt_by_rows(spark, monkeypatch):
@@ -74,3 +76,20 @@ def test_tiles_meet_in_small_steps():
     assert np.allclose(np.concatenate([s for _, _, _, s in found[:3]], axis=1), a @ c.T, atol=1e-6) and not any(s.any() for _, _, _, s in found[3:])
     whole = list(retrieval._met(iter([batch])))
     assert [s.shape for _, _, _, s in whole] == [(7, 1100)] * 2
+
+
+def test_all_that_an_event_showed_is_linked(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(logs, "WIDE", 16)
+    # an event of 45 things, each twice, one of three of these, and one of a single thing
+    lines = [(1, k, r) for r in range(2) for k in range(45)] + [(2, 44, 0), (2, 3, 1), (2, 20, 2), (3, 7, 0), (None, 1, 0), (None, 2, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(a, b): 1 for b in range(45) for a in range(b)}
+    want |= dict.fromkeys([(3, 20), (3, 44), (20, 44)], 2)
+    got = catalogue.QUERIES["hebbian_links"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a_id, r.b_id): r.n_events for r in got} == want
+    left = catalogue.QUERIES["pruned_links"](spark, str(tmp_path)).collect()
+    assert {(r.a_id, r.b_id) for r in left} == {p for p, n in want.items() if n * 2 ** (-(p[0] % 90) / 30) >= 0.5}
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name, rows in (("hebbian_links", got), ("pruned_links", left)):
+        assert sorted((r[0], r[1]) for r in con.sql(f"select a_id, b_id from ({catalogue.SQL[name]})").fetchall()) == sorted((r.a_id, r.b_id) for r in rows)
