@@ -415,10 +415,11 @@ class _Shared:
         if not good.any():
             return None
         low, high, pos, part, low2, high2, pos2, part2 = (x[good] for x in (low, high, pos, part, low2, high2, pos2, part2))
-        # of a part of several sizes, the smallest and the largest that can do need the fewest
+        # of a part of several sizes, the smallest and the largest that can do need the fewest, or one more than those between them, as both numbers are rounded up
         a = np.where(pos >= 0, low, low2)
         least_b, most_b = np.where(pos >= 0, low2, low), np.where(pos >= 0, high2, high)
-        some = np.minimum(self.needed(a, np.maximum(least_b, np.floor(self.least * a))), self.needed(a, np.minimum(most_b, np.ceil(a / self.least))))
+        first, last = np.maximum(least_b, np.floor(self.least * a)), np.minimum(most_b, np.ceil(a / self.least))
+        some = np.maximum(1, np.minimum(self.needed(a, first), self.needed(a, last)) - (first < last))
         need = np.where((pos >= 0) | (pos2 >= 0), some, 1)
         cols = [pa.array(np.minimum(part, part2)), pa.array(np.maximum(part, part2)), pa.array(need.astype(np.int64))]
         return pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(need), pa.binary())] * 2], self.names)
@@ -590,8 +591,8 @@ def missed_links(nodes: DataFrame, docs: DataFrame, size: int, least: float, rad
     return alone.unionByName(sorted_rows.mapInArrow(tidied(_within(size, least, radius)), "u long, v long"))
 
 
-def similar_dedup(docs: DataFrame, size: int, radius: int, least: float, beyond: bool) -> DataFrame:
-    """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``. A node is a distinct text."""
+def similar_rows(docs: DataFrame, size: int, radius: int, least: float, beyond: bool) -> DataFrame:
+    """(id, key, fp, part) of every row of ``docs`` (id, text), written: the MD5 of its text, its fingerprint and a number of its group, as ``simhash_dedup`` with ``least`` links them. A node is a distinct text."""
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select(F.md5("text").alias("key"), "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
@@ -607,7 +608,19 @@ def similar_dedup(docs: DataFrame, size: int, radius: int, least: float, beyond:
     marked = nodes.join(connected_components(links), "node", "left").select("node", "key", part, "fp", "n", "prefix")
     more = missed_links(marked, keyed, size, least, None if beyond else radius)
     root = nodes.select("node", "key", "fp").join(connected_components(links.union(more)), "node", "left").select("key", "fp", part)
-    rows = materialise(docs.select("id", F.md5("text").alias("key")).join(root, "key").select("id", "fp", "part"), "simhash-rows")
+    return materialise(docs.select("id", F.md5("text").alias("key")).join(root, "key").select("id", "key", "fp", "part"), "simhash-rows")
+
+
+def similar_firsts(docs: DataFrame, size: int, radius: int, least: float) -> DataFrame:
+    """(id, key) of one row of each group of texts that are ``least`` alike: of the smallest id, and the smallest MD5 of a text among its texts. A null id comes last."""
+    rows = similar_rows(docs, size, radius, least, beyond=True)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    return rows.groupBy("part").agg(first).select("first.id", "first.key")
+
+
+def similar_dedup(docs: DataFrame, size: int, radius: int, least: float, beyond: bool) -> DataFrame:
+    """(id, fp, component_id) of every row of ``docs`` (id, text): see ``simhash_dedup`` with ``least``."""
+    rows = similar_rows(docs, size, radius, least, beyond).select("id", "fp", "part")
     return rows.join(rows.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("id", "fp", "component_id")
 
 

@@ -262,3 +262,23 @@ def test_proposed_links_are_close_and_join_what_lies_together(spark):
     assert all(u in set(signed) and v in set(signed) and ((u ^ v) & ((1 << 64) - 1)).bit_count() <= 3 for u, v in links)
     assert len(links) >= 0.95 * len(base)
     assert simhash.proposed_links(prints.where("false"), 3).collect() == []
+
+
+def test_a_set_meets_a_part_of_several_sizes(spark):
+    # of the part only the set of 14 may be alike to that of 13: 12 of 15 are in both, and of their prefixes one; those of 12 and of 15 would need two
+    sets = [(1, 13, [1, 10, 11]), (2, 12, [4, 5, 10]), (2, 14, [2, 3, 10]), (2, 15, [6, 7, 10, 12])]
+    rows = [(part, 0, n, np.array(p, np.uint64).tobytes()) for part, n, p in sets]
+    met = simhash.met_parts(spark.createDataFrame(rows, "part long, fp long, n long, prefix binary"), 0.8, None)
+    assert [tuple(r) for r in met.collect()] == [(1, 2)]
+
+
+def test_no_size_of_a_part_needs_fewer_shingles_than_are_asked_for():
+    shared = simhash._Shared(0.8, None)
+    for a in range(1, 40):
+        for low in range(int(0.8 * a), int(a / 0.8) + 1):
+            for high in range(low, int(a / 0.8) + 3):
+                true = [b for b in range(low, high + 1) if min(a, b) >= 0.8 * max(a, b) - 1e-9]
+                if true:
+                    one, two = ([np.array([x]) for x in row] for row in ((a, a, 0, 1, 0), (low, high, -1, 2, 0)))
+                    asked = shared.checked(one, two).column(2)[0].as_py()
+                    assert asked <= min(float(shared.needed(a, b)) for b in true), (a, low, high)
