@@ -16,10 +16,10 @@ from loamwork.functions.digests import md5_heads
 from loamwork.functions.text import normal_query
 from loamwork.operators.dealing import sliced
 from loamwork.operators.graph import connected_components
-from loamwork.storage import materialise
+from loamwork.storage import discard, materialise
 
 K, LEAST = 128, 0.90
-BLOCK = 256
+BLOCK = 1024
 
 
 def first_of_content(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -163,24 +163,32 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = 5, text:
     """(id, class_id): classes that signature similarity of ``least`` or more links, class_id the smallest id; every row is returned.
 
     Texts with one signature are one node. A pair at ``least`` shares one of the first few hashes of
-    both signatures, so nodes meet only there: which hashes several have is found out on (node, hash) alone, and only there do signatures go. A hash that many
+    both signatures, so nodes meet only there: which hashes several have is found out on (node, hash) alone, and only there do signatures go, once for hashes that the same nodes share. A hash that many
     share is cut into blocks whose pairs of blocks are separate rows, each returning a spanning forest of its links. Needs integer ids; documents without words link to nothing.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    signed = materialise(docs.select("id", text).mapInArrow(_packed(size, K), f"id {kind}, sig binary").withColumn("key", F.md5("sig")), "near-signatures")
-    nodes = materialise(signed.where(F.octet_length("sig") > 0).groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("sig").alias("sig")), "near-nodes")
+    raw = materialise(docs.select("id", text).mapInArrow(_packed(size, K), f"id {kind}, sig binary").withColumn("key", F.md5("sig")), "near-signatures")
+    nodes = materialise(raw.where(F.octet_length("sig") > 0).groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.first("sig").alias("sig")), "near-nodes")
+    signed = materialise(raw.select("id", "key"), "near-keys")
+    discard(raw)
     reach = F.floor(F.least(F.lit(K), F.octet_length("sig") / 8) * (1 - least) + 1e-9).cast("int") + 1
     met = nodes.select("rep", "sig", reach.alias("reach")).mapInArrow(_first_hashes, "rep long, h long")
-    counts = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    counts = shared.groupBy("n", "m1", "m2").agg(F.min("h").alias("h")).select("h", "n")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = met.join(counts, "h").withColumn("blocks", n_blocks).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     blocks = dealt.join(nodes.select("rep", "sig"), "rep").groupBy("h", "blocks", "i").agg(F.collect_list(F.struct("rep", "sig")).alias("x"))
     blocks = materialise(blocks, "near-blocks")
-    # every block meets itself and the later ones: numbers are exploded, not rows paired
-    left = blocks.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    right = blocks.select("h", F.col("i").alias("j"), F.col("x").alias("y"))
+    # a block meets itself where it lies, and the later ones of its hash by numbers that are exploded, not by pairs of rows
+    own = blocks.select("i", F.col("i").alias("j"), "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    left = blocks.where("i < blocks - 1").select("h", "i", "x", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
+    right = blocks.where("i > 0").select("h", F.col("i").alias("j"), F.col("x").alias("y"))
     # dealt anew by what names the pair of blocks, as one shingle's pairs would stay together
-    links = left.join(right, ["h", "j"]).repartition("h", "i", "j").select("i", "j", "x", "y").mapInArrow(_links(least), "u long, v long")
+    across = left.join(right, ["h", "j"]).repartition("h", "i", "j").select("i", "j", "x", "y")
+    found = [t.mapInArrow(_links(least), "u long, v long") for t in (own, across)]
+    links = materialise(found[0].unionByName(found[1]), "near-links")
+    discard(blocks)
     of = connected_components(links)
     roots = nodes.join(of, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     return signed.select("id", "key").join(roots, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

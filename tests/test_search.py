@@ -252,3 +252,18 @@ def test_reranked_scores_round_halves_by_their_product(spark):
     got = {r.id: r.score for r in retrieval.rerank(hits, F.col("score") * 0.5 + F.col("j") / 10.0).collect()}
     # DuckDB's round(x, 6) of 0.0001245, 0.30002449999999997 and 0.25
     assert got == {10: 0.000124, 11: 0.300025, 12: 0.25}
+
+
+def test_signatures_go_once_for_the_same_nodes(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(dedup, "materialise", lambda df, label: (out := materialise(df, label), sizes.update({label: out.count()}))[0])
+    word = lambda k: f"w{k}"
+    # three near copies of one text, two of another, one alone
+    texts = [" ".join(map(word, range(s, s + n))) for s, n in ((0, 300), (0, 301), (0, 302), (1000, 300), (1000, 301), (5000, 300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    assert {r.id: r.class_id for r in dedup.near_duplicates(docs).collect()} == want
+    # hashes that the same three or two nodes share lie in one block; one for each hash would be some twenty
+    assert sizes["near-blocks"] <= 5
+    monkeypatch.setattr(dedup, "BLOCK", 1)
+    assert {r.id: r.class_id for r in dedup.near_duplicates(docs).collect()} == want
