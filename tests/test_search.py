@@ -267,3 +267,21 @@ def test_signatures_go_once_for_the_same_nodes(spark, monkeypatch):
     assert sizes["near-blocks"] <= 5
     monkeypatch.setattr(dedup, "BLOCK", 1)
     assert {r.id: r.class_id for r in dedup.near_duplicates(docs).collect()} == want
+
+
+def test_only_what_comes_near_the_line_is_looked_at(monkeypatch):
+    rng = np.random.default_rng(6)
+    one, two = retrieval._unit(rng.normal(size=(40, 8))), retrieval._unit(rng.normal(size=(4000, 8)))
+    seen, add = [], retrieval._Best.add
+    monkeypatch.setattr(retrieval._Best, "add", lambda self, first, scores, ids: (seen.append(scores.size), add(self, first, scores, ids))[1])
+    for floor in (None, 0.7):
+        best, plain = retrieval._Best(40, 5), retrieval._Best(40, 5)
+        seen.clear()
+        for k in range(0, 4000, 50):
+            best.put(0, one @ two[k : k + 50].T, np.arange(40), np.arange(k, k + 50), floor, True)
+        assert sum(seen) < 40 * 4000 / 4
+        scores = np.round(one @ two.T, 6) + 0.0
+        scores[np.arange(40), np.arange(40)] = -np.inf
+        scores[scores < (floor or -1)] = -np.inf
+        add(plain, 0, scores, np.arange(4000))
+        assert all((a == b).all() for a, b in zip(best.cut(), plain.cut(), strict=True))
